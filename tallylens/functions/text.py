@@ -13,6 +13,9 @@ VAGUE_PHRASES = (
     "it appears", "seems like", "unclear", "unknown",
 )
 
+# Fixed value: everything that ends a line, the Unicode separators included.
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
 _FENCE = "(?s)^```(?:json)?|```$"
 
 
@@ -76,7 +79,7 @@ def without_stars(col: Column) -> Column:
 
 def filled_lines(col: Column) -> Column:
     """Stripped, non-empty lines of a text."""
-    return F.filter(F.transform(F.split(col, "\r\n|\n|\r"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(col, LINE_END), strip), lambda s: s != "")
 
 
 def first_line_as_title(col: Column) -> Column:
