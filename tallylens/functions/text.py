@@ -90,7 +90,7 @@ def first_line_as_title(col: Column) -> Column:
 def rest_as_explanation(col: Column) -> Column:
     """All lines after the first, joined; the only line where there is just one."""
     lines = filled_lines(col)
-    return without_stars(F.when(F.size(lines) > 1, F.array_join(F.slice(lines, 2, 2147483647), " "))
+    return without_stars(F.when(F.size(lines) > 1, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), " "))
                          .otherwise(F.try_element_at(lines, F.lit(1))))
 
 

@@ -78,6 +78,15 @@ def small_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) ->
     return spark.createDataFrame(table, schema)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep the columns of ``df`` from being merged into later expressions.
+
+    Without it the optimizer may push a filter on a derived column down by
+    repeating everything the column is made of.
+    """
+    return df.select(F.inline(F.array(F.struct(*[col(c) for c in df.columns]))))
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Collect a small result once and return it as a local relation.
 

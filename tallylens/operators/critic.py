@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallylens.functions import text
 from tallylens.functions.numbers import number_from_text, round_to
+from tallylens.operators.columnwise import computed_once
 from tallylens.operators.facts import number_facts, numeric_columns
 from tallylens.operators.quantiles import quantiles
 
@@ -97,17 +98,17 @@ def missing_columns(columns: Sequence[str]) -> Column:
     return F.filter("affected_columns", lambda c: ~F.array_contains(have, c))
 
 
-def verdicts(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible]) -> DataFrame:
-    """Score, flags and verdict per insight."""
-    base = insights.select(
-        F.col("id").alias("insight_id"), "title", "explanation", F.size("evidence").alias("n_evidence"),
+def judged(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible]) -> DataFrame:
+    """The insights with score, flags and verdict (A25) as struct ``verdict``."""
+    base = computed_once(insights.select(
+        F.struct(*insights.columns).alias("insight"), F.size("evidence").alias("n_evidence"),
         missing_columns(columns).alias("missing"), evidence_flags(ranges).alias("odd"),
         text.word_count(F.col("title")).alias("title_words"),
         (text.vague_phrase_count(F.col("title")) > 0).alias("vague_title"),
         F.col("title").contains("**").alias("bold_title"),
         F.col("title").rlike("[0-9]").alias("number_in_title"),
         text.word_count(F.col("explanation")).alias("explanation_words"),
-        text.vague_phrase_count(F.col("explanation")).alias("vague_phrases"))
+        text.vague_phrase_count(F.col("explanation")).alias("vague_phrases")))
     grounded = F.size("missing") == 0
     good_title = (F.col("title_words") <= MAX_TITLE_WORDS) & ~F.col("vague_title") & ~F.col("bold_title")
     good_text = (F.col("explanation_words") >= MIN_EXPLANATION_WORDS) & (F.col("vague_phrases") <= 1)
@@ -129,16 +130,26 @@ def verdicts(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, P
         + F.when(good_title, F.when(F.col("number_in_title"), 0.25).otherwise(0.20)).otherwise(0.0)
         + F.when(good_text, 0.20).otherwise(0.0)
         + F.when(F.col("n_evidence") >= 1, 0.20).otherwise(0.0))
-    scored = base.select("insight_id", flags.alias("flags"), points.alias("points")).select(
-        "insight_id", "flags", round_to(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("points") - F.least(
+    flagged = computed_once(base.select("insight", flags.alias("flags"), points.alias("points")))
+    scored = computed_once(flagged.select(
+        "insight", "flags", round_to(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("points") - F.least(
             F.size("flags") * FLAG_PENALTY, F.lit(MAX_FLAG_PENALTY)))), 3).alias("confidence_score"),
-        F.try_element_at(F.filter("flags", is_critical), F.lit(1)).alias("critical"))
+        F.try_element_at(F.filter("flags", is_critical), F.lit(1)).alias("critical")))
     passed = (F.col("confidence_score") >= MIN_CONFIDENCE) & F.isnull("critical")
-    return scored.select(
-        "insight_id", passed.alias("passed"), "confidence_score",
-        F.when(F.isnotnull("critical"), F.concat(F.lit("Critical flag: "), F.col("critical")))
-        .when(~passed, F.concat(F.lit("Score too low: "), F.col("confidence_score").cast("string")))
-        .alias("rejection_reason"), "flags")
+    reason = F.when(F.isnotnull("critical"), F.concat(F.lit("Critical flag: "), F.col("critical"))).when(
+        ~passed, F.concat(F.lit("Score too low: "), F.col("confidence_score").cast("string")))
+    return scored.select("insight.*", F.struct(
+        passed.alias("passed"), "confidence_score", reason.alias("rejection_reason"), "flags").alias("verdict"))
+
+
+def verdicts(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible]) -> DataFrame:
+    """One verdict per insight."""
+    return judged(insights, columns, ranges).select(F.col("id").alias("insight_id"), "verdict.*")
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    """Of the insights with a verdict those that passed, scored (P12); needs no join."""
+    return checked.where("verdict.passed").withColumn("confidence", F.col("verdict.confidence_score")).drop("verdict")
 
 
 def is_critical(flag: Column) -> Column:
@@ -165,7 +176,10 @@ def critic_report(checked: DataFrame) -> DataFrame:
 
 
 def passed_insights(insights: DataFrame, checked: DataFrame) -> DataFrame:
-    """Insights that passed, with their score as confidence."""
+    """Insights that passed, with their score as confidence.
+
+    For verdicts that were stored on their own; see :func:`accepted` otherwise.
+    """
     scores = checked.where("passed").select(F.col("insight_id").alias("id"), "confidence_score")
     return (
         insights.join(scores, "id").withColumn("confidence", F.col("confidence_score")).drop("confidence_score")

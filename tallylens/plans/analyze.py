@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylens.operators.charts import chart_plans
 from tallylens.operators.columnwise import pinned
 from tallylens.operators.critic import critic_report, passed_insights, plausible_ranges, verdicts
 from tallylens.operators.decisions import action_summary, decisions_for, is_quick_win
+from tallylens.operators.facts import numeric_columns
 from tallylens.operators.insights import MAX_INSIGHTS, executive_summary, insights_from
 from tallylens.operators.statistics import full_analysis
 from tallylens.plans.ingest import Ingested, ingest
@@ -45,8 +46,6 @@ def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None
         e["column"] for r in insights.collect() if r["type"] in ("anomaly", "trend") for e in r["evidence"]
         if e["column"] in df.columns
     })
-    from tallylens.operators.facts import numeric_columns
-
     ranges = plausible_ranges(df, [c for c in numeric_columns(df) if c in quoted])
     checked = pinned(verdicts(insights, df.columns, ranges))
     validated = pinned(passed_insights(insights, checked).orderBy("place"))
@@ -58,27 +57,28 @@ def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None
 
 def document(ingested: Ingested, analysis: Analysis) -> DataFrame:
     """One nested row with the whole result, ready for ``write.json``."""
-    def listed(frame: DataFrame, name: str, order: str | None = None) -> DataFrame:
-        fields = F.struct(*([order] if order else []), *[c for c in frame.columns if c != order])
-        return frame.agg(F.array_sort(F.collect_list(fields)).alias(name) if order else F.collect_list(fields).alias(name))
+    def listed(frame: DataFrame, *order: Column) -> Column:
+        """All rows of a small result as an array, in the given order."""
+        keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
+        rows = frame.select(F.struct(*keys, F.struct(*frame.columns).alias("row")).alias("entry"))
+        return rows.agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["row"])).scalar()
+
+    def single(frame: DataFrame) -> Column:
+        return frame.select(F.struct(*frame.columns)).scalar()
 
     insights = analysis.validated.drop("stat_type", "metrics", "labels", "series")
-    quick = analysis.decisions.where(is_quick_win()).agg(F.collect_list("id").alias("quick_wins"))
-    parts = [
-        ingested.context.select("domain", "source_type", F.col("row_count").alias("total_rows"), "warnings"),
-        analysis.summary.select(F.col("summary").alias("executive_summary")),
-        listed(insights, "insights", "place"),
-        ingested.quality.select(F.struct(*ingested.quality.columns).alias("quality")),
-        analysis.report.select(F.struct(*analysis.report.columns).alias("critic")),
-        listed(analysis.decisions, "decisions"), quick,
-        analysis.action_summary.select(F.col("summary").alias("action_summary")),
-        listed(analysis.plans, "chart_plans"),
-    ]
-    out = parts[0].withColumn("one", F.lit(1))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("one", F.lit(1)), "one")
-    return out.select(F.lit(True).alias("success"), *[c for p in parts for c in p.columns],
-                      F.current_timestamp().alias("analysed_at"))
+    ranked = (-F.col("priority_score"), F.col("id"))
+    return ingested.context.select(
+        F.lit(True).alias("success"), "domain", "source_type", F.col("row_count").alias("total_rows"), "warnings",
+        analysis.summary.select("summary").scalar().alias("executive_summary"),
+        listed(insights, F.col("place")).alias("insights"),
+        single(ingested.quality).alias("quality"),
+        single(analysis.report).alias("critic"),
+        listed(analysis.decisions, *ranked).alias("decisions"),
+        listed(analysis.decisions.where(is_quick_win()), *ranked).alias("quick_wins"),
+        analysis.action_summary.select("summary").scalar().alias("action_summary"),
+        listed(analysis.plans, F.col("insight_id")).alias("chart_plans"),
+        F.current_timestamp().alias("analysed_at"))
 
 
 def run(spark: SparkSession, path: str, **options) -> tuple[Ingested, Analysis]:

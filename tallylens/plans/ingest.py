@@ -70,7 +70,6 @@ def ingest(
 
 def context_frame(ingested: Ingested) -> DataFrame:
     """Context, quality and column profiles as one nested row."""
-    columns = ingested.profile.agg(F.collect_list(F.struct(*ingested.profile.columns)).alias("columns"))
-    quality = ingested.quality.select(F.struct(*ingested.quality.columns).alias("quality"))
-    one = lambda d: d.withColumn("one", F.lit(1))
-    return one(ingested.context).join(one(columns), "one").join(one(quality), "one").drop("one")
+    columns = ingested.profile.agg(F.collect_list(F.struct(*ingested.profile.columns)))
+    quality = ingested.quality.select(F.struct(*ingested.quality.columns))
+    return ingested.context.select("*", quality.scalar().alias("quality"), columns.scalar().alias("columns"))

@@ -112,7 +112,8 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write a folder of files in the format the suffix names."""
     kind = format_of(path)
     if kind == "csv":
-        df.write.mode(mode).csv(path, header=True, escape='"')
+        df.write.mode(mode).csv(
+            path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif kind == "parquet":
         df.write.mode(mode).parquet(path)
     else:
