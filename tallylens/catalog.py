@@ -399,7 +399,7 @@ def chart_bar(spark, sf_dir):
 
 @query
 def chart_bar_default(spark, sf_dir):
-    return charts.bar_chart(table(spark, sf_dir, "orders"))
+    return charts.bar_chart(table(spark, sf_dir, "orders")).withColumn("place", F.col("place").cast("long"))
 
 
 @query
@@ -414,7 +414,7 @@ def chart_bar_sum(spark, sf_dir):
 
 @query
 def chart_pie(spark, sf_dir):
-    return charts.pie_chart(table(spark, sf_dir, "part"), "p_brand")
+    return charts.pie_chart(table(spark, sf_dir, "part"), "p_brand").withColumn("place", F.col("place").cast("long"))
 
 
 @query

@@ -72,7 +72,7 @@ class NumberFacts:
 
     @property
     def varies(self) -> bool:
-        return bool(self.std_pop) and self.low != self.high
+        return self.std_pop is not None and math.isfinite(self.std_pop) and self.std_pop > 0 and self.low != self.high
 
 
 def number_facts(df: DataFrame, columns: Sequence[str] | None = None, shape: bool = False) -> dict[str, NumberFacts]:

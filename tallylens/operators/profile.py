@@ -12,7 +12,8 @@ from tallylens import schemas
 from tallylens.functions import names
 from tallylens.functions.numbers import round_to
 from tallylens.operators.columnwise import col, collect_per_column, dtype_of, per_column, small_frame, sql_text
-from tallylens.operators.facts import group_key
+from tallylens.operators.facts import LONG_TEXT, group_key, number_facts
+from tallylens.operators.statistics import top_values, value_counts
 
 SAMPLE_ROWS = 100
 
@@ -147,35 +148,41 @@ def warnings(profile_rows: DataFrame, quality: DataFrame) -> DataFrame:
     return failing.unionByName(issues)
 
 
-def column_chart_stats(df: DataFrame, first: int = 15) -> DataFrame:
-    """Number ranges and top texts of the first columns, for charts."""
-    from tallylens.operators.facts import number_facts
-    from tallylens.operators.statistics import value_counts
+def _full_texts(df: DataFrame, name: str, keys: Sequence[str]) -> dict[str, str]:
+    """The texts behind a few digests."""
+    key = group_key(col(name), T.StringType())
+    rows = df.select(key.alias("key"), col(name).alias("value")).where(F.col("key").isin(list(keys)))
+    return dict(rows.groupBy("key").agg(F.any_value("value")).collect())
 
+
+def column_chart_stats(df: DataFrame, first: int = 15, top: int = 5) -> DataFrame:
+    """Number ranges and top texts of the first columns, for charts.
+
+    Long texts travel as digests; only the few that are shown are read in full.
+    """
     shown = [c for c in df.columns[:first] if not names.skip_in_chart(c)]
     part = df.select(*[col(c) for c in shown])
     numbers = [c for c in shown if isinstance(dtype_of(df, c), (T.DoubleType, T.FloatType, T.IntegralType))]
     texts = [c for c in shown if isinstance(dtype_of(df, c), T.StringType)]
-    schema = schemas.ddl("column string, kind string, mean double, low double, high double, n_unique long, "
-                         "top_vals array<struct<value:string,n:long>>")
-    facts = number_facts(part, numbers) if numbers else {}
-    ranges = small_frame(df.sparkSession, [
-        {"column": c, "kind": "numeric", "mean": f.mean or 0.0, "low": f.low or 0.0, "high": f.high or 0.0}
-        for c, f in facts.items()], schema)
-    ranges = ranges.select("column", "kind", *[round_to(F.col(c), 2).alias(c) for c in ("mean", "low", "high")],
-                           "n_unique", "top_vals")
-    if not texts:
-        return ranges
-    from tallylens.operators.statistics import top_values
-
-    counted = value_counts(part, texts, keep_nulls=True)
-    uniques = counted.groupBy("column").agg(F.count("*").alias("n_unique"))
-    tops = top_values(counted.where(F.isnotnull("value")), 5)
-    none = F.lit(None).cast("double")
-    categories = uniques.join(tops, "column", "left").select(
-        "column", F.lit("categorical").alias("kind"), none.alias("mean"), none.alias("low"), none.alias("high"),
-        "n_unique", F.coalesce("top_vals", F.array().cast("array<struct<value:string,n:long>>")).alias("top_vals"))
-    return ranges.unionByName(categories)
+    rows = [
+        {"column": c, "kind": "numeric", **{
+            k: round(v or 0.0, 2) for k, v in (("mean", f.mean), ("low", f.low), ("high", f.high))}}
+        for c, f in (number_facts(part, numbers) if numbers else {}).items()
+    ]
+    if texts:
+        counted = value_counts(part, texts, keep_nulls=True)
+        uniques = counted.groupBy("column").agg(F.count("*").alias("uniques"), F.sum("n").alias("rows"))
+        found = {r["column"]: r["top_vals"] for r in top_values(counted.where("value IS NOT NULL"), top).collect()}
+        for r in uniques.orderBy("column").collect():
+            c = r["column"]
+            tops = [(v["value"], v["n"]) for v in found.get(c, [])]
+            digests = [v for v, _ in tops if len(v.encode()) >= LONG_TEXT]
+            full = _full_texts(part, c, digests) if digests else {}
+            rows.append({"column": c, "kind": "categorical", "n_unique": r["uniques"],
+                         "top_vals": [{"value": full.get(v, v), "n": n} for v, n in tops]})
+    return small_frame(df.sparkSession, rows, schemas.ddl(
+        "column string, kind string, mean double, low double, high double, n_unique long, "
+        "top_vals array<struct<value:string,n:long>>"))
 
 
 def slim_chart_stats(stats: DataFrame, affected: Sequence[str], few: int = 15) -> DataFrame:

@@ -16,7 +16,7 @@ from tallylens.operators.columnwise import (
     col, collect_per_column, dtype_of, per_column, pinned, small_frame, sql_number, sql_text, sql_usable, union_all,
 )
 from tallylens.operators.facts import (
-    NumberFacts, ValueSketch, choose_columns, number_facts, numeric_columns, string_columns, value_sketches,
+    NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
 )
 from tallylens.operators.quantiles import quantiles
 
@@ -214,10 +214,14 @@ def anomaly_findings(numbers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- categories
 
 def value_counts(df: DataFrame, columns: Sequence[str], keep_nulls: bool = False) -> DataFrame:
-    """``(column, value, n)`` for text columns, merged per value before the shuffle."""
+    """``(column, value, n)`` for text columns, merged per value before the shuffle.
+
+    Long texts are named by their digest, see :func:`group_key`.
+    """
     def build(one: DataFrame, name: str) -> DataFrame:
-        rows = one if keep_nulls else one.where(F.isnotnull("value"))
-        return rows.groupBy("value").agg(F.count("*").alias("n")).select(F.lit(name).alias("column"), "value", "n")
+        rows = one if keep_nulls else one.where("value IS NOT NULL")
+        keyed = rows.select(group_key(F.col("value"), T.StringType()).alias("value"))
+        return keyed.groupBy("value").agg(F.count("*").alias("n")).selectExpr(f"{sql_text(name)} AS column", "value", "n")
 
     return per_column(df, columns, build)
 

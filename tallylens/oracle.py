@@ -493,7 +493,7 @@ def all_sql() -> dict[str, str]:
             for c in DIRTY_COLUMNS),
         "clean_orders": f"WITH {CLEAN} SELECT * REPLACE ({rounded('total_amount', 4)} AS total_amount) FROM clean",
         "ingest_context": f"""WITH {CLEAN}, {QUALITY}, profile AS ({PROFILE})
-            SELECT 'static_csv' AS source_type, 'ecommerce' AS domain, count(*) AS row_count, 10 AS column_count,
+            SELECT 'static_csv' AS source_type, 'ecommerce' AS domain, count(*) AS row_count, 10::BIGINT AS column_count,
               (SELECT sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) FROM profile)::BIGINT
                 + (SELECT (NOT (overall_score >= 0.6 AND few_duplicates))::INT FROM quality) AS n_warnings FROM clean""",
         "json_replies": FENCE,

@@ -7,7 +7,7 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from tallylens.operators.columnwise import col
 from tallylens.operators.facts import group_key
@@ -91,7 +91,8 @@ def read_table(
 
 def row_hash(df: DataFrame, seed: int) -> Column:
     """A repeatable pseudo-random number per row, from all its values."""
-    return F.xxhash64(F.lit(seed), *[group_key(col(f.name), f.dataType) for f in df.schema])
+    return F.xxhash64(F.lit(seed), *[
+        group_key(col(f.name), f.dataType) if isinstance(f.dataType, MapType) else col(f.name) for f in df.schema])
 
 
 def exact_sample(df: DataFrame, n: int = 10_000, seed: int = 42, order: Column | None = None) -> DataFrame:

@@ -33,6 +33,16 @@ def _ordered(names, rows):
     return sorted(names), sorted(table, key=lambda r: tuple((v is not None, str(type(v)), str(v)) for v in r))
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
+def type_differences(frame, con, sql: str) -> list[str]:
+    """Columns whose type differs between the engines."""
+    spark_types = dict(frame.dtypes)
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    return [f"{n}: {spark_types.get(n)} / {t}" for n, t, *_ in described if TYPES.get(str(t)) != spark_types.get(n)]
+
+
 def same_number(a, b) -> bool:
     return isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and float(a) == float(b)
 
@@ -73,6 +83,8 @@ if __name__ == "__main__":
             frame = run(spark, sf_dir)
             rows = frame.collect()
             found = differences(rows, frame.columns, con, sql[name]) if name in sql else None
+            if name in sql:
+                print("      types:", types) if (types := type_differences(frame, con, sql[name])) else None
         except Exception as error:  # noqa: BLE001
             found, rows = [f"{type(error).__name__}: {str(error)[:600]}"], []
         bad += bool(found)
