@@ -15,7 +15,10 @@ FLOAT_TYPES = (T.DoubleType, T.FloatType)
 
 
 def round_to(col: Column, digits: int) -> Column:
-    """Half-to-even rounding that stays inside generated code."""
+    """Half-to-even rounding that stays inside generated code.
+
+    The last digit is off by one where ``col * 10 ** digits`` itself rounds to a half.
+    """
     scale = float(10**digits)
     return F.rint(col * F.lit(scale)) / F.lit(scale)
 

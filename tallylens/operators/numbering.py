@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallylens.session import scratch_path
 
@@ -25,7 +26,8 @@ def number_rows(df: DataFrame, order: str, name: str, at_most: int | None = None
     spark = df.sparkSession
     path = scratch_path(spark, "ranges")
     df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
-    parts = spark.read.schema(df.schema.add("__part", "int")).parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])
+    parts = spark.read.schema(schema).parquet(path)
     sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}
     counts = [sizes.get(p, 0) for p in range(max(sizes) + 1)]
     starts = list(accumulate([0] + counts[:-1]))
