@@ -15,7 +15,7 @@ from tallylens.fixtures import (
     dirty_orders, document_insights, event_claims, priced_lineitem, table, wrapped_json,
 )
 from tallylens.functions.numbers import round_to
-from tallylens.functions.text import first_line_as_title, record_from_json, rest_as_explanation, short_title, word_count
+from tallylens.functions.text import record_from_json, short_title, title_and_rest, word_count
 from tallylens.operators import charts, critic, decisions, domain, facts, insights, profile, quality, statistics
 from tallylens.operators.clean import clean
 from tallylens.operators.columnwise import small_frame, union_all
@@ -185,10 +185,10 @@ def json_replies(spark, sf_dir):
 
 @query
 def text_titles(spark, sf_dir):
-    title, rest = first_line_as_title(F.col("text")), rest_as_explanation(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", short_title(title).alias("short_title"), word_count(title).cast("long").alias("title_words"),
-        word_count(rest).cast("long").alias("rest_words"))
+    documents = title_and_rest(table(spark, sf_dir, "documents"), "text", "title", "rest")
+    return documents.select(
+        "doc_id", short_title(F.col("title")).alias("short_title"),
+        word_count(F.col("title")).cast("long").alias("title_words"), word_count(F.col("rest")).cast("long").alias("rest_words"))
 
 
 # ---------------------------------------------------------------- statistics

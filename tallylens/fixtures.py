@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylens.functions.text import first_line_as_title, rest_as_explanation
+from tallylens.functions.text import title_and_rest
 from tallylens.operators.columnwise import computed_once
 from tallylens.schemas import EVIDENCE
 
@@ -61,6 +61,7 @@ def document_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an insight: first line as title, the rest as explanation."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = title_and_rest(docs, "text", "first_line", "rest")
     return computed_once(docs.select(
         F.col("doc_id").alias("place"), F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("id"),
         F.expr("CASE doc_id % 5 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'summary' WHEN 2 THEN 'trend' "
@@ -69,8 +70,8 @@ def document_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(
             F.expr("element_at(array('', 'Null rate: ', 'Declining: ', 'Cancelled: ', 'Increasing: ', 'Pending: '), "
                    "CAST(doc_id % 6 AS INT) + 1)"),
-            F.coalesce(first_line_as_title(F.col("text")), F.lit(""))).alias("title"),
-        F.coalesce(rest_as_explanation(F.col("text")), F.lit("")).alias("explanation"),
+            F.coalesce("first_line", F.lit(""))).alias("title"),
+        F.coalesce("rest", F.lit("")).alias("explanation"),
         F.expr("CASE WHEN doc_id % 4 = 0 THEN array() ELSE array(named_struct('metric', 'length', 'num', "
                "CAST(n_chars AS DOUBLE), 'txt', CAST(NULL AS STRING), 'column', 'n_chars')) END").cast(EVIDENCE)
         .alias("evidence"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylens.functions.numbers import to_double
+from tallylens.operators.columnwise import computed_once
 
 # Phrases that mark wording as vague.
 VAGUE_PHRASES = (
@@ -16,12 +17,18 @@ VAGUE_PHRASES = (
 # Fixed value: everything that ends a line, the Unicode separators included.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
+# Fixed value: all characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _FENCE = "(?s)^```(?:json)?|```$"
 
 
 def strip(col: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(col, "(?U)^\\s+|\\s+$", "")
+    return F.trim(col, F.lit(WHITE_SPACE))
 
 
 def iso_date(col: Column) -> Column:
@@ -64,13 +71,12 @@ def words(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.size(words(col))
+    return F.regexp_count(col, F.lit("(?U)\\S+"))
 
 
-def vague_phrase_count(col: Column) -> Column:
-    """How many of the vague phrases occur in the text."""
-    low = F.lower(col)
-    return sum((low.contains(p).cast("int") for p in VAGUE_PHRASES[1:]), low.contains(VAGUE_PHRASES[0]).cast("int"))
+def vague_phrase_count(low: Column) -> Column:
+    """How many of the vague phrases occur in a lower-case text."""
+    return sum((low.contains(p).cast("int") for p in VAGUE_PHRASES), F.lit(0))
 
 
 def without_stars(col: Column) -> Column:
@@ -82,16 +88,16 @@ def filled_lines(col: Column) -> Column:
     return F.filter(F.transform(F.split(col, LINE_END), strip), lambda s: s != "")
 
 
-def first_line_as_title(col: Column) -> Column:
-    """The first non-empty line without markdown stars; null for blank text."""
-    return without_stars(F.try_element_at(filled_lines(col), F.lit(1)))
+def title_and_rest(df: DataFrame, column: str, title: str, rest: str) -> DataFrame:
+    """Split a text into its first line and all others, without markdown stars.
 
-
-def rest_as_explanation(col: Column) -> Column:
-    """All lines after the first, joined; the only line where there is just one."""
-    lines = filled_lines(col)
-    return without_stars(F.when(F.size(lines) > 1, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), " "))
-                         .otherwise(F.try_element_at(lines, F.lit(1))))
+    The only line serves as both; blank text gives nulls. Lines are split once.
+    """
+    lines = F.col("__lines")
+    split = computed_once(df.withColumn("__lines", filled_lines(F.col(column))))
+    first = F.try_element_at(lines, F.lit(1))
+    others = F.when(F.size(lines) > 1, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), " ")).otherwise(first)
+    return split.withColumns({title: without_stars(first), rest: without_stars(others)}).drop("__lines")
 
 
 def short_title(col: Column, limit: int = 7) -> Column:

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +72,17 @@ def collect_per_column(
     return rows
 
 
+def together(spark: SparkSession, *tasks: Callable[[], Any]) -> list[Any]:
+    """Run independent Spark jobs at the same time; results in the given order.
+
+    Short jobs leave most of a cluster idle, so passes that do not need each
+    other share it. Job groups and pools of the calling thread are kept.
+    """
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [r.result() for r in running]
+
+
 def small_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
     """A local relation for a result whose size depends on the columns only."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -100,15 +100,18 @@ def missing_columns(columns: Sequence[str]) -> Column:
 
 def judged(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible]) -> DataFrame:
     """The insights with score, flags and verdict (A25) as struct ``verdict``."""
-    base = computed_once(insights.select(
-        F.struct(*insights.columns).alias("insight"), F.size("evidence").alias("n_evidence"),
+    base = computed_once(computed_once(insights.select(
+        F.struct(*insights.columns).alias("insight"), "affected_columns", "evidence", "type", "title", "explanation",
+        F.lower("title").alias("low_title"), F.lower("explanation").alias("low_explanation"),
+    )).select(
+        "insight", F.size("evidence").alias("n_evidence"),
         missing_columns(columns).alias("missing"), evidence_flags(ranges).alias("odd"),
         text.word_count(F.col("title")).alias("title_words"),
-        (text.vague_phrase_count(F.col("title")) > 0).alias("vague_title"),
+        (text.vague_phrase_count(F.col("low_title")) > 0).alias("vague_title"),
         F.col("title").contains("**").alias("bold_title"),
         F.col("title").rlike("[0-9]").alias("number_in_title"),
         text.word_count(F.col("explanation")).alias("explanation_words"),
-        text.vague_phrase_count(F.col("explanation")).alias("vague_phrases")))
+        text.vague_phrase_count(F.col("low_explanation")).alias("vague_phrases")))
     grounded = F.size("missing") == 0
     good_title = (F.col("title_words") <= MAX_TITLE_WORDS) & ~F.col("vague_title") & ~F.col("bold_title")
     good_text = (F.col("explanation_words") >= MIN_EXPLANATION_WORDS) & (F.col("vague_phrases") <= 1)

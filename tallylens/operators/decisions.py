@@ -116,12 +116,12 @@ def decisions_for(
     number and avoids counting them first.
     """
     chosen = insights.where(needs_decision()).select(
-        "id", order, "severity", "title", "explanation", "confidence", matching_action(rules).alias("act"))
+        "id", order, "severity", "confidence", matching_action(rules).alias("act"),
+        F.substring("title", 1, 40).alias("title"), F.substring("explanation", 1, 200).alias("why"))
     numbered = number_rows(chosen, order, "number", at_most)
     made = numbered.select(
         F.format_string("DEC-%03d", "number").alias("id"), F.col("id").alias("insight_id"), "act.action_type",
-        F.concat(F.lit("Address "), F.substring("title", 1, 40)).alias("title"), F.lit(DEFAULT_WHAT).alias("what"),
-        F.substring("explanation", 1, 200).alias("why"), F.lit(DEFAULT_IMPACT).alias("expected_impact"),
+        F.concat(F.lit("Address "), F.col("title")).alias("title"), F.lit(DEFAULT_WHAT).alias("what"), "why", F.lit(DEFAULT_IMPACT).alias("expected_impact"),
         F.lit(DEFAULT_RISK).alias("risk_if_ignored"), "act.impact_level", "act.effort_level", "act.owner", "act.kpi",
         priority_score(F.col("severity"), F.col("act.boost"), F.col("confidence")).alias("priority_score"), "number")
     return made.orderBy(F.desc("priority_score"), "number").drop("number")

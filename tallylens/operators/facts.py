@@ -104,13 +104,13 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], exact: bool = True) -
             return keys.groupBy("value").agg(F.lit(1)).selectExpr(f"{sql_text(name)} AS column", "count(*) AS n")
         return keys.selectExpr(
             f"{sql_text(name)} AS column",
-            "approx_count_distinct(value, 0.01D) + max(CAST(value IS NULL AS BIGINT)) AS n")
+            "approx_count_distinct(value, 0.02D) + max(CAST(value IS NULL AS BIGINT)) AS n")
 
     return {r["column"]: r["n"] or 0 for r in collect_per_column(df, list(columns), build)}
 
 
-def sketch_ceiling(distinct: int, registers: int = 4096) -> float:
-    """The largest estimate the sketch can give for this many distinct values.
+def sketch_ceiling(distinct: int, registers: int = 512) -> float:
+    """The largest estimate the default sketch can give for this many distinct values.
 
     With few values the sketch counts its empty registers, and ``d`` values
     leave at least ``registers - d`` of them empty. A larger estimate therefore
@@ -136,7 +136,7 @@ def value_sketches(df: DataFrame, columns: Sequence[str]) -> dict[str, ValueSket
     def build(one: DataFrame, name: str) -> DataFrame:
         return one.selectExpr(
             f"{sql_text(name)} AS column", "count(*) AS rows", "count_if(value IS NULL) AS nulls",
-            "approx_count_distinct(value, 0.02D) AS n")
+            "approx_count_distinct(value) AS n")
 
     rows = collect_per_column(df, list(columns), build)
     return {r["column"]: ValueSketch(r["rows"], r["nulls"], r["n"]) for r in rows}

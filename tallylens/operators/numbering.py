@@ -6,9 +6,8 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallylens.session import scratch_path
+from tallylens.sources.files import staged
 
 ONE_TASK_ROWS = 100_000
 
@@ -16,21 +15,21 @@ ONE_TASK_ROWS = 100_000
 def number_rows(df: DataFrame, order: str, name: str, at_most: int | None = None) -> DataFrame:
     """Add ``name``: 1, 2, 3 ... in the order of the unique column ``order``.
 
-    Few rows are numbered by a plain window. Otherwise rows are range
-    partitioned, written once so that partitions keep their numbers even when
-    a task is run again, and numbered within their partition from an offset.
+    Rows known to be few are numbered by a plain window. Otherwise they are
+    written once, so that what they are made of is not computed again, and
+    counted; many rows are then range partitioned, written again so that
+    partitions keep their numbers even when a task is repeated, and numbered
+    within their partition from an offset. Pass compact rows.
     """
-    known = at_most if at_most is not None else df.limit(ONE_TASK_ROWS + 1).count()
-    if known <= ONE_TASK_ROWS:
+    if at_most is None:
+        df = staged(df, "rows")
+        at_most = df.count()
+    if at_most <= ONE_TASK_ROWS:
         return df.withColumn(name, F.row_number().over(Window.orderBy(order)))
-    spark = df.sparkSession
-    path = scratch_path(spark, "ranges")
-    df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
-    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])
-    parts = spark.read.schema(schema).parquet(path)
-    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}
+    ranged = staged(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
     counts = [sizes.get(p, 0) for p in range(max(sizes) + 1)]
     starts = list(accumulate([0] + counts[:-1]))
     offset = F.element_at(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("__part") + 1)
     within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return parts.withColumn(name, within + offset).drop("__part")
+    return ranged.withColumn(name, within + offset).drop("__part")

@@ -39,7 +39,7 @@ def value_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> li
         if not exact:
             return marked.selectExpr(
                 f"{sql_text(name)} AS column", "count(*) AS rows", "count_if(value IS NULL) AS nulls",
-                "approx_count_distinct(value, 0.01D) + max(CAST(value IS NULL AS BIGINT)) AS uniques", *merged)
+                "approx_count_distinct(value, 0.02D) + max(CAST(value IS NULL AS BIGINT)) AS uniques", *merged)
         values = (
             marked.withColumn("value", group_key(F.col("value"), dtype)).groupBy("value")
             .agg(F.count("*").alias("n"), *[F.bool_or(k).alias(k) for k in marks]))

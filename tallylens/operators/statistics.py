@@ -13,7 +13,8 @@ from tallylens import schemas
 from tallylens.functions import names, text
 from tallylens.functions.numbers import guarded_corr, p_value, round_to, usable_number
 from tallylens.operators.columnwise import (
-    col, collect_per_column, dtype_of, per_column, pinned, small_frame, sql_number, sql_text, sql_usable, union_all,
+    col, collect_per_column, dtype_of, per_column, pinned, small_frame, sql_number, sql_text, sql_usable,
+    together, union_all,
 )
 from tallylens.operators.facts import (
     NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
@@ -429,21 +430,28 @@ def correlation_findings(
 def full_analysis(df: DataFrame, exact: bool = True) -> DataFrame:
     """All checks over the analytic columns, most severe first.
 
-    The result is a local relation: its size depends on the number of columns.
+    Checks that do not need each other run at the same time. The result is a
+    local relation: its size depends on the number of columns.
     """
+    spark = df.sparkSession
     wanted = [c for c in numeric_columns(df) if not names.not_analytic(c)]
-    facts = number_facts(df, wanted, shape=True)
+    texts = [c for c in string_columns(df) if not names.not_analytic(c)]
+    facts, sketches = together(
+        spark, lambda: number_facts(df, wanted, shape=True), lambda: value_sketches(df, texts))
     kept = [c.column for c in choose_columns(df, exact, facts=facts) if c.kept]
     part = df.select(*[col(c) for c in kept])
     columns = numeric_columns(part)
-    numbers = numbers_table(part, columns, facts)
-    sketches = value_sketches(part, string_columns(part))
     nulls = {c: (f.rows, f.nulls) for c, f in facts.items()} | {c: (k.rows, k.nulls) for c, k in sketches.items()}
-    return by_severity(pinned(union_all([
-        summary_finding(numbers), null_findings(part, nulls), distribution_findings(numbers),
-        categorical_findings(part, sketches), trend_finding(part), correlation_findings(part, columns, facts),
-        anomaly_findings(numbers),
-    ])))
+
+    def from_numbers() -> DataFrame:
+        numbers = numbers_table(part, columns, facts)
+        return pinned(union_all([summary_finding(numbers), distribution_findings(numbers), anomaly_findings(numbers)]))
+
+    found = together(
+        spark, from_numbers, lambda: pinned(null_findings(part, nulls)),
+        lambda: pinned(categorical_findings(part, sketches)), lambda: pinned(trend_finding(part)),
+        lambda: pinned(correlation_findings(part, columns, facts)))
+    return by_severity(union_all(found))
 
 
 def finding_metrics(findings: DataFrame) -> DataFrame:

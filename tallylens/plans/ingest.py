@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from tallylens import schemas
 from tallylens.operators.clean import clean
-from tallylens.operators.columnwise import pinned, small_frame
+from tallylens.operators.columnwise import pinned, small_frame, together
 from tallylens.operators.domain import detect_domain
 from tallylens.operators.profile import profile, warnings
 from tallylens.operators.quality import quality_report
@@ -38,10 +38,9 @@ def describe_and_clean(
     because every later pass reads it.
     Counts in the context are those of the cleaned table.
     """
-    profiled = profile(raw, exact)
-    quality = pinned(quality_report(raw))
-    domain = detect_domain(raw).head()["domain"]
-    table = staged(clean(raw), "clean", table_path)
+    profiled, quality, domain, table = together(
+        raw.sparkSession, lambda: profile(raw, exact), lambda: pinned(quality_report(raw)),
+        lambda: detect_domain(raw).head()["domain"], lambda: staged(clean(raw), "clean", table_path))
     row_count = table.count()
     notes = [r["warning"] for r in warnings(profiled, quality).collect()] if with_warnings else []
     context = small_frame(raw.sparkSession, [{

@@ -13,12 +13,15 @@ _local_dirs: dict[str, str] = {}
 def build_session(app_name: str = "tallylens", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on.
 
-    The time zone is pinned because month truncation depends on it. Shuffle
-    partition counts are left to adaptive execution unless the caller sets them.
+    The time zone is pinned because month truncation depends on it. Recording
+    the call site of every column expression is off, as it slows down building
+    plans with one branch per column. Shuffle partition counts are left to
+    adaptive execution unless the caller sets them.
     """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )

@@ -46,18 +46,17 @@ def test_leading_date(spark, given, wanted):
 def test_words_and_titles(spark):
     assert one(spark, "  a\tb\n c ", text.word_count) == 3
     assert one(spark, "   ", text.word_count) == 0
-    assert one(spark, "It COULD BE unclear", text.vague_phrase_count) == 2
+    assert one(spark, "it could be unclear", text.vague_phrase_count) == 2
     assert one(spark, "a b c d e f g", text.short_title) == "a b c d e f g"
     assert one(spark, "a b c d e f g h", text.short_title) == "a b c d e f g…"
     assert one(spark, "unit_price", text.column_label) == "Unit Price"
 
 
 def test_reply_lines(spark):
-    reply = "\n **Sales up** \n\nfirst *line*\r\nsecond\n"
-    assert one(spark, reply, text.first_line_as_title) == "Sales up"
-    assert one(spark, reply, text.rest_as_explanation) == "first line second"
-    assert one(spark, "only", text.rest_as_explanation) == "only"
-    assert one(spark, " \n ", text.first_line_as_title) is None
+    replies = ["\n **Sales up** \n\nfirst *line*\r\nsecond\n", "only", " \n "]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
+    rows = text.title_and_rest(df, "reply", "title", "rest").orderBy("i").collect()
+    assert [(r["title"], r["rest"]) for r in rows] == [("Sales up", "first line second"), ("only", "only"), (None, None)]
 
 
 @pytest.mark.parametrize("reply, wanted", [
