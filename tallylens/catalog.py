@@ -324,14 +324,14 @@ def claim_check(spark, sf_dir):
     return event_claims(spark, sf_dir).select("id", F.array_join(critic.evidence_flags(ranges), ";").alias("flags"))
 
 
-def _judged_documents(spark, sf_dir) -> DataFrame:
+def _judged_documents(spark, sf_dir, keep=None) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     ranges = critic.plausible_ranges(documents.select("n_chars"))
-    return critic.judged(document_insights(spark, sf_dir), documents.columns, ranges)
+    return critic.judged(document_insights(spark, sf_dir), documents.columns, ranges, keep)
 
 
 def _verdicts(spark, sf_dir) -> DataFrame:
-    return _judged_documents(spark, sf_dir).select(F.col("id").alias("insight_id"), "verdict.*")
+    return _judged_documents(spark, sf_dir, ["id"]).select(F.col("id").alias("insight_id"), "verdict.*")
 
 
 @query
@@ -520,4 +520,5 @@ def stream_findings(spark, sf_dir):
 @query
 def analyze_orders(spark, sf_dir):
     done = describe_and_clean(dirty_orders(spark, sf_dir), "static_csv")
-    return analyze(done.table, done.domain, done.row_count).decisions
+    return analyze(done.table, done.domain, done.row_count).decisions.select(
+        "id", "insight_id", "action_type", "impact_level", "effort_level", "owner", "kpi", "priority_score")

@@ -98,10 +98,15 @@ def missing_columns(columns: Sequence[str]) -> Column:
     return F.filter("affected_columns", lambda c: ~F.array_contains(have, c))
 
 
-def judged(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible]) -> DataFrame:
-    """The insights with score, flags and verdict (A25) as struct ``verdict``."""
+def judged(
+    insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible], keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The insights with score, flags and verdict (A25) as struct ``verdict``.
+
+    ``keep`` names the insight columns that are needed afterwards, by default all.
+    """
     base = computed_once(computed_once(insights.select(
-        F.struct(*insights.columns).alias("insight"), "affected_columns", "evidence", "type", "title", "explanation",
+        F.struct(*(insights.columns if keep is None else keep)).alias("insight"), "affected_columns", "evidence", "type", "title", "explanation",
         F.lower("title").alias("low_title"), F.lower("explanation").alias("low_explanation"),
     )).select(
         "insight", F.size("evidence").alias("n_evidence"),
@@ -147,7 +152,7 @@ def judged(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Pla
 
 def verdicts(insights: DataFrame, columns: Sequence[str], ranges: Mapping[str, Plausible]) -> DataFrame:
     """One verdict per insight."""
-    return judged(insights, columns, ranges).select(F.col("id").alias("insight_id"), "verdict.*")
+    return judged(insights, columns, ranges, ["id"]).select(F.col("id").alias("insight_id"), "verdict.*")
 
 
 def accepted(checked: DataFrame) -> DataFrame:

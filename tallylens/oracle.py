@@ -449,6 +449,77 @@ def column_stats_sql(source: str, numbers: list[str], texts: list[str], with_top
     return " UNION ALL ".join(parts)
 
 
+ORDER_COLUMNS = ["order_date", "quantity", "unit_price", "total_amount", "status", "payment_method", "region", "discount"]
+ORDER_NUMBERS = ["quantity", "unit_price", "total_amount", "discount"]
+ORDER_TEXTS = ["order_date", "status", "payment_method", "region"]
+ORDER_PAIRS = [(a, b) for i, a in enumerate(ORDER_NUMBERS) for b in ORDER_NUMBERS[i + 1:]]
+
+
+def place_sql(column: str, order: list[str]) -> str:
+    return "CASE " + column + " " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(order)) + " END"
+
+
+def extremes_sql(place: int, c: str) -> str:
+    """Count, share, the mean of the five largest extreme values and their plausibility for one column."""
+    n = f"(SELECT count({c}) FROM clean)"
+    source = f"(SELECT {c} FROM clean WHERE {c} IS NOT NULL)"
+    return f"""
+    SELECT {place} AS place, '{c}' AS columns, count(*) AS n, count(*) FILTER (WHERE z > 3) AS n_extreme,
+      round_even(any_value(mean) * 100, 0) / 100 AS mean, any_value(mean) AS exact_mean, any_value(sds) AS sds, max(z) AS max_z,
+      (SELECT avg(round_even(v * 100, 0) / 100) FROM (SELECT {c} AS v FROM clean, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM clean)
+        WHERE abs(({c} - m) / s) > 3 ORDER BY v DESC LIMIT 5)) AS top_mean,
+      {ranked(source, c, f"floor(({n} - 1) * 0.25 + 0.5)")} AS q1, {ranked(source, c, f"floor(({n} - 1) * 0.75 + 0.5)")} AS q3
+    FROM (SELECT abs(({c} - mean) / sd) AS z, mean, sds FROM clean,
+      (SELECT avg({c}) AS mean, stddev_pop({c}) AS sd, stddev_samp({c}) AS sds FROM clean) WHERE {c} IS NOT NULL)"""
+
+
+ORDER_FINDINGS = f"""
+WITH {CLEAN},
+dist AS ({distribution_sql("clean", ORDER_NUMBERS)}),
+cats AS ({category_sql([("clean", c) for c in ORDER_TEXTS])}),
+extremes AS ({" UNION ALL ".join(extremes_sql(i, c) for i, c in enumerate(ORDER_NUMBERS))}),
+monthly AS (SELECT date_trunc('month', order_date::DATE) AS month, count(*)::DOUBLE AS y FROM clean GROUP BY 1),
+numbered AS (SELECT y, (row_number() OVER (ORDER BY month) - 1)::DOUBLE AS x FROM monthly),
+trend AS (SELECT regr_slope(y, x) / (avg(y) + 1e-9) * 100 AS pct, count(*) AS n FROM numbered),
+found AS (
+  SELECT 0 AS seq, 'summary' AS stat_type, '{",".join(ORDER_NUMBERS)}' AS columns, 'info' AS severity, false AS actionable
+  UNION ALL SELECT 100000 + place, 'high_nulls', columns, CASE WHEN share > 0.3 THEN 'critical' ELSE 'warning' END, share > 0.2
+    FROM ({" UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS columns, (count(*) - count({c})) / count(*) AS share FROM clean"
+                              for i, c in enumerate(ORDER_COLUMNS))}) WHERE share > 0.05
+  UNION ALL SELECT 200000 + {place_sql("columns", ORDER_NUMBERS)}, 'distribution', columns, severity, actionable FROM dist
+  UNION ALL SELECT 300000 + {place_sql("columns", ORDER_COLUMNS)}, 'categorical_distribution', columns, severity, actionable FROM cats
+  UNION ALL SELECT 400000, 'time_trend', 'order_date,order_count', CASE WHEN abs(pct) > 20 THEN CASE WHEN pct < -20 THEN 'critical'
+      ELSE 'warning' END WHEN abs(pct) > 10 THEN 'warning' ELSE 'info' END, abs(pct) > 20 FROM trend WHERE n >= 3
+  UNION ALL SELECT 500000 + i, 'correlation', a || ',' || b, 'info', false
+    FROM ({" UNION ALL ".join(f"SELECT {i} AS i, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM clean"
+                              for i, (a, b) in enumerate(ORDER_PAIRS))}) WHERE abs(r) > 0.5
+  UNION ALL SELECT 600000 + place, 'anomaly', columns, CASE WHEN n_extreme / n > 0.02 THEN 'critical' WHEN n_extreme >= 3 THEN 'warning'
+      ELSE 'info' END, n_extreme / n > 0.01 FROM extremes WHERE n_extreme > 0)
+"""
+
+ORDER_DECISIONS = f"""
+{ORDER_FINDINGS},
+insight AS (
+  SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, seq) AS place,
+    CASE stat_type WHEN 'time_trend' THEN 'trend' WHEN 'high_nulls' THEN 'summary' WHEN 'categorical_distribution' THEN 'distribution'
+      ELSE stat_type END AS type, CASE stat_type WHEN 'high_nulls' THEN 'null rate' ELSE stat_type END AS title FROM found),
+odd AS (
+  SELECT columns AS odd_column FROM extremes, (SELECT unnest(range(1, 4)) AS k)
+  WHERE n_extreme > 0 AND NOT abs((CASE k WHEN 1 THEN n_extreme WHEN 2 THEN round_even(max_z * 100, 0) / 100 ELSE top_mean END) - exact_mean)
+      / abs(exact_mean) < 0.05
+    AND abs((CASE k WHEN 1 THEN n_extreme WHEN 2 THEN round_even(max_z * 100, 0) / 100 ELSE top_mean END) - exact_mean) / sds > 3
+    AND ((CASE k WHEN 1 THEN n_extreme WHEN 2 THEN round_even(max_z * 100, 0) / 100 ELSE top_mean END) < q1 - 3 * (q3 - q1)
+      OR (CASE k WHEN 1 THEN n_extreme WHEN 2 THEN round_even(max_z * 100, 0) / 100 ELSE top_mean END) > q3 + 3 * (q3 - q1))),
+accepted AS (
+  SELECT printf('INS-%03d', place) AS id, * FROM insight WHERE place <= 8 AND (actionable OR severity IN ('critical', 'warning'))
+    AND NOT (type = 'anomaly' AND columns IN (SELECT odd_column FROM odd))),
+{matched_sql("accepted")}
+SELECT printf('DEC-%03d', row_number() OVER (ORDER BY place)) AS id, id AS insight_id, action_type, impact_level, effort_level, owner, kpi,
+  {rounded("least(1.0, CASE severity WHEN 'critical' THEN 0.7::DOUBLE WHEN 'warning' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END + boost + 0.1::DOUBLE)", 3)}
+    AS priority_score FROM matched
+"""
+
+
 def all_sql() -> dict[str, str]:
     """The SQL text per query name."""
     dirty = f"WITH {DIRTY}"
@@ -535,6 +606,18 @@ def all_sql() -> dict[str, str]:
             FROM (SELECT *, unnest(ms) AS e FROM found)""",
         "stream_findings": f"""{EVENT_FINDINGS} SELECT stat_type, columns, severity, actionable, e.m AS metric, e.v AS value
             FROM (SELECT *, unnest(ms) AS e FROM found)""",
+        "full_analysis_orders": f"{ORDER_FINDINGS} SELECT seq, stat_type, columns, severity, actionable FROM found",
+        "analyze_orders": ORDER_DECISIONS,
+        "result_document": f"""{EVENT_INSIGHTS}, {ranges_sql("events", "value")},
+            odd AS (SELECT count(*) > 0 AS hit FROM (
+              SELECT unnest([n_anomalies, {rounded("max_z", 2)}, list_avg(list_transform(tops, lambda v: {rounded("v", 2)}))]) AS v FROM anomaly), ranges
+              WHERE {ODD}),
+            kept AS (SELECT * FROM titled, odd WHERE NOT (type = 'anomaly' AND hit))
+            SELECT true AS success, 'unknown' AS domain, (SELECT count(*) FROM events) AS total_rows, count(*)::INT AS n_insights,
+              count(*) AS passed_count, (SELECT count(*) FROM titled) - count(*) AS rejected_count,
+              (count(*) FILTER (WHERE actionable OR severity IN ('critical', 'warning')))::INT AS n_decisions,
+              (count(*) FILTER (WHERE type <> 'summary'))::INT AS n_plans,
+              (SELECT 1.0::DOUBLE - least(3 * (count(*) - count(DISTINCT event_id)) / count(*), 0.3) FROM events) AS overall_score FROM kept""",
         "event_insights": f"""{EVENT_INSIGHTS}
             SELECT id, type, severity, title, CASE stat_type
               WHEN 'summary' THEN 'The table has 1 numeric columns, and their mean, median, spread and range were computed over all rows that hold a value.'
