@@ -12,7 +12,7 @@ PROBABILITIES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
 def frame(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "x double")
+    return spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
 
 
 @pytest.mark.parametrize("small_cell", [1, 7, 1_000_000])
