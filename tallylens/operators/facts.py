@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallylens.functions import names
 from tallylens.functions.numbers import FLOAT_TYPES, INTEGER_TYPES, STATISTIC_TYPES
-from tallylens.operators.columnwise import col, collect_per_column, dtype_of, sql_text, sql_usable
+from tallylens.operators.columnwise import col, collect_aggregates, collect_per_column, dtype_of, sql_text
 
 LONG_TEXT = 64
 
@@ -79,15 +79,16 @@ def number_facts(df: DataFrame, columns: Sequence[str] | None = None, shape: boo
     """One scan of every numeric column; one row per column reaches the driver."""
     chosen = list(numeric_columns(df) if columns is None else columns)
 
-    def build(one: DataFrame, name: str) -> DataFrame:
-        return one.selectExpr("value IS NULL AS missing", f"{sql_usable(dtype_of(df, name))} AS value").selectExpr(
-            f"{sql_text(name)} AS column", "count(*) AS rows", "count_if(missing) AS nulls", "count(value) AS n",
-            "avg(value) AS mean", "stddev_pop(value) AS std_pop",
-            f"{'skewness(value)' if shape else 'CAST(NULL AS DOUBLE)'} AS skew",
-            f"{'kurtosis(value)' if shape else 'CAST(NULL AS DOUBLE)'} AS kurtosis",
-            "min(value) AS low", "max(value) AS high")
-
-    found = {r["column"]: NumberFacts(**r.asDict()) for r in collect_per_column(df, chosen, build)}
+    def measures(name: str, raw: str, number: str) -> dict[str, str]:
+        return {
+            "rows": "count(*)", "nulls": f"count_if({raw} IS NULL)", "n": f"count({number})", "mean": f"avg({number})",
+            "std_pop": f"stddev_pop({number})",
+            "skew": f"skewness({number})" if shape else "CAST(NULL AS DOUBLE)",
+            "kurtosis": f"kurtosis({number})" if shape else "CAST(NULL AS DOUBLE)",
+            "low": f"min({number})", "high": f"max({number})",
+        }
+
+    found = {r["column"]: NumberFacts(**r.asDict()) for r in collect_aggregates(df, chosen, measures)}
     return {c: found[c] for c in chosen}
 
 
@@ -133,12 +134,8 @@ class ValueSketch:
 
 def value_sketches(df: DataFrame, columns: Sequence[str]) -> dict[str, ValueSketch]:
     """One scan per column, no shuffle of values."""
-    def build(one: DataFrame, name: str) -> DataFrame:
-        return one.selectExpr(
-            f"{sql_text(name)} AS column", "count(*) AS rows", "count_if(value IS NULL) AS nulls",
-            "approx_count_distinct(value) AS n")
-
-    rows = collect_per_column(df, list(columns), build)
+    rows = collect_aggregates(df, list(columns), lambda name, raw, number: {
+        "rows": "count(*)", "nulls": f"count_if({raw} IS NULL)", "n": f"approx_count_distinct({raw})"})
     return {r["column"]: ValueSketch(r["rows"], r["nulls"], r["n"]) for r in rows}
 
 

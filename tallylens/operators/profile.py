@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from tallylens import schemas
 from tallylens.functions import names
 from tallylens.functions.numbers import round_to
-from tallylens.operators.columnwise import col, collect_per_column, dtype_of, per_column, small_frame, sql_text
+from tallylens.operators.columnwise import (
+    aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, small_frame, sql_text,
+)
 from tallylens.operators.facts import LONG_TEXT, group_key, number_facts
 from tallylens.operators.statistics import top_values, value_counts
 
@@ -25,29 +27,35 @@ def value_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> li
     after map-side merging and frequent values cost nothing extra.
     """
 
-    def build(one: DataFrame, name: str) -> DataFrame:
-        dtype = dtype_of(df, name)
-        is_text = isinstance(dtype, T.StringType)
+    def marks_of(name: str, value: str) -> dict[str, str]:
+        is_text = isinstance(dtype_of(df, name), T.StringType)
         dated = is_text and names.has_part(name.lower(), ("date", "time"))
-        marks = {
-            "dollar": "startswith(value, '$')" if is_text else "CAST(NULL AS BOOLEAN)",
-            "iso": "NOT contains(value, '/') AND contains(value, '-')" if dated else "CAST(NULL AS BOOLEAN)",
-            "slash": "contains(value, '/')" if dated else "CAST(NULL AS BOOLEAN)",
+        off = "CAST(NULL AS BOOLEAN)"
+        return {
+            "dollar": f"startswith({value}, '$')" if is_text else off,
+            "iso": f"NOT contains({value}, '/') AND contains({value}, '-')" if dated else off,
+            "slash": f"contains({value}, '/')" if dated else off,
         }
-        merged = [f"bool_or({k}) AS {k}" for k in marks]
+
+    def build(one: DataFrame, name: str) -> DataFrame:
+        dtype, marks = dtype_of(df, name), marks_of(name, "value")
         marked = one.selectExpr("value", *[f"{m} AS {k}" for k, m in marks.items()])
-        if not exact:
-            return marked.selectExpr(
-                f"{sql_text(name)} AS column", "count(*) AS rows", "count_if(value IS NULL) AS nulls",
-                "approx_count_distinct(value, 0.02D) + max(CAST(value IS NULL AS BIGINT)) AS uniques", *merged)
         values = (
             marked.withColumn("value", group_key(F.col("value"), dtype)).groupBy("value")
             .agg(F.count("*").alias("n"), *[F.bool_or(k).alias(k) for k in marks]))
         return values.selectExpr(
             f"{sql_text(name)} AS column", "coalesce(sum(n), 0) AS rows",
-            "coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS nulls", "count(*) AS uniques", *merged)
+            "coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS nulls", "count(*) AS uniques",
+            *[f"bool_or({k}) AS {k}" for k in marks])
+
+    def sketched(name: str, raw: str, number: str) -> dict[str, str]:
+        return {
+            "rows": "count(*)", "nulls": f"count_if({raw} IS NULL)",
+            "uniques": f"approx_count_distinct({raw}, 0.02D) + max(CAST({raw} IS NULL AS BIGINT))",
+            **{k: f"bool_or({m})" for k, m in marks_of(name, raw).items()}}
 
-    rows = {r["column"]: r.asDict() for r in collect_per_column(df, list(columns), build)}
+    found = collect_per_column(df, columns, build) if exact else collect_aggregates(df, columns, sketched)
+    rows = {r["column"]: r.asDict() for r in found}
     return [rows[c] for c in columns]
 
 
@@ -129,13 +137,9 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 def null_fractions(df: DataFrame) -> DataFrame:
     """Null count and share per column (A2), lazily and without a shuffle of values."""
 
-    def build(one: DataFrame, name: str) -> DataFrame:
-        nulls = F.count_if(F.isnull("value"))
-        return one.agg(
-            F.lit(name).alias("column"), F.count("*").alias("rows"), nulls.alias("null_count"),
-            F.try_divide(nulls, F.count("*")).alias("null_pct"))
-
-    return per_column(df, df.columns, build)
+    return aggregate_columns(df, df.columns, lambda name, raw, number: {
+        "rows": "count(*)", "null_count": f"count_if({raw} IS NULL)",
+        "null_pct": f"try_divide(count_if({raw} IS NULL), count(*))"})
 
 
 def warnings(profile_rows: DataFrame, quality: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tallylens.operators.columnwise import collect_per_column, dtype_of, sql_number, sql_text, sql_usable
+from tallylens.operators.columnwise import (
+    collect_aggregates, collect_per_column, dtype_of, sql_number, sql_text, sql_usable,
+)
 
 SMALL_CELL = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -38,12 +40,11 @@ class _Search:
     def cell(self) -> tuple:
         return (self.low, self.high)
 
-    @property
-    def inside(self) -> str:
+    def inside(self, value: str) -> str:
         """SQL for the value where it lies in the cell, else null."""
-        bounds = [f"value > {sql_number(self.low)}"] if self.low is not None else []
-        bounds += [f"value < {sql_number(self.high)}"] if self.high is not None else []
-        return f"CASE WHEN {' AND '.join(bounds)} THEN value END" if bounds else "value"
+        bounds = [f"{value} > {sql_number(self.low)}"] if self.low is not None else []
+        bounds += [f"{value} < {sql_number(self.high)}"] if self.high is not None else []
+        return f"CASE WHEN {' AND '.join(bounds)} THEN {value} END" if bounds else value
 
 
 def order_statistics(
@@ -72,23 +73,22 @@ def _by_column(searches: Sequence[_Search]) -> dict[str, list[_Search]]:
     return grouped
 
 
-def _values(df: DataFrame, one: DataFrame, name: str) -> DataFrame:
-    return one.selectExpr(f"{sql_usable(dtype_of(df, name))} AS value")
-
-
 def _pick_from_small_cells(df: DataFrame, searches: Sequence[_Search]) -> None:
     """Sort cells of at most ``small_cell`` values and read the wanted positions."""
     groups = _by_column(searches)
 
-    def build(one: DataFrame, name: str) -> DataFrame:
-        cells = {s.cell: s for s in groups[name]}
-        place = {cell: f"cell{i}" for i, cell in enumerate(cells)}
-        found = ", ".join(f"element_at({place[s.cell]}, {s.rank - s.below + 1})" for s in groups[name])
-        return _values(df, one, name).selectExpr(
-            *[f"sort_array(collect_list({s.inside})) AS {place[cell]}" for cell, s in cells.items()]
-        ).selectExpr(f"{sql_text(name)} AS column", f"array({found}) AS found")
-
-    for row in collect_per_column(df, list(groups), build):
+    def measures(name: str, raw: str, number: str) -> dict[str, str]:
+        cells: dict[tuple, list[_Search]] = {}
+        for s in groups[name]:
+            cells.setdefault(s.cell, []).append(s)
+        picked = [
+            f"transform(array({', '.join(str(s.rank - s.below + 1) for s in ranks)}), "
+            f"i -> element_at(sort_array(collect_list({ranks[0].inside(number)})), i))" for ranks in cells.values()]
+        order = [s for ranks in cells.values() for s in ranks]
+        groups[name] = order
+        return {"found": f"flatten(array({', '.join(picked)}))"}
+
+    for row in collect_aggregates(df, list(groups), measures):
         for search, value in zip(groups[row["column"]], row["found"]):
             search.answer = value
 
@@ -102,17 +102,16 @@ def _propose_pivots(df: DataFrame, searches: Sequence[_Search]) -> dict[str, lis
         at = [(s.rank - s.below + 0.5) / s.size for s in ranks]
         return sorted({min(1.0, max(0.0, f + d)) for f in at for d in (-margin, 0.0, margin)})
 
-    def build(one: DataFrame, name: str) -> DataFrame:
+    def measures(name: str, raw: str, number: str) -> dict[str, str]:
         cells: dict[tuple, list[_Search]] = {}
         for s in groups[name]:
             cells.setdefault(s.cell, []).append(s)
         sketches = ", ".join(
-            f"percentile_approx({ranks[0].inside}, array({', '.join(map(sql_number, fractions(ranks)))}), "
+            f"percentile_approx({ranks[0].inside(number)}, array({', '.join(map(sql_number, fractions(ranks)))}), "
             f"{SKETCH_ACCURACY})" for ranks in cells.values())
-        return _values(df, one, name).selectExpr(
-            f"{sql_text(name)} AS column", f"array_sort(array_distinct(flatten(array({sketches})))) AS pivots")
+        return {"pivots": f"array_sort(array_distinct(flatten(array({sketches}))))"}
 
-    return {r["column"]: r["pivots"] for r in collect_per_column(df, list(groups), build)}
+    return {r["column"]: r["pivots"] for r in collect_aggregates(df, list(groups), measures)}
 
 
 def _narrow(df: DataFrame, searches: Sequence[_Search], pivots: Mapping[str, list[float]]) -> None:
@@ -130,7 +129,8 @@ def _narrow(df: DataFrame, searches: Sequence[_Search], pivots: Mapping[str, lis
         cell = " + ".join(
             f"CAST(value >= {p} AS INT) + CAST(value > {p} AS INT)" for p in map(sql_number, marks[name]))
         return (
-            _values(df, one, name).where("value IS NOT NULL").selectExpr(f"{cell} AS cell")
+            one.selectExpr(f"{sql_usable(dtype_of(df, name))} AS value").where("value IS NOT NULL")
+            .selectExpr(f"{cell} AS cell")
             .groupBy("cell").count().selectExpr(f"{sql_text(name)} AS column", "cell", "count"))
 
     counted: dict[str, dict[int, int]] = {c: {} for c in groups}

@@ -13,8 +13,8 @@ from tallylens import schemas
 from tallylens.functions import names, text
 from tallylens.functions.numbers import guarded_corr, p_value, round_to, usable_number
 from tallylens.operators.columnwise import (
-    col, collect_per_column, dtype_of, per_column, pinned, small_frame, sql_number, sql_text, sql_usable,
-    together, union_all,
+    aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, per_column, pinned, small_frame,
+    sql_number, sql_text, sql_usable, together, union_all,
 )
 from tallylens.operators.facts import (
     NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
@@ -100,29 +100,26 @@ def numbers_table(
     return small_frame(df.sparkSession, rows, schemas.ddl(schemas.NUMBERS))
 
 
-def _z_score(f: NumberFacts) -> str:
-    return f"abs((value - {sql_number(f.mean)}) / {sql_number(f.std_pop)})"
+def _z_score(f: NumberFacts, value: str = "value") -> str:
+    return f"abs(({value} - {sql_number(f.mean)}) / {sql_number(f.std_pop)})"
 
 
 def _count_marks(df: DataFrame, facts: Mapping[str, NumberFacts], cuts: Mapping[str, list]) -> dict[str, dict]:
     """Values outside the quartile fences and beyond three deviations, per column."""
     varied = [c for c, f in facts.items() if f.varies]
 
-    def build(one: DataFrame, name: str) -> DataFrame:
+    def measures(name: str, raw: str, number: str) -> dict[str, str]:
         fenced = "false"
         if name in cuts:
             q1, _, q3 = cuts[name]
             reach = 1.5 * (q3 - q1)
-            fenced = f"value < {sql_number(q1 - reach)} OR value > {sql_number(q3 + reach)}"
-        return one.selectExpr(f"{sql_usable(dtype_of(df, name))} AS value").selectExpr(
-            "value", f"{_z_score(facts[name])} AS z"
-        ).selectExpr(
-            f"{sql_text(name)} AS column", f"count_if({fenced}) AS outliers", "count_if(z > 3) AS extremes",
-            "max(z) AS max_z")
+            fenced = f"{number} < {sql_number(q1 - reach)} OR {number} > {sql_number(q3 + reach)}"
+        z = _z_score(facts[name], number)
+        return {"outliers": f"count_if({fenced})", "extremes": f"count_if({z} > 3)", "max_z": f"max({z})"}
 
     return {
         r["column"]: {"outliers": r["outliers"], "extremes": r["extremes"], "max_z": r["max_z"]}
-        for r in collect_per_column(df, varied, build)
+        for r in collect_aggregates(df, varied, measures)
     }
 
 
@@ -169,18 +166,17 @@ def null_findings(df: DataFrame, known: Mapping[str, tuple[int, int]] | None = N
     ``known`` gives ``(rows, nulls)`` of columns that were already scanned.
     """
     known = known or {}
-    schema = schemas.ddl("place int, column string, rows long, null_count long")
     parts = [small_frame(df.sparkSession, [
-        {"place": i, "column": c, "rows": known[c][0], "null_count": known[c][1]}
-        for i, c in enumerate(df.columns) if c in known], schema)] if known else []
+        {"column": c, "rows": n, "null_count": k} for c, (n, k) in known.items() if c in df.columns
+    ], schemas.ddl("column string, rows long, null_count long"))]
     left = [c for c in df.columns if c not in known]
     if left:
-        parts.append(per_column(df, left, lambda one, name: one.selectExpr(
-            f"{df.columns.index(name)} AS place", f"{sql_text(name)} AS column", "count(*) AS rows",
-            "count_if(value IS NULL) AS null_count")))
+        parts.append(aggregate_columns(df, left, lambda name, raw, number: {
+            "rows": "count(*)", "null_count": f"count_if({raw} IS NULL)"}))
     share = F.try_divide("null_count", "rows")
+    place = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column")) - 1
     return union_all(parts).withColumn("share", share).where("share > 0.05").select(*_finding(
-        "high_nulls", F.col("place"), F.array("column"),
+        "high_nulls", place, F.array("column"),
         F.when(F.col("share") > 0.3, "critical").otherwise("warning"), F.col("share") > 0.2,
         {"null_pct": round_to(F.col("share"), 4), "null_count": F.col("null_count")}))
 

@@ -15,13 +15,16 @@ def build_session(app_name: str = "tallylens", master: str | None = None, **conf
 
     The time zone is pinned because month truncation depends on it. Recording
     the call site of every column expression is off, as it slows down building
-    plans with one branch per column. Shuffle partition counts are left to
-    adaptive execution unless the caller sets them.
+    plans with many branches. Statistics scan few columns at a time, so on very
+    large inputs the number of scan tasks is bounded and each reads a longer
+    stretch of its columns. Shuffle partition counts are left to adaptive
+    execution unless the caller sets them.
     """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.files.maxPartitionNum", "50000")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
@@ -51,5 +54,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; every call names a new one."""
-    return f"{shared_dir(spark)}/tallylens/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder; every call names a new one.
+
+    All paths of an application lie below its id, so they can be removed
+    together once its results are no longer read.
+    """
+    return f"{shared_dir(spark)}/tallylens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
