@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylens import schemas
 from tallylens.functions import text
+from tallylens.operators.columnwise import sql_text
 from tallylens.operators.statistics import severity_rank
 
 MAX_INSIGHTS = 8
@@ -49,9 +52,12 @@ def insight_type(stat_type: Column) -> Column:
     return F.coalesce(F.try_element_at(known, stat_type), F.lit("summary"))
 
 
-def _evidence(metric: Column, number: Column, note: Column) -> Column:
-    return F.struct(metric.alias("metric"), number.cast("double").alias("num"), note.cast("string").alias("txt"),
-                    F.try_element_at("columns", F.lit(1)).alias("column"))
+def _metric(name: str) -> str:
+    return f"try_element_at(metrics, '{name}')"
+
+
+def _label(name: str) -> str:
+    return f"try_element_at(labels, '{name}')"
 
 
 def evidence() -> Column:
@@ -60,86 +66,82 @@ def evidence() -> Column:
     The summary finding quotes its first four columns by their mean; lists are
     quoted by their mean.
     """
-    none = F.lit(None)
-    summarised = F.filter(F.col("columns"), lambda c: F.map_contains_key("metrics", F.concat(c, F.lit(".count"))))
-    quoted = F.transform(F.slice(summarised, 1, 4), lambda c: _evidence(
-        c, F.try_element_at("metrics", F.concat(c, F.lit(".mean"))), none))
-    out = quoted
-    for kind, metrics in EVIDENCE_METRICS.items():
-        items = [
-            _evidence(F.lit(m), list_value(F.col("series")) if m == "anomaly_values"
-                      else F.try_element_at("metrics", F.lit(m)), F.try_element_at("labels", F.lit(m)))
-            for m in metrics
-        ]
-        out = F.when(F.col("stat_type") == kind, F.array(*items)).otherwise(out)
-    return out.cast(schemas.EVIDENCE)
-
-
-def _number(name: str, digits: int = 2) -> Column:
-    return F.format_number(F.try_element_at("metrics", F.lit(name)), digits)
-
+    first = "try_element_at(columns, 1)"
+    mean = "CASE WHEN size(series) > 0 THEN aggregate(series, 0D, (a, v) -> a + v) / size(series) ELSE 0D END"
 
-def _percent(name: str) -> Column:
-    return F.concat(F.format_number(F.try_element_at("metrics", F.lit(name)) * 100, 1), F.lit("%"))
+    def item(metric: str, number: str, note: str) -> str:
+        return f"named_struct('metric', {metric}, 'num', {number}, 'txt', {note}, 'column', {first})"
 
-
-def _label(name: str) -> Column:
-    return F.try_element_at("labels", F.lit(name))
+    cases = " ".join(
+        f"WHEN '{kind}' THEN array(" + ", ".join(
+            item(f"'{m}'", mean if m == "anomaly_values" else _metric(m), _label(m)) for m in metrics) + ")"
+        for kind, metrics in EVIDENCE_METRICS.items())
+    summarised = "slice(filter(columns, c -> map_contains_key(metrics, concat(c, '.count'))), 1, 4)"
+    quoted = item("c", "try_element_at(metrics, concat(c, '.mean'))", "CAST(NULL AS STRING)")
+    return F.expr(f"CASE stat_type {cases} ELSE transform({summarised}, c -> {quoted}) END").cast(schemas.EVIDENCE)
 
 
 def title_and_explanation() -> tuple[Column, Column]:
     """Template wording per finding type; it always carries the numbers."""
-    first = F.replace(F.try_element_at("columns", F.lit(1)), F.lit("_"), F.lit(" "))
-    second = F.replace(F.try_element_at("columns", F.lit(2)), F.lit("_"), F.lit(" "))
-    count = F.size("columns").cast("string")
-    move = F.when(_label("direction") == "up", "increasing").otherwise("declining")
+    def number(name: str, digits: int = 2) -> str:
+        return f"format_number({_metric(name)}, {digits})"
+
+    def percent(name: str) -> str:
+        return f"concat(format_number({_metric(name)} * 100, 1), '%')"
+
+    values = {
+        "first": "replace(try_element_at(columns, 1), '_', ' ')", "second": "replace(try_element_at(columns, 2), '_', ' ')",
+        "width": "CAST(size(columns) AS STRING)", "move": f"if({_label('direction')} = 'up', 'increasing', 'declining')",
+        "null_pct": percent("null_pct"), "null_count": number("null_count", 0),
+        "outlier_pct": percent("outlier_pct"), "outliers": number("outlier_count", 0), "q1": number("q1"), "q3": number("q3"),
+        "mean": number("mean"), "top": _label("top_value"), "top_pct": percent("top_pct"), "bottom_pct": percent("bottom_pct"),
+        "uniques": number("n_unique", 0), "pct": number("trend_pct_per_period"), "periods": number("n_periods", 0),
+        "slope": number("slope", 4), "fit": number("r_squared", 4), "r": number("pearson_r", 4), "n": number("n", 0),
+        "strength": _label("strength"), "direction": _label("direction"), "anomalies": number("n_anomalies", 0),
+        "column_mean": number("column_mean"), "furthest": number("max_z_score"),
+    }
     wording = {
         "summary": (
-            ("Overview of ", count, " numeric columns"),
-            ("The table has ", count, " numeric columns, and their mean, median, spread and range were computed over "
-             "all rows that hold a value."),
-        ),
+            "Overview of {width} numeric columns",
+            "The table has {width} numeric columns, and their mean, median, spread and range were computed over "
+            "all rows that hold a value."),
         "high_nulls": (
-            ("Null rate of ", _percent("null_pct"), " in ", first),
-            ("The column ", first, " has no value in ", _number("null_count", 0), " rows, a null rate of ",
-             _percent("null_pct"), ", so results that rely on it cover only part of the data."),
-        ),
+            "Null rate of {null_pct} in {first}",
+            "The column {first} has no value in {null_count} rows, a null rate of {null_pct}, so results that rely "
+            "on it cover only part of the data."),
         "distribution": (
-            ("Outliers make up ", _percent("outlier_pct"), " of ", first),
-            ("The middle half of ", first, " lies between ", _number("q1"), " and ", _number("q3"), ", and ",
-             _number("outlier_count", 0), " values fall outside the usual range around a mean of ", _number("mean"), "."),
-        ),
+            "Outliers make up {outlier_pct} of {first}",
+            "The middle half of {first} lies between {q1} and {q3}, and {outliers} values fall outside the usual "
+            "range around a mean of {mean}."),
         "categorical_distribution": (
-            ("Value ", _label("top_value"), " holds ", _percent("top_pct"), " of ", first),
-            ("Among the ", _number("n_unique", 0), " values of ", first, ", the most frequent one is ",
-             _label("top_value"), " with ", _percent("top_pct"), " of the rows, and the rarest one has ",
-             _percent("bottom_pct"), "."),
-        ),
+            "Value {top} holds {top_pct} of {first}",
+            "Among the {uniques} values of {first}, the most frequent one is {top} with {top_pct} of the rows, and "
+            "the rarest one has {bottom_pct}."),
         "time_trend": (
-            ("Monthly rows ", move, " by ", _number("trend_pct_per_period"), "% per period"),
-            ("Over ", _number("n_periods", 0), " months the number of rows per month was ", move, " with a slope of ",
-             _number("slope", 4), " rows and a fit of ", _number("r_squared", 4), " on a straight line."),
-        ),
+            "Monthly rows {move} by {pct}% per period",
+            "Over {periods} months the number of rows per month was {move} with a slope of {slope} rows and a fit "
+            "of {fit} on a straight line."),
         "correlation": (
-            (first, " and ", second, " correlate at ", _number("pearson_r", 4)),
-            ("The columns ", first, " and ", second, " show a ", _label("strength"), " ", _label("direction"),
-             " correlation of ", _number("pearson_r", 4), " over ", _number("n", 0), " rows that hold both values."),
-        ),
+            "{first} and {second} correlate at {r}",
+            "The columns {first} and {second} show a {strength} {direction} correlation of {r} over {n} rows that "
+            "hold both values."),
         "anomaly": (
-            (_number("n_anomalies", 0), " extreme values in ", first),
-            ("In ", first, " there are ", _number("n_anomalies", 0), " values more than three standard deviations from "
-             "the mean of ", _number("column_mean"), ", the furthest one by ", _number("max_z_score"), " deviations."),
-        ),
+            "{anomalies} extreme values in {first}",
+            "In {first} there are {anomalies} values more than three standard deviations from the mean of "
+            "{column_mean}, the furthest one by {furthest} deviations."),
     }
-    title: Column = F.concat(F.initcap(F.replace("stat_type", F.lit("_"), F.lit(" "))), F.lit(" in "),
-                             F.array_join("columns", ", "))
-    explanation: Column = F.lit("A notable statistical pattern was detected in this data.")
-    for kind, (head, body) in wording.items():
-        is_kind = F.col("stat_type") == kind
-        title = F.when(is_kind, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in head])).otherwise(title)
-        explanation = F.when(
-            is_kind, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in body])).otherwise(explanation)
-    return title, explanation
+
+    def filled(template: str) -> str:
+        parts = re.split(r"\{(\w+)\}", template)
+        return "concat(" + ", ".join(values[p] if i % 2 else sql_text(p) for i, p in enumerate(parts)) + ")"
+
+    def choice(which: int, default: str) -> Column:
+        cases = " ".join(f"WHEN '{kind}' THEN {filled(texts[which])}" for kind, texts in wording.items())
+        return F.expr(f"CASE stat_type {cases} ELSE {default} END")
+
+    return (
+        choice(0, "concat(initcap(replace(stat_type, '_', ' ')), ' in ', array_join(columns, ', '))"),
+        choice(1, "'A notable statistical pattern was detected in this data.'"))
 
 
 def top_findings(findings: DataFrame, most: int = MAX_INSIGHTS) -> DataFrame:
