@@ -81,9 +81,11 @@ def _pick_from_small_cells(df: DataFrame, searches: Sequence[_Search]) -> None:
         cells: dict[tuple, list[_Search]] = {}
         for s in groups[name]:
             cells.setdefault(s.cell, []).append(s)
+        # the one-element array binds the sorted values, so they are sorted once
         picked = [
-            f"transform(array({', '.join(str(s.rank - s.below + 1) for s in ranks)}), "
-            f"i -> element_at(sort_array(collect_list({ranks[0].inside(number)})), i))" for ranks in cells.values()]
+            f"element_at(transform(array(sort_array(collect_list({ranks[0].inside(number)}))), cell -> array("
+            + ", ".join(f"element_at(cell, {s.rank - s.below + 1})" for s in ranks) + ")), 1)"
+            for ranks in cells.values()]
         order = [s for ranks in cells.values() for s in ranks]
         groups[name] = order
         return {"found": f"flatten(array({', '.join(picked)}))"}
