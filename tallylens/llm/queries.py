@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylens.llm import subwords
+from tallylens.llm import rules, subwords
 from tallylens.llm.tables import fold, load
 
 KEEP = 0.7
@@ -22,6 +22,13 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
+def rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of all documents and the verdict of rules and forest."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return rules.judge(docs, rules.train(docs, load(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_subwords": quality,
+    "op7_rule_forest": rule_forest,
 }

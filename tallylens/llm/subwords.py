@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallylens.llm.tables import agreed, bounded_sample, pick
 from tallylens.llm.tokens import SPACE, cut, find_words, per_text, raw
@@ -154,4 +155,4 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns, scores], [*batch.schema.names, "score"])
 
     kept = docs.drop("score")
-    return kept.mapInArrow(run, kept.schema.add("score", "double"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
