@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylens.llm import rules, subwords
+from tallylens.llm import lines, mixing, rules, subwords
 from tallylens.llm.tables import fold, load
 
 KEEP = 0.7
@@ -28,7 +28,21 @@ def rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.train(docs, load(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    return mixing.mix(load(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that an earlier document has."""
+    left = lines.drop_lines(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_subwords": quality,
     "op7_rule_forest": rule_forest,
+    "op8_source_mix": source_mix,
+    "op10_line_index": line_index,
 }

@@ -2,4 +2,9 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from tallylens.llm import lines, mixing
+
+SQL: dict[str, str] = {
+    "op8_source_mix": mixing.SQL,
+    "op10_line_index": lines.SQL,
+}
