@@ -12,12 +12,12 @@ template did not set, and taking one star away restores the text.
 Turns are sorted by turn, then role and text, nulls first; a null role or text
 is empty. Repeated rows are repeated turns. The output holds a conversation as
 one string, so a conversation has to fit in memory; collecting turns is the
-operator itself.
+operator itself. Rows with a null conv_id are one conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylens.llm.tables import pick
@@ -25,7 +25,7 @@ from tallylens.llm.tables import pick
 OPEN, CLOSE, BEGIN, END = "<s>", "</s>", "[INST]", "[/INST]"
 MARK = r"([<\[])(\**/?(?:s>|INST\]))"
 STARRED = r"([<\[])\*(\**/?(?:s>|INST\]))"
-TRAP = "</s>[INST] ok [/INST]"
+SPLIT_TEXTS = r"\[/?INST\]"
 
 
 def escaped(text: Column) -> Column:
@@ -36,65 +36,96 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, STARRED, "$1$2")
 
 
-def merged(turns: Column) -> Column:
-    """Blocks of neighbouring turns of one role: ``array<struct<role, texts>>``."""
-    kind = "array<struct<role:string,texts:array<string>>>"
+def starts(turns: Column) -> Column:
+    """Places (from 1) of the turns whose role differs from that of the turn in front, as one array aggregation."""
+    def add(state: Column, turn: Column) -> Column:
+        at = state["n"] + 1
+        return F.struct(
+            at.alias("n"), turn["role"].alias("role"),
+            F.when((at > 1) & (state["role"] == turn["role"]), state["found"]).otherwise(F.array_append(state["found"], at)).alias("found"))
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        alone = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        longer = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        return F.when((F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == turn["role"]),
-                      F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(longer))
-                      ).otherwise(F.concat(blocks, F.array(alone)))
+    first = F.struct(F.lit(0).alias("n"), F.lit("").alias("role"), F.array().cast("array<int>").alias("found"))
+    return F.aggregate(turns, first, add, lambda s: s["found"])
 
-    return F.aggregate(turns, F.array().cast(kind), add)
+
+def pieces(block: Column, assistant: str) -> Column:
+    """The parts of a block, a run of turns of one role: ``array<struct<part, loss>>``."""
+    part = lambda text, loss: F.struct(text.alias("part"), loss.alias("loss"))
+    no = F.lit(False)
+    role = F.get(block, F.lit(0))["role"]
+    texts = F.flatten(F.transform(block, lambda t: F.array(
+        part(F.lit(BEGIN), no), part(t["text"], t["role"] == F.lit(assistant)), part(F.lit(END), no))))
+    return F.concat(F.array(part(F.concat(F.lit(OPEN), role), no)), texts, F.array(part(F.lit(CLOSE), no)))
 
 
 def chat(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:
-    """conv_id and ``formatted``, one row per conversation.
+    """conv_id, ``formatted`` and ``mask``, one row per conversation.
 
-    ``loss`` lists where assistant texts lie in ``formatted`` (first code point
-    from 0, and number of code points, both as escaped), in order.
+    ``mask`` is the loss mask in runs: consecutive stretches of ``formatted`` in
+    code points and whether they count; those that do are the assistant's texts.
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text")
     turns = (
         rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
         .select("conv_id", F.transform("turns", lambda t: F.struct(
             escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"))).alias("turns")))
-    blocks = turns.select("conv_id", merged(F.col("turns")).alias("blocks"))
-    written = F.transform("blocks", lambda b: F.concat(
-        F.lit(OPEN), b["role"], F.array_join(F.transform(b["texts"], lambda t: F.concat(F.lit(BEGIN), t, F.lit(END))), ""), F.lit(CLOSE)))
-    return blocks.select("conv_id", F.array_join(written, "").alias("formatted")).withColumn(
-        "loss", loss_spans(F.col("formatted"), assistant))
-
-
-def _items(block: Column) -> Column:
-    """The parts of a block without its marks: the role, then the texts, each followed by an empty part."""
-    return F.split(F.substring(block, len(OPEN) + 1, F.length(block)), r"\[/?INST\]")
+    cut = turns.withColumn("starts", starts(F.col("turns"))).withColumn("parts", F.flatten(F.transform("starts", lambda at, i: pieces(
+        F.slice("turns", at, F.coalesce(F.get("starts", i + 1), F.size("turns") + 1) - at), assistant))))
+    return cut.select(
+        "conv_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"),
+        F.transform("parts", lambda p: F.struct(F.length(p["part"]).alias("chars"), p["loss"].alias("loss"))).alias("mask"))
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation: ``array<struct<role, text>>``."""
-    blocks = F.filter(F.split(formatted, CLOSE), lambda b: b != "")
-    return F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.filter(_items(b), lambda _, i: i % 2 == 1),
-        lambda t: F.struct(unescaped(F.get(_items(b), F.lit(0))).alias("role"), unescaped(t).alias("text")))))
-
-
-def loss_spans(formatted: Column, assistant: str) -> Column:
-    """Where the texts of one role lie: ``array<struct<start, length>>`` in code points."""
-    blocks = F.filter(F.split(formatted, CLOSE), lambda b: b != "")
-    kind = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-
-    def block(state: Column, b: Column) -> Column:
-        items = _items(b)
-
-        def part(inner: Column, i: Column) -> Column:
-            mark = F.when(i % 2 == 1, len(BEGIN)).otherwise(len(END)) if False else None
-            return inner if mark is None else inner
-
-        return state
-
-    del kind, block
-    return blocks
+    def turns(block: Column) -> Column:
+        items = F.split(F.substr(block, F.lit(len(OPEN) + 1)), SPLIT_TEXTS)
+        # role, text, nothing, text, nothing ...
+        return F.transform(F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["i"] % 2 == 1),
+                           lambda p: F.struct(unescaped(F.get(items, F.lit(0))).alias("role"), unescaped(p["x"]).alias("text")))
+
+    return F.flatten(F.transform(F.filter(F.split(formatted, CLOSE), lambda b: b != ""), turns))
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the mask, unescaped, in order."""
+    def add(state: Column, run: Column) -> Column:
+        return F.struct(
+            (state["at"] + run["chars"]).alias("at"),
+            F.when(run["loss"], F.array_append(state["texts"], unescaped(F.substr(formatted, state["at"], run["chars"]))))
+            .otherwise(state["texts"]).alias("texts"))
+
+    first = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
+    return F.aggregate(mask, first, add, lambda s: F.array_join(s["texts"], ""))
+
+
+def digests(written: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted text."""
+    back = written.select(
+        "conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"),
+        loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+# the formatted length adds the template's marks and one star for each mark inside texts and roles
+SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM rows),
+blocks AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY n) IS DISTINCT FROM role AS opens FROM turns),
+lengths AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\**/?(s>|INST\])')) + 13
+         + CASE WHEN opens THEN length(role) + len(regexp_extract_all(role, '[<\[]\**/?(s>|INST\])')) + 7 ELSE 0 END AS chars FROM blocks)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM lengths GROUP BY conv_id
+"""

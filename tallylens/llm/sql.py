@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallylens.llm import lines, mixing
+from tallylens.llm import chat, lines, mixing, tiles
 
 SQL: dict[str, str] = {
+    "op3_vector_tiles": tiles.SQL,
+    "op4_chat_format": chat.SQL,
     "op8_source_mix": mixing.SQL,
     "op10_line_index": lines.SQL,
 }
