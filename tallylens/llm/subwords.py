@@ -28,6 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallylens.llm.tables import agreed, bounded_sample, pick
 from tallylens.llm.tokens import SPACE, cut, find_words, per_text, raw
+from tallylens.sources.files import staged
 
 BITS = 17
 SLICE = 1 << 19
@@ -131,12 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows
     label 1 among the labels, and 1 if there are none: nothing speaks against it.
     """
     chosen = F.broadcast(bounded_sample(agreed(labels, column), most_rows))
-    found = (
+    # at most most_rows rows; they are fetched file by file, so that the driver holds them once, as bytes
+    found = staged(
         pick(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text")
         .mapInArrow(_tally, "doc_id bigint, label int, ids binary, counts binary")
         .groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("f"))  # repeated ids: one row
-        .orderBy("doc_id").limit(most_rows).select("label", "f.*").collect())
-    rows = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<u4"), r["label"]) for r in found]
+        .select("doc_id", "label", "f.*"), "training")
+    fetched = sorted(((r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["counts"])) for r in found.toLocalIterator()), key=lambda r: r[0])
+    rows = [(np.frombuffer(ids, "<u4"), np.frombuffer(counts, "<u4"), label) for _, label, ids, counts in fetched]
     kinds = {r[2] for r in rows}
     if len(kinds) < 2:
         return Scorer(np.zeros(1 << BITS, np.float32), 0.0, float(kinds.pop()) if kinds else 1.0)
