@@ -257,7 +257,8 @@ def monthly_trend(spark, sf_dir):
                  monthly_counts=_counts("series"))
 
 
-CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net"]
+CORRELATED = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net"]
 
 
 @query
@@ -439,7 +440,7 @@ def chart_scatter(spark, sf_dir):
 
 @query
 def chart_scatter_trend(spark, sf_dir):
-    ends = charts.scatter_trend(chart_scatter(spark, sf_dir))
+    ends = charts.scatter_trend(table(spark, sf_dir, "events"), "user_id", "value")
     return ends.select("x", round_to(F.col("y"), 4).alias("y"))
 
 

@@ -117,7 +117,7 @@ def decisions_for(
     """
     chosen = insights.where(needs_decision()).select(
         "id", order, "severity", "confidence", matching_action(rules).alias("act"),
-        F.substring("title", 1, 40).alias("title"), F.substring("explanation", 1, 200).alias("why"))
+        "title", F.col("explanation").alias("why"))
     numbered = number_rows(chosen, order, "number", at_most)
     made = numbered.select(
         F.format_string("DEC-%03d", "number").alias("id"), F.col("id").alias("insight_id"), "act.action_type",
@@ -161,7 +161,7 @@ def effort_impact(decisions: DataFrame) -> DataFrame:
     """Effort and impact as 1 to 3; empty unless there are at least two decisions."""
     level = F.create_map(F.lit("low"), F.lit(1), F.lit("medium"), F.lit(2), F.lit("high"), F.lit(3))
     points = decisions.select(
-        "id", F.substring("title", 1, 40).alias("title"),
+        "id", "title",
         F.coalesce(F.try_element_at(level, F.col("effort_level")), F.lit(2)).alias("effort"),
         F.coalesce(F.try_element_at(level, F.col("impact_level")), F.lit(2)).alias("impact"),
         F.col("priority_score").alias("priority"), "action_type", F.coalesce("owner", F.lit("—")).alias("owner"))

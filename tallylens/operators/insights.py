@@ -12,8 +12,6 @@ from tallylens.functions import text
 from tallylens.operators.columnwise import sql_text
 from tallylens.operators.statistics import severity_rank
 
-MAX_INSIGHTS = 8
-
 # Insight type per finding type, and the metrics quoted as evidence.
 INSIGHT_TYPES = {
     "summary": "summary",
@@ -63,8 +61,8 @@ def _label(name: str) -> str:
 def evidence() -> Column:
     """The first four metrics of a finding as evidence.
 
-    The summary finding quotes its first four columns by their mean; lists are
-    quoted by their mean.
+    The summary finding quotes all its columns by their mean; lists are quoted
+    by their mean.
     """
     first = "try_element_at(columns, 1)"
     mean = "CASE WHEN size(series) > 0 THEN aggregate(series, 0D, (a, v) -> a + v) / size(series) ELSE 0D END"
@@ -76,7 +74,7 @@ def evidence() -> Column:
         f"WHEN '{kind}' THEN array(" + ", ".join(
             item(f"'{m}'", mean if m == "anomaly_values" else _metric(m), _label(m)) for m in metrics) + ")"
         for kind, metrics in EVIDENCE_METRICS.items())
-    summarised = "slice(filter(columns, c -> map_contains_key(metrics, concat(c, '.count'))), 1, 4)"
+    summarised = "filter(columns, c -> map_contains_key(metrics, concat(c, '.count')))"
     quoted = item("c", "try_element_at(metrics, concat(c, '.mean'))", "CAST(NULL AS STRING)")
     return F.expr(f"CASE stat_type {cases} ELSE transform({summarised}, c -> {quoted}) END").cast(schemas.EVIDENCE)
 
@@ -144,15 +142,16 @@ def title_and_explanation() -> tuple[Column, Column]:
         choice(1, "'A notable statistical pattern was detected in this data.'"))
 
 
-def top_findings(findings: DataFrame, most: int = MAX_INSIGHTS) -> DataFrame:
-    """Critical and warning findings first, filled up with the rest (L3)."""
-    return findings.orderBy(severity_rank(F.col("severity")), "seq").limit(most)
+def top_findings(findings: DataFrame, most: int | None = None) -> DataFrame:
+    """Critical and warning findings first, then the rest; the first ``most`` where only these are shown (L3)."""
+    ranked = findings.orderBy(severity_rank(F.col("severity")), "seq")
+    return ranked if most is None else ranked.limit(most)
 
 
-def insights_from(findings: DataFrame, most: int = MAX_INSIGHTS) -> DataFrame:
-    """The top findings as insights, numbered ``INS-001`` and up.
+def insights_from(findings: DataFrame, most: int | None = None) -> DataFrame:
+    """All findings, or the top ``most``, as insights, numbered ``INS-001`` and up.
 
-    The window sees at most ``most`` rows.
+    The window sees one row per finding; their number depends on the columns.
     """
     title, explanation = title_and_explanation()
     order = Window.orderBy(severity_rank(F.col("severity")), "seq")

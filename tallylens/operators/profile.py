@@ -159,8 +159,8 @@ def _full_texts(df: DataFrame, name: str, keys: Sequence[str]) -> dict[str, str]
     return dict(rows.groupBy("key").agg(F.any_value("value")).collect())
 
 
-def column_chart_stats(df: DataFrame, first: int = 15, top: int = 5) -> DataFrame:
-    """Number ranges and top texts of the first columns, for charts.
+def column_chart_stats(df: DataFrame, first: int | None = None, top: int = 5) -> DataFrame:
+    """Number ranges and top texts of all (or the ``first``) columns, for charts.
 
     Long texts travel as digests; only the few that are shown are read in full.
     """

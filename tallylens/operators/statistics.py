@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from tallylens import schemas
 from tallylens.functions import names, text
 from tallylens.functions.numbers import guarded_corr, p_value, round_to, usable_number
 from tallylens.operators.columnwise import (
-    aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, per_column, pinned, small_frame,
+    BRANCHES_PER_JOB, aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, per_column, pinned, small_frame,
     sql_number, sql_text, sql_usable, together, union_all,
 )
 from tallylens.operators.facts import (
@@ -28,7 +28,7 @@ MIN_DISTRIBUTION_ROWS = 20
 MIN_PAIR_ROWS = 30
 MIN_ANOMALY_ROWS = 30
 MAX_CATEGORIES = 50
-MAX_PAIRS = 11
+PAIRS_PER_BRANCH = 2
 
 
 # ---------------------------------------------------------------- building blocks
@@ -291,8 +291,8 @@ def trend_date_column(df: DataFrame) -> str | None:
 
 
 def monthly(df: DataFrame, date_column: str, numbers: Sequence[str] | None = None) -> DataFrame:
-    """Rows and means of the first three numeric columns per month."""
-    means = list(numeric_columns(df)[:3] if numbers is None else numbers)
+    """Rows and means of all (or the given) numeric columns per month."""
+    means = list(numeric_columns(df) if numbers is None else numbers)
     return (
         df.select(F.trunc(_as_date(df, date_column), "month").alias("month"), *[col(c) for c in means])
         .where(F.isnotnull("month")).groupBy("month")
@@ -357,10 +357,32 @@ def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return long.where("x IS NOT NULL AND y IS NOT NULL")
 
 
+def _pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Row]:
+    """Per pair: place, common rows, covariance and both deviations over them.
+
+    A union of aggregates over two pairs each: no row is multiplied, and every
+    branch reads only its columns. The result has one row per pair.
+    """
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_BRANCH):
+        group = list(enumerate(pairs))[start : start + PAIRS_PER_BRANCH]
+        used = list(dict.fromkeys(c for _, pair in group for c in pair))
+        structs = []
+        for place, (a, b) in group:
+            x, y = f"c{used.index(a)}", f"c{used.index(b)}"
+            structs.append(
+                f"named_struct('place', {place}, 'n', count_if({x} IS NOT NULL AND {y} IS NOT NULL), "
+                f"'together', covar_pop({x}, {y}), 'x', stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END), "
+                f"'y', stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)) AS row{place}")
+        numbers = df.select(*[usable_number(col(c), dtype_of(df, c)).alias(f"c{i}") for i, c in enumerate(used)])
+        parts.append(numbers.selectExpr(*structs).selectExpr(f"inline(array({', '.join(f'row{p}' for p, _ in group)}))"))
+    return [r for at in range(0, len(parts), BRANCHES_PER_JOB) for r in union_all(parts[at : at + BRANCHES_PER_JOB]).collect()]
+
+
 def eligible_pairs(
-    df: DataFrame, columns: Sequence[str], facts: Mapping[str, NumberFacts], most: int = MAX_PAIRS
+    df: DataFrame, columns: Sequence[str], facts: Mapping[str, NumberFacts], most: int | None = None
 ) -> list[tuple[str, str]]:
-    """The first ``most`` pairs in column order with at least 30 common rows.
+    """All (or the first ``most``) pairs in column order with at least 30 common rows.
 
     The counts of the single columns settle nearly all pairs; only pairs they
     leave open are counted.
@@ -383,25 +405,23 @@ def eligible_pairs(
             if len(chosen) == most:
                 break
             ok = verdict(pair)
-            if ok is None and len(unknown) < most:
+            if ok is None and (most is None or len(unknown) < most):
                 unknown.append(pair)
             elif ok:
                 chosen.append(pair)
         if not unknown:
             return chosen
         counted.update(dict.fromkeys(unknown, 0))
-        counted.update({unknown[r["place"]]: r["count"] for r in _pair_rows(df, unknown).groupBy("place").count().collect()})
+        counted.update({unknown[r["place"]]: r["n"] for r in _pair_moments(df, unknown)})
 
 
 def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """``(place, a, b, n, r, p)`` per pair; ``r`` is null where a side is constant."""
-    named = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return (
-        _pair_rows(df, pairs).groupBy("place")
-        .agg(F.count("*").alias("n"),
-             guarded_corr(F.covar_pop("x", "y"), F.stddev_pop("x"), F.stddev_pop("y")).alias("r"))
-        .select("place", named[F.col("place")]["a"].alias("a"), named[F.col("place")]["b"].alias("b"), "n", "r",
-                p_value("r", "n").alias("p")))
+    rows = [r.asDict() | dict(zip("ab", pairs[r["place"]], strict=True)) for r in _pair_moments(df, pairs)]
+    moments = small_frame(
+        df.sparkSession, rows, schemas.ddl("place int, a string, b string, n long, together double, x double, y double"))
+    return moments.withColumn("r", guarded_corr(F.col("together"), F.col("x"), F.col("y"))).where("n > 0").select(
+        "place", "a", "b", "n", "r", p_value("r", "n").alias("p"))
 
 
 def correlation_findings(

@@ -185,7 +185,8 @@ fit AS (SELECT 1 AS id, regr_slope(y, x) AS slope, avg(y) AS mean, corr(y, x) AS
 {p_value_sql("fit")}
 """
 
-CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net"]
+CORRELATED = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net"]
 PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1:]]
 CORR = f"""
 {PRICED},
@@ -392,7 +393,7 @@ titled AS (
       WHEN 'distribution' THEN format('Outliers make up {{:.1f}}% of value', mm['outlier_pct'] * 100)
       WHEN 'categorical_distribution' THEN format('Value {{}} holds {{:.1f}}% of event type', (SELECT top_value FROM cat), mm['top_pct'] * 100)
       WHEN 'anomaly' THEN format('{{:,}} extreme values in value', mm['n_anomalies']::BIGINT) END AS title,
-    actionable, columns AS affected_columns, mm FROM facts WHERE place <= 8)
+    actionable, columns AS affected_columns, mm FROM facts)
 """
 
 
@@ -511,7 +512,7 @@ odd AS (
     AND ((CASE k WHEN 1 THEN n_extreme WHEN 2 THEN round_even(max_z * 100, 0) / 100 ELSE top_mean END) < q1 - 3 * (q3 - q1)
       OR (CASE k WHEN 1 THEN n_extreme WHEN 2 THEN round_even(max_z * 100, 0) / 100 ELSE top_mean END) > q3 + 3 * (q3 - q1))),
 accepted AS (
-  SELECT printf('INS-%03d', place) AS id, * FROM insight WHERE place <= 8 AND (actionable OR severity IN ('critical', 'warning'))
+  SELECT printf('INS-%03d', place) AS id, * FROM insight WHERE (actionable OR severity IN ('critical', 'warning'))
     AND NOT (type = 'anomaly' AND columns IN (SELECT odd_column FROM odd))),
 {matched_sql("accepted")}
 SELECT printf('DEC-%03d', row_number() OVER (ORDER BY place)) AS id, id AS insight_id, action_type, impact_level, effort_level, owner, kpi,
@@ -666,7 +667,7 @@ def all_sql() -> dict[str, str]:
         "quick_wins": f"""WITH {DECISIONS} SELECT id, insight_id, impact_level, priority_score FROM decision
             WHERE impact_level IN ('high', 'medium') AND effort_level = 'low'""",
         "action_summary": f"""WITH {DECISIONS}, top AS (
-              SELECT '[' || upper(impact_level) || '] Address ' || substring(title, 1, 40) AS line,
+              SELECT '[' || upper(impact_level) || '] Address ' || title AS line,
                 row_number() OVER (ORDER BY priority_score DESC, id) AS i FROM decision ORDER BY i LIMIT 3)
             SELECT count(*) AS n, 'For this unknown table, the first action is: ' || min(line) FILTER (WHERE i = 1)
               || '. The most urgent actions are ' || string_agg(line, '; ' ORDER BY i) || '.' AS summary FROM top""",
@@ -692,7 +693,7 @@ def all_sql() -> dict[str, str]:
             SELECT month, {rounded("value", 2)} AS value, {rounded("(SELECT regr_slope(value, x) FROM points) * x + (SELECT regr_intercept(value, x) FROM points)", 2)}
               AS trend FROM points""",
         "chart_scatter": f"SELECT user_id::DOUBLE AS x, value AS y, event_type AS color FROM {SAMPLE.format(n=500)}",
-        "chart_scatter_trend": f"""WITH s AS (SELECT user_id::DOUBLE AS x, value AS y FROM {SAMPLE.format(n=500)}),
+        "chart_scatter_trend": f"""WITH s AS (SELECT user_id::DOUBLE AS x, value AS y FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
             f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, min(x) AS lo, max(x) AS hi FROM s)
             SELECT lo AS x, {rounded("a * lo + b", 4)} AS y FROM f UNION ALL SELECT hi, {rounded("a * hi + b", 4)} FROM f""",
         "chart_corr_matrix": f"WITH {PRICED} " + " UNION ALL ".join(

@@ -12,7 +12,7 @@ from tallylens.operators.columnwise import pinned
 from tallylens.operators.critic import critic_report, passed_insights, plausible_ranges, verdicts
 from tallylens.operators.decisions import action_summary, decisions_for, is_quick_win
 from tallylens.operators.facts import numeric_columns
-from tallylens.operators.insights import MAX_INSIGHTS, executive_summary, insights_from
+from tallylens.operators.insights import executive_summary, insights_from
 from tallylens.operators.statistics import full_analysis
 from tallylens.plans.ingest import Ingested, ingest
 
@@ -35,8 +35,8 @@ class Analysis:
 def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None, exact: bool = True) -> Analysis:
     """Findings, insights, verdicts, decisions and plans of a clean table.
 
-    Everything after the findings works on at most eight insights, so those
-    steps are kept as local relations and cost no further scan. Validation
+    Everything after the findings works on one row per finding, so those steps
+    are kept as local relations and cost no further scan. Validation
     reads the columns that have single values as evidence.
     """
     rows = df.count() if row_count is None else row_count
@@ -49,7 +49,7 @@ def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None
     ranges = plausible_ranges(df, [c for c in numeric_columns(df) if c in quoted])
     checked = pinned(verdicts(insights, df.columns, ranges))
     validated = pinned(passed_insights(insights, checked).orderBy("place"))
-    decisions = pinned(decisions_for(validated, at_most=MAX_INSIGHTS))
+    decisions = pinned(decisions_for(validated, at_most=insights.count()))
     return Analysis(
         findings, insights, checked, critic_report(checked), validated, decisions, chart_plans(validated),
         executive_summary(insights, domain, rows), action_summary(decisions, domain))

@@ -17,21 +17,28 @@ REFRESH = "30 seconds"
 
 def file_events(
     spark: SparkSession, path: str, schema: str | StructType = schemas.ORDER_EVENT, kind: str = "json",
-    files_per_batch: int = 1, **options: str,
+    files_per_batch: int | None = None, **options: str,
 ) -> DataFrame:
-    """A stream over files that arrive in a folder, a few files per batch."""
-    return (
-        spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch)
-        .options(**options).load(path))
+    """A stream over files that arrive in a folder.
+
+    Every batch takes all that has arrived, unless ``files_per_batch`` holds back the rest for later ones.
+    """
+    if files_per_batch is not None:
+        options["maxFilesPerTrigger"] = str(files_per_batch)
+    return spark.readStream.format(kind).schema(schema).options(**options).load(path)
 
 
 def queue_events(
-    spark: SparkSession, servers: str, topic: str, schema: str = schemas.ORDER_EVENT, rows_per_batch: int = 100
+    spark: SparkSession, servers: str, topic: str, schema: str = schemas.ORDER_EVENT, rows_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream over a Kafka topic of JSON events; needs Spark's Kafka package."""
+    """A stream over a Kafka topic of JSON events; needs Spark's Kafka package.
+
+    ``rows_per_batch`` bounds a batch; without it a batch takes all that has arrived.
+    """
+    bound = {} if rows_per_batch is None else {"maxOffsetsPerTrigger": str(rows_per_batch)}
     raw = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-        .option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", rows_per_batch).load())
+        .option("startingOffsets", "earliest").options(**bound).load())
     return events_from_text(raw.select(F.col("value").cast("string").alias("value")), "value", schema)
 
 

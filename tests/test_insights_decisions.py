@@ -144,12 +144,15 @@ def test_evidence_values(spark):
     assert list(row) == [3.0, 0.0, 4.0, None]
 
 
-def test_top_findings_become_numbered_insights(spark):
+def test_all_findings_become_numbered_insights(spark):
     rows = [(i, "distribution", ["c"], s, False, {"mean": 1.0, "std": 2.0, "outlier_pct": 0.05, "q1": 0.0, "q3": 1.0, "outlier_count": 5.0},
              {}, []) for i, s in enumerate(["info"] * 7 + ["warning", "critical"] + ["info"] * 3)]
     found = insights.insights_from(spark.createDataFrame(rows, schemas.FINDING)).collect()
-    assert [r["id"] for r in found] == [f"INS-{i:03d}" for i in range(1, 9)]
-    assert [r["severity"] for r in found] == ["critical", "warning"] + ["info"] * 6
+    assert [r["id"] for r in found] == [f"INS-{i:03d}" for i in range(1, 13)]
+    assert [r["severity"] for r in found] == ["critical", "warning"] + ["info"] * 10
+    assert insights.insights_from(spark.createDataFrame(rows, schemas.FINDING), most=8).count() == 8
+    worst = spark.createDataFrame([(*r[:3], "critical", *r[4:]) for r in rows], schemas.FINDING)
+    assert insights.insights_from(worst).where("severity = 'critical'").count() == 12
     assert found[0]["title"] == "Outliers make up 5.0% of c"
     assert [e["metric"] for e in found[0]["evidence"]] == ["mean", "std", "skew", "kurtosis"]
     assert all(len(r["explanation"].split()) >= critic.MIN_EXPLANATION_WORDS for r in found)

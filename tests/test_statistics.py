@@ -149,10 +149,16 @@ def test_pair_limit_counts_only_long_pairs(spark):
     df = spark.createDataFrame(rows, "a double, g2 double, c double, d double, e double, f double, g double")
     columns = ["g", "a", "g2", "c", "d", "e", "f"]
     known = facts.number_facts(df, columns)
-    pairs = st.eligible_pairs(df, columns, known)
+    assert len(st.eligible_pairs(df, columns, known)) == 15
+    pairs = st.eligible_pairs(df, columns, known, most=11)
     assert len(pairs) == 11 and pairs[0] == ("a", "g2") and not any("g" in p for p in pairs)
 
 
+def test_all_strong_pairs_are_reported_without_copies_of_rows(spark):
+    df = spark.range(100).selectExpr(*[f"id * {k} + {k} AS c{k}" for k in range(1, 9)])
+    assert st.correlation_findings(df).count() == 28
+
+
 def test_pairs_left_open_are_counted(spark):
     rows = [(float(i) if i < 45 else None, float(i) if i >= n else None) for n in (15,) for i in range(80)]
     df = spark.createDataFrame(rows, "a double, b double")
