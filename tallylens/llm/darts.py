@@ -112,7 +112,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, weight, its windows and its bands."""
+    """doc, weight and its bands."""
     for batch in batches:
         for at, part in cut(batch["text"], 1 << 20):
             items, counts, _ = shingles(part)
@@ -120,13 +120,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), darts.shape[:2])
             for i in range(ROWS):
                 bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + darts[:, :, i])
-            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
             yield pa.record_batch({
                 "doc": batch["doc"].slice(at, len(part)), "weight": pa.array(counts.astype(np.int64)),
-                "items": pa.LargeListArray.from_arrays(edges, pa.array(items.view(np.int64))).cast(pa.list_(pa.int64())),
                 "bands": pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc and its windows."""
+    for batch in batches:
+        for at, part in cut(batch["text"], 1 << 20):
+            items, counts, _ = shingles(part)
+            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
+            yield pa.record_batch({
+                "doc": batch["doc"].slice(at, len(part)),
+                "items": pa.LargeListArray.from_arrays(edges, pa.array(items.view(np.int64))).cast(pa.list_(pa.int64()))})
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose multisets of windows are similar enough."""
     for batch in batches:
@@ -184,8 +193,11 @@ def classes(docs: DataFrame) -> DataFrame:
     heads = staged(
         ids.where("weight > 0").groupBy("whole", "weight").agg(F.min("doc").alias("head")).where("head is not null"), "heads")
     first = heads.select(F.col("head").alias("doc"), "whole", "weight").join(ids, ["doc", "whole", "weight"], "left_semi").select("doc").distinct()
-    text = docs.withColumnRenamed("doc_id", "doc").join(first, "doc").groupBy("doc").agg(F.max("text").alias("text"))
-    signed = staged(text.mapInArrow(_signed, "doc bigint, weight bigint, items array<bigint>, bands array<bigint>"), "signatures")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc").groupBy("doc").agg(F.max("text").alias("text"))
+
+    signed = staged(texts(first).mapInArrow(_signed, "doc bigint, weight bigint, bands array<bigint>"), "signatures")
     rows = signed.select("doc", "weight", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = rows.join(shared, "bucket")
@@ -196,7 +208,8 @@ def classes(docs: DataFrame) -> DataFrame:
     most = members.agg(F.max("size")).first()[0] or 0
     labels = staged(members.select("doc", F.col("doc").alias("label")).distinct(), "labels")
     done, pivots = 0, PIVOTS
-    items = signed.select("doc", "items")
+    # windows take more room than the texts: only documents that share a bucket need them
+    items = staged(texts(labels.select("doc")).mapInArrow(_windows, "doc bigint, items array<bigint>"), "windows")
     while done < most:
         pairs = staged(candidates(members, labels, done, pivots), "candidates")
         done, pivots = done + pivots, 4 * pivots
@@ -206,9 +219,12 @@ def classes(docs: DataFrame) -> DataFrame:
             if split.isEmpty():
                 break
             continue
+        # one join brings the windows of both sides, so only those of candidates are moved
+        sides = pairs.select(F.col("x").alias("doc"), "x", "y").unionByName(pairs.select(F.col("y").alias("doc"), "x", "y"))
         checked = (
-            pairs.join(items.withColumnsRenamed({"doc": "x", "items": "x_items"}), "x")
-            .join(items.withColumnsRenamed({"doc": "y", "items": "y_items"}), "y").mapInArrow(_similar, "x bigint, y bigint"))
+            sides.join(items, "doc").groupBy("x", "y")
+            .agg(*[F.first(F.when(F.col("doc") == F.col(k), F.col("items")), True).alias(f"{k}_items") for k in ("x", "y")])
+            .mapInArrow(_similar, "x bigint, y bigint"))
         links = staged(checked, "checked")
         if not links.isEmpty():
             labels = merged(labels, links)
