@@ -23,7 +23,7 @@ def write_events(folder, batches):
 def test_batches_equal_batch_processing(spark, tmp_path):
     write_events(tmp_path / "in", [range(0, 40), [*range(40, 80), 40, 41], range(80, 100)])
     sink, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    events = live.file_events(spark, str(tmp_path / "in"))
+    events = live.file_events(spark, str(tmp_path / "in"), files_per_batch=1)
     query = live.start_live(events, sink, checkpoint, once=True)
     query.awaitTermination()
     assert live.backlog(query)["rows"] is not None
@@ -39,7 +39,7 @@ def test_batches_equal_batch_processing(spark, tmp_path):
     assert live.stored(spark, sink, "findings").where("stat_type = 'summary'").count() == 3
 
     # running again finds nothing new and changes nothing
-    live.start_live(live.file_events(spark, str(tmp_path / "in")), sink, checkpoint, once=True).awaitTermination()
+    live.start_live(live.file_events(spark, str(tmp_path / "in"), files_per_batch=1), sink, checkpoint, once=True).awaitTermination()
     assert live.stored(spark, sink, "table").count() == 100
 
 
