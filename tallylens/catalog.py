@@ -48,6 +48,13 @@ def csv_scan(spark, sf_dir):
     return read_table(spark, path).withColumn("quantity", F.col("quantity").cast("long"))
 
 
+@query
+def csv_text_scan(spark, sf_dir):
+    path = scratch_path(spark, "documents.csv")
+    write_table(table(spark, sf_dir, "documents"), path)
+    return read_table(spark, path).withColumns({c: F.col(c).cast("long") for c in ("doc_id", "n_chars")})
+
+
 @query
 def json_scan(spark, sf_dir):
     path = scratch_path(spark, "conversations.json")

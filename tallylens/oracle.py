@@ -536,6 +536,7 @@ def all_sql() -> dict[str, str]:
         f"count({c}) AS count FROM lineitem" for c in LINEITEM_NUMBERS]
     return {
         "csv_scan": f"{dirty} SELECT {names} FROM dirty",
+        "csv_text_scan": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "json_scan": "SELECT conv_id, turn, role, text FROM conversations",
         "jsonl_scan": "SELECT event_id, user_id, event_type, value, props FROM events",
         "parquet_scan": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 45",

@@ -14,12 +14,12 @@ from tallylens.operators.columnwise import pinned, small_frame, together
 from tallylens.operators.domain import detect_domain
 from tallylens.operators.profile import profile, warnings
 from tallylens.operators.quality import quality_report
-from tallylens.sources.files import exact_sample, format_of, read_table, staged
+from tallylens.sources.files import exact_sample, read_split, staged
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """The cleaned table and what is known about the raw one."""
+    """The cleaned table, what is known about the raw one, and the raw records that did not fit it."""
 
     table: DataFrame
     profile: DataFrame
@@ -27,27 +27,33 @@ class Ingested:
     context: DataFrame
     domain: str
     row_count: int
+    rejected: DataFrame | None = None
 
 
 def describe_and_clean(
-    raw: DataFrame, source_type: str, exact: bool = True, with_warnings: bool = True, table_path: str | None = None
+    raw: DataFrame, source_type: str, exact: bool = True, with_warnings: bool = True, table_path: str | None = None,
+    rejected: DataFrame | None = None,
 ) -> Ingested:
     """Profile, domain and quality of the raw rows, then cleaning.
 
     The cleaned table is written once, to ``table_path`` or the shared folder,
     because every later pass reads it.
-    Counts in the context are those of the cleaned table.
+    Counts in the context are those of the cleaned table; ``rejected`` records
+    are counted in its warnings.
     """
     profiled, quality, domain, table = together(
         raw.sparkSession, lambda: profile(raw, exact), lambda: pinned(quality_report(raw)),
         lambda: detect_domain(raw).head()["domain"], lambda: staged(clean(raw), "clean", table_path))
     row_count = table.count()
     notes = [r["warning"] for r in warnings(profiled, quality).collect()] if with_warnings else []
+    n_rejected = rejected.count() if rejected is not None else 0
+    if n_rejected:
+        notes.append(f"Rejected records: {n_rejected}")
     context = small_frame(raw.sparkSession, [{
         "source_type": source_type, "domain": domain, "row_count": row_count, "column_count": len(table.columns),
         "warnings": notes,
     }], schemas.ddl(schemas.CONTEXT))
-    return Ingested(table, profiled, quality, context, domain, row_count)
+    return Ingested(table, profiled, quality, context, domain, row_count, rejected)
 
 
 def ingest(
@@ -57,14 +63,13 @@ def ingest(
     """Read a file and describe and clean it.
 
     Row formats are staged as Parquet first: profiling reads column by column,
-    and parsing text once is cheaper than parsing it in every pass.
+    and parsing text once is cheaper than parsing it in every pass. Records that
+    do not fit are kept as ``rejected``.
     """
-    raw = read_table(spark, path, schema)
+    raw, rejected = read_split(spark, path, schema)
     if sample is not None:
-        raw = exact_sample(raw, sample)
-    if format_of(path) != "parquet" or sample is not None:
-        raw = staged(raw, "raw")
-    return describe_and_clean(raw, "static_csv", exact, table_path=table_path)
+        raw = staged(exact_sample(raw, sample), "sample")
+    return describe_and_clean(raw, "static_csv", exact, table_path=table_path, rejected=rejected)
 
 
 def context_frame(ingested: Ingested) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from tallylens.operators.columnwise import col
 from tallylens.operators.facts import group_key
@@ -15,6 +16,9 @@ from tallylens.session import scratch_path
 
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet"}
 SEPARATORS = (",", ";", "\t", "|")
+REJECTED = "__rejected"  # the raw record of a row that does not fit its table, else null
+LISTING = ("recursiveFileLookup", "pathGlobFilter", "modifiedBefore", "modifiedAfter")
+DIALECT = ("quote", "escape", "comment", "lineSep", "encoding", "charset")
 
 
 def format_of(path: str) -> str:
@@ -38,7 +42,7 @@ def _first_lines(spark: SparkSession, path: str, n: int = 2) -> list[str]:
 def _separator(lines: list[str]) -> str:
     """The candidate that occurs most often in the header and equally in the next line."""
     def score(sep: str) -> tuple[int, int]:
-        counts = [line.count(sep) for line in lines]
+        counts = [re.sub('"[^"]*"?', "", line).count(sep) for line in lines]
         return (len(set(counts)) == 1 and counts[0] > 0, counts[0] if counts else 0)
 
     return max(SEPARATORS, key=score)
@@ -58,35 +62,119 @@ def _has_header(lines: list[str], separator: str) -> bool:
     return bool(tokens) and all(t and not _is_number(t) for t in tokens)
 
 
-def read_table(
+def _multi_line_files(spark: SparkSession, path: str, separator: str, options: dict[str, str]) -> list[str]:
+    """The CSV files that can not be read line by line, found by one scan of all lines.
+
+    Quotes cut a line into parts that lie outside and inside of quotes by turns.
+    A line is whole if it ends outside and quotes stand only next to separators
+    or in pairs. If all lines of a file are whole, no row has a line break.
+    """
+    parts = F.split("value", '"')
+    last = F.size(parts) - 1
+    fits = F.transform(parts, lambda p, i: (i % 2 == 1) | (p == "") | (
+        ((i == 0) | p.startswith(separator)) & ((i == last) | p.endswith(separator))))
+    whole = (last % 2 == 0) & F.forall(fits, lambda ok: ok)
+    lines = spark.read.options(**{k: v for k, v in options.items() if k in LISTING}).text(path)
+    return [r[0] for r in lines.where(F.col("value").contains('"') & ~whole).select("_metadata.file_path").distinct().collect()]
+
+
+def with_rejected(schema: str | StructType) -> StructType:
+    """A schema with the column for raw records."""
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return StructType([*(f for f in fields if f.name != REJECTED), StructField(REJECTED, StringType())])
+
+
+def _csv_rows(spark: SparkSession, path: str, schema: str | StructType | None, options: dict[str, str]) -> DataFrame:
+    lines = _first_lines(spark, path)
+    separator = options.pop("sep", None) or _separator(lines)
+    header = options.pop("header", None)
+    if header is None:
+        header = str(_has_header(lines, separator)).lower()
+    forced = options.pop("multiLine", None)
+    options = {"sep": separator, "header": header, "escape": '"', "columnNameOfCorruptRecord": REJECTED, "columnPruning": "false", **options}
+    apart: list[str] = []
+    if forced is None and any(k in options for k in DIALECT if k != "escape") | (options["escape"] != '"'):
+        forced = "true"  # the scan knows the usual quotes only
+    elif forced is None:
+        apart = _multi_line_files(spark, path, separator, options)
+    if schema is None:
+        options |= {"inferSchema": "true"}
+        schema = spark.read.options(multiLine=forced or str(bool(apart)).lower(), **options).csv(path).schema
+    fields = with_rejected(schema)
+
+    def part(multi_line: str) -> DataFrame:
+        return spark.read.schema(fields).options(multiLine=multi_line, **options).csv(path)
+
+    if not apart:
+        return part(forced or "false")
+    place = F.col("_metadata.file_path")
+    return part("false").where(~place.isin(apart)).unionAll(part("true").where(place.isin(apart)))
+
+
+def _json_rows(
+    spark: SparkSession, path: str, kind: str, schema: str | StructType | None, options: dict[str, str]
+) -> DataFrame:
+    lines = _first_lines(spark, path)
+    first = lines[0].strip() if lines else ""
+    whole = kind == "json" and (first.startswith("[") or not first.endswith("}"))
+    options = {"multiLine": str(whole).lower(), "columnNameOfCorruptRecord": REJECTED, **options}
+    fields = with_rejected(spark.read.options(**options).json(path).schema if schema is None else schema)
+    if len(fields) == 1 and lines:
+        raise ValueError(f"No record in {path}")
+    return spark.read.schema(fields).options(**options).json(path)
+
+
+def read_rows(
     spark: SparkSession, path: str, schema: str | StructType | None = None, **options: str
 ) -> DataFrame:
-    """Read a file or folder of files by its suffix.
+    """All rows of a file or folder, with the raw text of those that do not fit in the column ``REJECTED``.
 
-    CSV finds out separator and header from the first lines; JSON may hold
-    records, an array or lines. Without ``schema`` CSV and JSON types are
-    inferred by an extra pass over the data, so pass one for large inputs.
+    These are CSV rows with more or fewer fields than the header, broken JSON,
+    and values that are not of the type in ``schema``. A CSV file in which a
+    quoted value holds a line break is read by one task, other files are split;
+    if there is such a file, types are inferred by one task per file.
     """
     kind = format_of(path)
     if kind == "parquet":
         try:
-            return (spark.read.schema(schema) if schema else spark.read).options(**options).parquet(path)
+            return (spark.read.schema(schema) if schema else spark.read).options(**options).parquet(path).withColumn(
+                REJECTED, F.lit(None).cast("string"))
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
                 raise FileNotFoundError(f"File not found: {path}") from None
             raise
-    lines = _first_lines(spark, path)
-    reader = spark.read.schema(schema) if schema else spark.read
-    if kind == "csv":
-        separator = options.pop("sep", None) or _separator(lines)
-        header = options.pop("header", None)
-        if header is None:
-            header = str(_has_header(lines, separator)).lower()
-        return reader.options(
-            sep=separator, header=header, inferSchema=str(schema is None).lower(), escape='"', **options).csv(path)
-    first = lines[0].strip() if lines else ""
-    whole = kind == "json" and (first.startswith("[") or not first.endswith("}"))
-    return reader.options(multiLine=str(whole).lower(), **options).json(path)
+    return _csv_rows(spark, path, schema, options) if kind == "csv" else _json_rows(spark, path, kind, schema, options)
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: str | StructType | None = None, **options: str
+) -> DataFrame:
+    """Read a file or folder of files by its suffix.
+
+    CSV finds out separator and header from the first lines; JSON may hold
+    records, an array or lines. Without ``schema`` CSV and JSON types are
+    inferred by an extra pass over the data, so pass one for large inputs.
+    A row that does not fit raises an error when it is read; ``read_split``
+    keeps such rows apart.
+    """
+    rows = read_rows(spark, path, schema, **options)
+    if format_of(path) == "parquet":
+        return rows.drop(REJECTED)
+    # all values are named, so that all are parsed and a row is judged alike whatever is selected
+    values = F.struct(*[col(c) for c in rows.columns if c != REJECTED]).cast("string")
+    found = F.concat(F.lit(f"{path} holds a row that does not fit: "), F.substring(REJECTED, 1, 200), F.lit(" read as "), values)
+    return rows.where(F.when(F.isnull(REJECTED), True).otherwise(F.raise_error(found).cast("boolean"))).drop(REJECTED)
+
+
+def read_split(
+    spark: SparkSession, path: str, schema: str | StructType | None = None, **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit, and the raw ``record`` of every other row; CSV and JSON are read once and staged."""
+    rows = read_rows(spark, path, schema, **options)
+    if format_of(path) != "parquet":
+        rows = staged(rows, "raw")
+    return (rows.where(F.isnull(REJECTED)).drop(REJECTED),
+            rows.where(F.isnotnull(REJECTED)).select(F.col(REJECTED).alias("record")))
 
 
 def row_hash(df: DataFrame, seed: int) -> Column:

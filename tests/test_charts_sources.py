@@ -136,3 +136,43 @@ def test_sample_is_exact_and_repeatable(spark):
     assert len(a) == 100 and sorted(a) == sorted(b)
     assert sorted(a) != sorted(files.exact_sample(df, 100, seed=8).collect())
     assert files.exact_sample(df.limit(5), 100).count() == 5
+
+
+ODD_TEXTS = ["two\nlines", "a\r\nb", "say \"hi\"\n\"", "\"", "x, y\n", "5\" pipe,\"", "plain", "back\\slash", "cr\rcr", None]
+
+
+@pytest.mark.parametrize("files_written", [1, 4])
+def test_line_breaks_in_csv_values(spark, tmp_path, files_written):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id int, text string").repartition(files_written)
+    files.write_table(df, str(tmp_path / "t.csv"))
+    back = files.read_table(spark, str(tmp_path / "t.csv"))
+    assert back.schema == df.schema and sorted(back.collect()) == sorted(df.collect()) and back.count() == len(ODD_TEXTS)
+
+
+def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,t\n1,"a ""b"", c"\n2,""\n3,"""x"""\n')
+    (folder / "b c.csv").write_text('id,t\n4,"a\nb"\n')
+    (folder / "d.csv").write_text('id,t\n5,7" x,\n6,y\n')
+    found = files._multi_line_files(spark, str(folder), ",", {})
+    assert sorted(f.rsplit("/", 1)[1].replace("%20", " ") for f in found) == ["b c.csv", "d.csv"]
+    good, rejected = files.read_split(spark, str(folder))
+    assert sorted(r["id"] for r in good.collect()) == [1, 2, 3, 4, 6]
+    assert [r["record"] for r in rejected.collect()] == ['5,7" x,']
+
+
+@pytest.mark.parametrize("name, text, record", [
+    ("t.csv", "a,b\n1,2\n3,4,5\n6,7\n", "3,4,5"), ("t.csv", 'a,b\n1,"2\n"\n3,4,5\n6,7\n', "3,4,5"),
+    ("t.jsonl", '{"a": 1, "b": 2}\n{"a": 3,\n{"a": 6, "b": 7}\n', '{"a": 3,')])
+def test_rows_that_do_not_fit_are_kept_apart(spark, tmp_path, name, text, record):
+    from tallylens.plans.ingest import ingest
+
+    (tmp_path / name).write_text(text)
+    good, rejected = files.read_split(spark, str(tmp_path / name))
+    assert sorted(r["a"] for r in good.collect()) == [1, 6] and [r["record"].strip() for r in rejected.collect()] == [record]
+    with pytest.raises(Exception, match="does not fit"):
+        files.read_table(spark, str(tmp_path / name)).select("a").count()
+    done = ingest(spark, str(tmp_path / name))
+    assert done.row_count == 2 and done.rejected.count() == 1
+    assert "Rejected records: 1" in done.context.head()["warnings"]

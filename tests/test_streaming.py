@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from tallylens.operators.clean import clean
 from tallylens.streaming import live
 
@@ -51,3 +54,29 @@ def test_events_from_text(spark):
     texts = [json.dumps(order_event(1)), "broken", "```json\n" + json.dumps(order_event(2)) + "\n```"]
     rows = live.events_from_text(spark.createDataFrame([(t,) for t in texts], "value string"), "value").collect()
     assert sorted(r["order_id"] for r in rows) == ["LIVE00000001", "LIVE00000002"]
+
+
+def test_messages_that_are_no_record_are_kept(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    bad = ["broken", "{broken}", json.dumps(order_event(3) | {"quantity": "many"})]
+    (tmp_path / "in" / "m.txt").write_text("\n".join([json.dumps(order_event(1)), *bad]))
+    sink = str(tmp_path / "out")
+    events = live.messages_from_text(spark.readStream.text(str(tmp_path / "in")), "value")
+    live.start_live(events, sink, str(tmp_path / "cp"), analyse=False, once=True).awaitTermination()
+    assert [r["order_id"] for r in live.stored(spark, sink, "table").collect()] == ["LIVE00000001"]
+    assert sorted(r["record"] for r in live.stored(spark, sink, "rejected").collect()) == sorted(bad)
+    assert live.stored(spark, sink, "context").head()["warnings"] == ["Rejected records: 3"]
+
+
+def test_broken_lines_of_files_are_kept(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m.json").write_text(json.dumps(order_event(1)) + "\n{broken\n")
+    sink = str(tmp_path / "out")
+    events = live.file_events(spark, str(tmp_path / "in"), keep_rejected=True)
+    live.start_live(events, sink, str(tmp_path / "cp"), analyse=False, once=True).awaitTermination()
+    assert live.stored(spark, sink, "table").count() == 1
+    assert live.stored(spark, sink, "rejected").head()["record"].strip() == "{broken"
+    failing = live.start_live(
+        live.file_events(spark, str(tmp_path / "in")), str(tmp_path / "no"), str(tmp_path / "cp2"), analyse=False, once=True)
+    with pytest.raises(StreamingQueryException):
+        failing.awaitTermination()
