@@ -1,17 +1,21 @@
-"""Stupid-backoff scores of documents under word pair counts of the corpus.
+"""Stupid-backoff scores of documents under the n-gram counts of the corpus.
 
 Every text is cut into words, its ASCII letters in lower case. A word is scored
-after the word in front of it (the first one after a mark for the beginning):
-``count(pair) / count(front word)`` if the corpus holds the pair ``least`` times
-or more, else ``BACKOFF * count(word) / number of words``. A document's score is
-the sum of the logarithms.
-
-The count table has one row per different pair, named by the hashes of both
-words. Tasks count inside their batch, so a common pair is one row per batch
-before the exchange. The counts of single words follow from the pair table and
-are joined to it, so that the exploded pairs of the documents need one join
-only: (doc, pair, times) with the table, both dealt by the pair's hash. A pair
-is one row per document, whatever its number in it.
+after the ``order - 1`` words in front of it (marks for the beginning stand in
+front of the first): ``count(n-gram) / count(context)`` if the corpus holds the
+n-gram ``least`` times or more, else ``BACKOFF`` times the score with one front
+word less, and with none ``count(word) / number of words``. A document's score
+is the sum of the logarithms.
+
+An n-gram is named by the hashes of its context (all words but the last) and of
+its lower n-gram (all but the first), so one pair of hashes is all that is
+moved to count it. An n-gram is not rarer than the longer ones that hold it, so
+a table of the n-grams with ``least`` or more is complete: it has the count of
+every context and lower n-gram in it. A row says by how much the logarithm
+changes against the lower level, and the score of a document is the sum over
+its n-grams of all levels that the tables hold. So the exploded rows need one
+join only, by one hash each, and rare n-grams have no row in the table. A
+document has one row per different n-gram, whatever its number in it.
 
 Defined results: a null text is empty; a text without words has a score of 0;
 rows with equal ids are summed together, a null id being an id of its own. Words
@@ -21,6 +25,7 @@ are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,75 +40,129 @@ BACKOFF = 0.4
 BEGIN = np.uint64(0)  # stands for the word in front of the first
 
 
-def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Front word, word and pair of every word of all texts, and the words of each text."""
+def _name(n: int, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The hashes of n-grams; those of single words are the words' own."""
+    return lower if n == 1 else mix(context * np.uint64(0xD6E8FEB86659FD93) + lower + np.uint64(n))
+
+
+def _levels(column: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level, context, lower n-gram and n-gram of every word of all texts, and the words of each text. The last entry of
+    the three is no word: it stands for the beginning of a text."""
     data, offsets = raw(column)
     upper = (data >= 65) & (data <= 90)
     words = find_words(data + 32 * upper.astype(np.uint8), offsets)
-    front = np.empty_like(words.hashes)
-    front[1:] = words.hashes[:-1]
-    front[words.first[:-1][words.counts > 0]] = BEGIN
-    return front, words.hashes, mix(front * np.uint64(0xD6E8FEB86659FD93) + words.hashes), words.counts
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the pairs of a run of texts."""
-    for batch in batches:
-        for _, part in cut(batch["text"], 16 << 20):
-            front, word, pair, _ = _pairs(part)
-            own, at, times = np.unique(pair, return_index=True, return_counts=True)
-            yield pa.record_batch({
-                "pair": pa.array(own.view(np.int64)), "front": pa.array(front[at].view(np.int64)),
-                "word": pa.array(word[at].view(np.int64)), "times": pa.array(times.astype(np.int64))})
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, pair and how often the document has it."""
+    heads = words.first[:-1][words.counts > 0]
+    lower = np.append(words.hashes, BEGIN)
+    context = np.zeros_like(lower)
+    for n in range(1, order + 1):
+        if n > 1:
+            context = np.empty_like(lower)
+            context[1:] = lower[:-1]
+            context[heads] = context[-1] = lower[-1]
+        grams = _name(n, context, lower)
+        yield n, context, lower, grams, words.counts
+        lower = grams
+
+
+def _counted(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the n-grams of a run of texts, and how often they end a text."""
+        for batch in batches:
+            for _, part in cut(batch["text"], 16 << 20):
+                for n, context, lower, grams, counts in _levels(part, order):
+                    ends = np.zeros(len(grams), np.int64)
+                    ends[np.cumsum(counts)[counts > 0] - 1] = 1
+                    each = np.ones(len(grams), np.int64)
+                    each[-1] = np.count_nonzero(counts)
+                    order_of = np.argsort(grams, kind="stable")
+                    heads = np.flatnonzero(np.append(True, np.diff(grams[order_of]) != 0))
+                    at = order_of[heads]
+                    yield pa.record_batch({
+                        "n": pa.array(np.full(len(at), n, np.int32)), "context": pa.array(context[at].view(np.int64)),
+                        "lower": pa.array(lower[at].view(np.int64)),
+                        "times": pa.array(np.add.reduceat(each[order_of], heads)),
+                        "ends": pa.array(np.add.reduceat(ends[order_of], heads))})
+
+    return run
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of counted rows."""
     for batch in batches:
-        for at, part in cut(batch["text"], 2 << 20):
-            _, _, pair, counts = _pairs(part)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((pair, owner))
-            pair, owner = pair[order], owner[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
-            heads = np.flatnonzero(new)
-            yield pa.record_batch({
-                "doc_id": batch["doc_id"].slice(at, len(part)).take(pa.array(owner[heads])),
-                "pair": pa.array(pair[heads].view(np.int64)),
-                "times": pa.array(np.diff(np.append(heads, len(pair))).astype(np.int32))})
-
-
-def count_table(docs: DataFrame) -> DataFrame:
-    """pair, times, front_times, word_times: one row per different pair of the corpus."""
-    pairs = staged(
-        pick(docs, "text").mapInArrow(_counted, "pair bigint, front bigint, word bigint, times bigint")
-        .groupBy("pair").agg(F.first("front").alias("front"), F.first("word").alias("word"), F.sum("times").alias("times")),
-        "pair_counts")
-    fronts = pairs.groupBy("front").agg(F.sum("times").alias("front_times"))
-    words = pairs.groupBy("word").agg(F.sum("times").alias("word_times"))
-    return pairs.join(fronts, "front").join(words, "word").select("pair", "times", "front_times", "word_times")
-
-
-def score(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, n_words, n_backed_off (words whose pair is too rare), log_score and per_word (their mean; null without
-    words) for every document."""
+        level = np.asarray(batch["n"])
+        context, lower = (np.asarray(batch[c]).view(np.uint64) for c in ("context", "lower"))
+        grams = np.empty_like(lower)
+        for n in np.unique(level):
+            grams[level == n] = _name(int(n), context[level == n], lower[level == n])
+        yield pa.record_batch([*batch.columns, pa.array(grams.view(np.int64))], [*batch.schema.names, "gram"])
+
+
+def _exploded(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, n-gram and how often the document has it, for all levels."""
+        for batch in batches:
+            for at, part in cut(batch["text"], 2 << 20):
+                for _, _, _, grams, counts in _levels(part, order):
+                    owner, grams = np.repeat(np.arange(len(counts)), counts), grams[:-1]
+                    order_of = np.lexsort((grams, owner))
+                    grams, owner = grams[order_of], owner[order_of]
+                    new = np.ones(len(grams), bool)
+                    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+                    heads = np.flatnonzero(new)
+                    yield pa.record_batch({
+                        "doc_id": batch["doc_id"].slice(at, len(part)).take(pa.array(owner[heads])),
+                        "gram": pa.array(grams[heads].view(np.int64)),
+                        "times": pa.array(np.diff(np.append(heads, len(grams))).astype(np.int32))})
+
+    return run
+
+
+def count_table(docs: DataFrame, least: int, order: int) -> DataFrame:
+    """n, context, lower, times, ends, gram: one row per word, and per longer n-gram that the corpus holds ``least`` times."""
+    return staged(
+        pick(docs, "text").mapInArrow(_counted(order), "n int, context bigint, lower bigint, times bigint, ends bigint")
+        .groupBy("n", "context", "lower").agg(F.sum("times").alias("times"), F.sum("ends").alias("ends"))
+        .where((F.col("n") == 1) | (F.col("times") >= least))
+        .mapInArrow(_named, "n int, context bigint, lower bigint, times bigint, ends bigint, gram bigint"), "gram_counts")
+
+
+def changes(table: DataFrame, order: int) -> DataFrame:
+    """n, gram, change: what an n-gram adds to the logarithm that its lower n-gram gives."""
+    words = table.where("n = 1")
+    total = int(words.where(F.col("gram") != int(BEGIN)).agg(F.sum("times")).first()[0] or 0)
+    backed = np.log(BACKOFF)
+    followed = (F.col("times") - F.col("ends")).alias("followed")
+    share = F.log(F.col("times") / F.lit(float(max(total, 1)))) + float((order - 1) * backed)
+    level = words.select("n", "gram", followed, share.alias("value"), share.alias("change"))
+    levels = [level]
+    for n in range(2, order + 1):
+        share = F.log(F.col("times") / F.col("context_times")) + float((order - n) * backed)
+        level = (
+            table.where(F.col("n") == n)
+            .join(level.select(F.col("gram").alias("context"), F.col("followed").alias("context_times")), "context")
+            .join(level.select(F.col("gram").alias("lower"), F.col("value").alias("lower_value")), "lower")
+            .select("n", "gram", followed, share.alias("value"), (share - F.col("lower_value")).alias("change")))
+        levels.append(level)
+    return reduce(DataFrame.unionAll, [x.select("n", "gram", "change") for x in levels])
+
+
+def score(docs: DataFrame, least: int = 2, order: int = 2) -> DataFrame:
+    """doc_id, n_words, n_backed_off (words whose longest n-gram is too rare), log_score and per_word (their mean; null
+    without words) for every document."""
+    if least < 1 or order < 1:
+        raise ValueError("least and order are 1 or more")
     docs = pick(docs, "doc_id", "text")
-    table = staged(count_table(docs), "pair_table")
-    total = int(table.agg(F.sum("times")).first()[0] or 0)
-    seen = F.col("times") >= least
-    table = table.select(
-        "pair", seen.alias("seen"),
-        F.when(seen, F.log(F.col("times") / F.col("front_times")))
-        .otherwise(F.log(F.lit(BACKOFF) * F.col("word_times") / F.lit(float(max(total, 1))))).alias("log_share"))
-    asked = docs.mapInArrow(_exploded, "doc_id bigint, pair bigint, times int")
+    table = changes(count_table(docs, least, order), order)
+    asked = docs.mapInArrow(_exploded(order), "doc_id bigint, gram bigint, times int")
     found = (
-        asked.join(table, "pair").groupBy("doc_id")
-        .agg(F.sum("times").alias("n_words"), F.sum(F.when(F.col("seen"), 0).otherwise(F.col("times"))).alias("n_backed_off"),
-             F.sum(F.col("times") * F.col("log_share")).alias("log_score")))
+        asked.join(table, "gram").groupBy("doc_id")
+        .agg(F.sum(F.when(F.col("n") == 1, F.col("times"))).alias("n_words"),
+             F.sum(F.when(F.col("n") == order, F.col("times")).otherwise(0)).alias("n_found"),
+             F.sum(F.col("times") * F.col("change")).alias("log_score")))
     ids = docs.select("doc_id").distinct()
     none = F.lit(0).cast("long")
     return (
         ids.alias("i").join(found.alias("f"), F.col("i.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-        .select("i.doc_id", F.coalesce("n_words", none).alias("n_words"), F.coalesce("n_backed_off", none).alias("n_backed_off"),
+        .select("i.doc_id", F.coalesce("n_words", none).alias("n_words"),
+                F.coalesce(F.col("n_words") - F.col("n_found"), none).alias("n_backed_off"),
                 F.coalesce("log_score", F.lit(0.0)).alias("log_score"), (F.col("log_score") / F.col("n_words")).alias("per_word")))

@@ -71,8 +71,8 @@ def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every document under the word pairs of all documents."""
-    return backoff.score(load(spark, sf_dir, "documents", "doc_id", "text"))
+    """The score of every document under the n-grams of up to three words of all documents."""
+    return backoff.score(load(spark, sf_dir, "documents", "doc_id", "text"), order=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

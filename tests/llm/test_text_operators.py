@@ -243,6 +243,44 @@ def test_backoff_scores_equal_brute_force(spark, odd, empty, sf_dir):
     assert backoff.score(empty).count() == 0
 
 
+def brute_levels(rows: list[tuple[int, str | None]], least: int, order: int) -> dict[int, list]:
+    texts = [(i, WORD.findall((t or "").translate(LOWER))) for i, t in rows]
+    counts, contexts = Counter(), Counter()
+
+    def grams(words, at):
+        padded = [None] * (order - 1) + words
+        return [tuple(padded[at + order - n : at + order]) for n in range(order, 0, -1)]
+
+    for _, words in texts:
+        for at in range(len(words)):
+            for gram in grams(words, at):
+                counts[gram] += 1
+                contexts[gram[:-1]] += 1
+    out = defaultdict(lambda: [0, 0, 0.0])
+    for i, words in texts:
+        own = out[i]
+        for at in range(len(words)):
+            factor = 1.0
+            for gram in grams(words, at):
+                if len(gram) == 1 or counts[gram] >= least:
+                    break
+                factor *= 0.4
+            own[0] += 1
+            own[1] += len(gram) < order
+            own[2] += np.log(factor * counts[gram] / contexts[gram[:-1]])
+    return out
+
+
+@pytest.mark.parametrize("least, order", [(2, 3), (1, 3), (3, 4), (2, 1)])
+def test_backoff_goes_level_by_level(spark, odd, sf_dir, least, order):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    for frame in (docs, odd):
+        want = brute_levels([(r.doc_id, r.text) for r in frame.collect()], least, order)
+        got = {r.doc_id: r for r in backoff.score(frame, least, order).collect()}
+        for i, r in got.items():
+            assert (r.n_words, r.n_backed_off) == tuple(want[i][:2]) and r.log_score == pytest.approx(want[i][2])
+
+
 def test_quality_on_held_out_rows(spark, sf_dir):
     scored = queries.quality(spark, "/root/testdata/sf0.01")
     labels = load(spark, "/root/testdata/sf0.01", "labels", "doc_id", "quality").dropDuplicates(["doc_id"])
