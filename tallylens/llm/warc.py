@@ -41,6 +41,7 @@ SEGMENT, CHUNK = 1 << 16, 1 << 14
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 SEPARATOR = END + VERSION
+BORDERS = (VERSION, b"\r\n" + VERSION)  # behind an empty line, both hold the separator
 NO_ID = -(1 << 63)
 SALTS = 16
 
@@ -57,6 +58,8 @@ def chunked(payload: bytes) -> bytes:
         hit = payload.find(SEPARATOR, at, end + len(SEPARATOR) - 1)
         if hit >= 0:
             end = min(end, hit + len(END))
+        if payload.startswith(BORDERS[1], at):
+            end = at + 1  # the line end behind the chunk's size would complete the separator
         out.append(b"%x\r\n%s\r\n" % (end - at, payload[at:end]))
         at = end
     # a blank at the very end would join the separator behind the record
@@ -86,6 +89,19 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return lines.encode() + b"\r\n" + block
 
 
+def segments(block: bytes) -> list[bytes]:
+    """The block cut about every ``SEGMENT`` bytes. No part begins with a record's first line, which would read
+    as the separator of two records behind the empty line that ends the headers."""
+    parts, at = [], 0
+    while at < len(block):
+        end = at + SEGMENT
+        if block.startswith(BORDERS, end):
+            end -= 1
+        parts.append(block[at:end])
+        at = end
+    return parts
+
+
 def records(page: int, url: str | None, payload: bytes, refers: int | None, date: str) -> Iterator[bytes]:
     """All records of one row."""
     own = f"<urn:page:{page}:{uuid.uuid4().hex}>"
@@ -98,7 +114,7 @@ def records(page: int, url: str | None, payload: bytes, refers: int | None, date
                       "X-Payload-Length": str(len(payload))}, http.encode() + b"\r\n")
         return
     block = f"{http}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
-    parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
+    parts = segments(block)
     for i, part in enumerate(parts):
         segment = {"WARC-Segment-Number": str(i + 1)} if len(parts) > 1 else {}
         if i:

@@ -142,6 +142,15 @@ def test_archives_of_tricky_pages(spark, tmp_path):
     assert archived(spark, [], tmp_path / "none").count() == 0
 
 
+def test_no_segment_or_chunk_begins_with_a_first_line(spark, tmp_path):
+    lines_only = [(i, "u", "x" * i + "WARC/1.1\r\n" * 30_000) for i in range(10)]
+    with_ends = [(20 + i, "u", "x" * i + "y\r\nWARC/1.1\r\n" * 30_000) for i in range(13)]
+    rows = [*lines_only, *with_ends, (40, "u", "\r\nWARC/1.1\r\n"), (41, "u", "z" * warc.CHUNK + "\r\nWARC/1.1\r\nz")]
+    found = archived(spark, rows, tmp_path).collect()
+    assert {r.problem for r in found} == {None}
+    assert {r.page_id: bytes(r.payload).decode() for r in found} == {i: html for i, _, html in rows} and len(found) == len(rows)
+
+
 def test_archives_of_all_pages(spark, sf_dir):
     rows = [(r.page_id, r.html) for r in load(spark, sf_dir, "pages", "page_id", "html").collect()]
     found = queries.archives(spark, sf_dir).collect()
