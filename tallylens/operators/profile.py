@@ -14,7 +14,7 @@ from tallylens.functions.numbers import round_to
 from tallylens.operators.columnwise import (
     aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, small_frame, sql_text,
 )
-from tallylens.operators.facts import LONG_TEXT, group_key, number_facts
+from tallylens.operators.facts import group_key, number_facts
 from tallylens.operators.statistics import top_values, value_counts
 
 SAMPLE_ROWS = 100
@@ -152,17 +152,10 @@ def warnings(profile_rows: DataFrame, quality: DataFrame) -> DataFrame:
     return failing.unionByName(issues)
 
 
-def _full_texts(df: DataFrame, name: str, keys: Sequence[str]) -> dict[str, str]:
-    """The texts behind a few digests."""
-    key = group_key(col(name), T.StringType())
-    rows = df.select(key.alias("key"), col(name).alias("value")).where(F.col("key").isin(list(keys)))
-    return dict(rows.groupBy("key").agg(F.any_value("value")).collect())
-
-
 def column_chart_stats(df: DataFrame, first: int | None = None, top: int = 5) -> DataFrame:
     """Number ranges and top texts of all (or the ``first``) columns, for charts.
 
-    Long texts travel as digests; only the few that are shown are read in full.
+    Long texts are counted by their digests; one text goes with each digest of a task, as ties are ordered by the texts.
     """
     shown = [c for c in df.columns[:first] if not names.skip_in_chart(c)]
     part = df.select(*[col(c) for c in shown])
@@ -179,11 +172,8 @@ def column_chart_stats(df: DataFrame, first: int | None = None, top: int = 5) ->
         found = {r["column"]: r["top_vals"] for r in top_values(counted.where("value IS NOT NULL"), top).collect()}
         for r in uniques.orderBy("column").collect():
             c = r["column"]
-            tops = [(v["value"], v["n"]) for v in found.get(c, [])]
-            digests = [v for v, _ in tops if len(v.encode()) >= LONG_TEXT]
-            full = _full_texts(part, c, digests) if digests else {}
             rows.append({"column": c, "kind": "categorical", "n_unique": r["uniques"],
-                         "top_vals": [{"value": full.get(v, v), "n": n} for v, n in tops]})
+                         "top_vals": [{"value": v["value"], "n": v["n"]} for v in found.get(c, [])]})
     return small_frame(df.sparkSession, rows, schemas.ddl(
         "column string, kind string, mean double, low double, high double, n_unique long, "
         "top_vals array<struct<value:string,n:long>>"))

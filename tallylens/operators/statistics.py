@@ -17,7 +17,7 @@ from tallylens.operators.columnwise import (
     sql_number, sql_text, sql_usable, together, union_all,
 )
 from tallylens.operators.facts import (
-    NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
+    LONG_TEXT, NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
 )
 from tallylens.operators.quantiles import quantiles
 
@@ -211,26 +211,29 @@ def anomaly_findings(numbers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- categories
 
 def value_counts(df: DataFrame, columns: Sequence[str], keep_nulls: bool = False) -> DataFrame:
-    """``(column, value, n)`` for text columns, merged per value before the shuffle.
+    """``(column, value, n, whole)`` for text columns, merged per value before the shuffle.
 
-    Long texts are named by their digest, see :func:`group_key`.
+    Long texts are named by their digest, see :func:`group_key`; ``whole`` is
+    the text behind a digest and null for the others.
     """
     def build(one: DataFrame, name: str) -> DataFrame:
         rows = one if keep_nulls else one.where("value IS NOT NULL")
-        keyed = rows.select(group_key(F.col("value"), T.StringType()).alias("value"))
-        return keyed.groupBy("value").agg(F.count("*").alias("n")).selectExpr(f"{sql_text(name)} AS column", "value", "n")
+        whole = F.when(F.octet_length("value") >= LONG_TEXT, F.col("value"))
+        keyed = rows.select(group_key(F.col("value"), T.StringType()).alias("value"), whole.alias("whole"))
+        return keyed.groupBy("value").agg(F.count("*").alias("n"), F.min("whole").alias("whole")).selectExpr(
+            f"{sql_text(name)} AS column", "value", "n", "whole")
 
     return per_column(df, columns, build)
 
 
 def top_values(counted: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent values per column as ``top_vals`` (L4); ties by value.
+    """The ``k`` most frequent values per column, in full, as ``top_vals`` (L4); ties by value.
 
     The rank limit is applied within each task before the shuffle.
     """
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     return (
-        counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        counted.withColumn("value", F.coalesce("whole", "value")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
         .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("ranked"))
         .select("column", F.transform("ranked", lambda r: F.struct(r["value"].alias("value"), r["n"].alias("n")))
                 .alias("top_vals")))

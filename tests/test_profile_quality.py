@@ -113,3 +113,13 @@ def test_chart_column_stats_show_full_texts(spark):
     assert rows["price"]["mean"] == 3.0 and rows["price"]["kind"] == "numeric"
     assert rows["note"]["n_unique"] == 3
     assert [(v["value"], v["n"]) for v in rows["note"]["top_vals"]] == [(long, 2), ("b", 1)]
+
+
+def test_long_texts_with_equal_counts_are_ranked_by_text(spark):
+    from tallylens.operators.profile import column_chart_stats
+
+    texts = [c + "x" * 80 for c in "fbdace"] + ["short"]
+    df = spark.createDataFrame([(t,) for t in texts * 2 + ["z" * 90] * 3], "note string").repartition(4)
+    top = column_chart_stats(df).head()["top_vals"]
+    assert [(v["value"][0], len(v["value"]), v["n"]) for v in top] == [
+        ("z", 90, 3), ("a", 81, 2), ("b", 81, 2), ("c", 81, 2), ("d", 81, 2)]
