@@ -351,3 +351,41 @@ def test_pipeline_stages(spark, odd, empty, sf_dir):
                     assert after.select("doc_id").exceptAll(frame.select("doc_id")).isEmpty()
             frame = after
     assert p.run(spark, sf_dir).where("not parity").isEmpty()
+
+
+def test_pipeline_stages_keep_the_right_rows(spark, sf_dir):
+    import math
+
+    import corpus_pipeline as p
+    import duckdb
+
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars").cache()
+    scorer = subwords.train(docs, load(spark, sf_dir, "labels", "doc_id", "quality"))
+    scores = {r.doc_id: r.score for r in subwords.score(docs, scorer).collect()}
+    first = p.quality(spark, docs, sf_dir).cache()
+    rows = sorted((r.doc_id, r.text, r.n_chars) for r in docs.collect() if scores[r.doc_id] >= p.REJECT)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in first.collect()) == rows and len(rows) > 100
+
+    keeper: dict[str, int] = {}
+    for i, text, _ in rows:
+        for line in text.split("\n"):
+            keeper.setdefault(line.strip(" \t\n\v\f\r").translate(LOWER), i)
+    want = []
+    for i, text, size in rows:
+        own = text.split("\n")
+        left = [x for x in own if len(k := x.strip(" \t\n\v\f\r").translate(LOWER)) < 10 or keeper[k] == i]
+        if len(left) == len(own) or WORD.search("\n".join(left)):
+            want.append((i, "\n".join(left), size if len(left) == len(own) else len("\n".join(left))))
+    second = p.lines_once(spark, first, sf_dir).cache()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in second.collect()) == want != rows
+
+    classes = brute_classes([(i, text) for i, text, _ in want])
+    third = p.near_copies(spark, second, sf_dir).cache()
+    assert sorted((r.doc_id, r.text) for r in third.collect()) == [(i, t) for i, t, _ in want if classes[i] == i]
+
+    con = duckdb.connect()
+    con.register("documents", third.toArrow())
+    taken = con.execute(mixing.SQL).fetchall()
+    times = {i: math.ceil(n / size) if size else 1 for i, size, _, _, n in taken}
+    fourth = p.mixed(spark, third, sf_dir)
+    assert Counter(r.doc_id for r in fourth.collect()) == Counter({i: n for i, n in times.items() if n})
