@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylens.llm import backoff, chat, darts, lines, mixing, pieces, rules, subwords, tiles, warc
+from tallylens.llm import backoff, chat, darts, lines, mixing, negatives, pieces, repair, rules, subwords, tiles, warc
 from tallylens.llm.tables import fold, load
 from tallylens.session import scratch_path
 
@@ -75,6 +75,17 @@ def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(load(spark, sf_dir, "documents", "doc_id", "text"), order=3)
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of the five positives of every 100th vector."""
+    return negatives.mine(negatives.relabelled(load(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")))
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.digests(rows, repair.repair(repair.damaged(rows)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": archives,
     "op2_quality_subwords": quality,
@@ -86,4 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": source_mix,
     "op9_backoff_scores": backoff_scores,
     "op10_line_index": line_index,
+    "op11_subset_sums": hard_negatives,
+    "op12_turn_repair": conversation_repair,
 }
