@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylens.llm import backoff, chat, darts, lines, mixing, negatives, pieces, repair, rules, subwords, tiles, warc
+from tallylens.llm import backoff, chat, darts, lines, mixing, negatives, pieces, repair, rules, simhash, subwords, tiles, warc
 from tallylens.llm.tables import fold, load
 from tallylens.session import scratch_path
 
@@ -86,6 +86,11 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(rows, repair.repair(repair.damaged(rows)))
 
 
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and its group of documents with near ones."""
+    return simhash.groups(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": archives,
     "op2_quality_subwords": quality,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_index": line_index,
     "op11_subset_sums": hard_negatives,
     "op12_turn_repair": conversation_repair,
+    "op13_segment_counts": simhash_groups,
 }
