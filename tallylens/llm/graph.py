@@ -31,6 +31,6 @@ def components(links: DataFrame) -> DataFrame:
     found = joined.pop()
     while joined:
         before = joined.pop()
-        later = found.withColumnsRenamed({"node": "label", "label": "last"})
+        later = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
         found = before.join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
     return staged(found, "groups")
