@@ -10,21 +10,30 @@ hashed coordinate of the signature. A document keeps the darts of rank below
 is the signature's value there. Two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity.
 
-Equal texts (by their words) are one class from the start; only the smallest
-doc_id of each goes on. Signatures are cut into ``BANDS`` bands of ``ROWS``
-values; documents with an equal band share a bucket. In a bucket members are
-compared with a few pivots, not with each other: pivots are its members of the
-smallest classes. Candidates get an exact check of their similarity on the
-windows. Then links are merged to classes, and buckets whose members still lie in several classes get four
-times as many new pivots, until each pair of a bucket was compared or lies in
-one class. So no link between texts that share a bucket is lost, and a group of
-thousands of copies costs one comparison per member and bucket.
-
-Classes are merged on Spark by passing smaller labels along links and along
-labels; each pass is written to the shared folder.
-
-Defined results: texts without words are one class of their own per row id;
-null ids are each in a class of their own and get a null class; of rows with equal ids the smallest class id wins.
+Equal texts (by their words) are one text from the start. Signatures are cut into
+``BANDS`` bands of ``ROWS`` values; texts with an equal band share a bucket.
+Texts that share a bucket are compared on their windows, in two steps:
+
+* Pivots. In each round every bucket whose texts are not of one class yet names
+  its most central text that was no pivot before, and a text is compared with one
+  of the pivots of its buckets: a round has no more pairs than texts. Rounds go
+  on as long as a good part of their pairs are similar. They tie up groups of
+  near copies, however large.
+* What is left in buckets of several classes meets by an exact prefix filter. Two
+  multisets of similarity 0.8 share one of the rarest ``n - ceil(0.8 n) + 1``
+  strips of each, at places that leave enough strips behind them. How rare a
+  strip is, is read from a table of fixed size of hashed counts: any order is
+  right, and the table tells the strips of shared passages, which are in very
+  many texts, from the rest. Pairs whose similarities to a common pivot differ too
+  much are left out, as ``1 - similarity`` obeys the triangle inequality.
+
+So no link between texts that share a bucket is lost, and texts that merely share
+a passage do not meet. A comparison sends the windows of a text once, and those
+of its partner once for every ``CELL`` texts compared with it.
+
+Defined results: every row is a document, also with a repeated id. Rows without
+words are a class of their own each. A null id is never the smallest of its
+class; a class without any id has a null class_id. ``class_size`` counts rows.
 """
 
 from __future__ import annotations
@@ -35,16 +44,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from tallylens.llm.graph import components
 from tallylens.llm.tables import pick
 from tallylens.llm.tokens import cut, find_words, mix, raw, unit
-from tallylens.sources.files import staged
+from tallylens.sources.files import row_hash, staged
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 DARTS = 1200  # expected number per document; a coordinate stays empty once in about 15,000
-PIVOTS = 2
+CELL = 64  # texts compared with one copy of a partner's windows
+PROGRESS = 0.25  # rounds of pivots go on as long as this share of their pairs is similar
+COUNTERS = 1 << 20  # of the table that tells frequent strips
 PAIRS_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -102,144 +114,240 @@ def signatures(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return dart
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, part in cut(batch["text"], 2 << 20):
-            _, counts, whole = shingles(part)
-            yield pa.record_batch({
-                "doc": batch["doc_id"].slice(at, len(part)), "whole": pa.array(whole.view(np.int64)),
-                "weight": pa.array(counts.astype(np.int64))})
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, weight and its bands."""
+    """doc_id, the name of its text, its weight, and its bands where the text is the first of its kind in a run."""
     for batch in batches:
         for at, part in cut(batch["text"], 1 << 20):
-            items, counts, _ = shingles(part)
-            darts = signatures(items, counts).reshape(len(part), BANDS, ROWS)
+            items, counts, whole = shingles(part)
+            _, first = np.unique(whole, return_index=True)
+            new = np.zeros(len(part), bool)
+            new[first] = True
+            new &= counts > 0
+            darts = signatures(items[np.repeat(new, counts)], counts[new]).reshape(int(new.sum()), BANDS, ROWS)
             bands = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), darts.shape[:2])
             for i in range(ROWS):
                 bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + darts[:, :, i])
+            edges = pa.array(np.concatenate([[0], np.cumsum(new * BANDS)]), pa.int32())
             yield pa.record_batch({
-                "doc": batch["doc"].slice(at, len(part)), "weight": pa.array(counts.astype(np.int64)),
-                "bands": pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))})
+                "doc_id": batch["doc_id"].slice(at, len(part)), "node": pa.array(whole.view(np.int64)),
+                "weight": pa.array(counts.astype(np.int64)),
+                "bands": pa.ListArray.from_arrays(edges, pa.array(bands.reshape(-1).view(np.int64)))})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc and its windows."""
+    """The name of a text and its windows."""
     for batch in batches:
-        for at, part in cut(batch["text"], 1 << 20):
-            items, counts, _ = shingles(part)
-            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
+        for _, part in cut(batch["text"], 1 << 20):
+            items, counts, whole = shingles(part)
+            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.record_batch({
-                "doc": batch["doc"].slice(at, len(part)),
-                "items": pa.LargeListArray.from_arrays(edges, pa.array(items.view(np.int64))).cast(pa.list_(pa.int64()))})
+                "node": pa.array(whole.view(np.int64)), "items": pa.ListArray.from_arrays(edges, pa.array(items.view(np.int64)))})
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets of windows."""
+    both = np.concatenate([a, b])
+    side = np.concatenate([np.ones(len(a), np.int64), -np.ones(len(b), np.int64)])
+    order = np.argsort(both, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+    apart = int(np.abs(np.add.reduceat(side[order], heads)).sum())
+    # |a| + |b| = shared * 2 + apart, union = shared + apart
+    shared = (len(a) + len(b) - apart) // 2
+    return shared / (shared + apart)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarities within sorted cells: the pivot of a cell comes first."""
+    now = windows = None
+    for batch in batches:
+        pivot, nodes, found = [], [], []
+        for p, first, node, items in zip(
+                batch["pivot"].to_pylist(), batch["first"].to_pylist(), batch["node"].to_pylist(), batch["items"], strict=True):
+            if first == 0:
+                now, windows = p, items.values.to_numpy()
+            elif now == p:
+                pivot.append(p)
+                nodes.append(node)
+                found.append(similarity(windows, items.values.to_numpy()))
+        yield pa.record_batch({
+            "pivot": pa.array(pivot, pa.int64()), "node": pa.array(nodes, pa.int64()), "similarity": pa.array(found, pa.float64())})
+
+
+def compared(pairs: DataFrame, windows: DataFrame) -> DataFrame:
+    """pivot, node, similarity of every pair (pivot, node)."""
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CELL).cast("int").alias("salts"))
+    members = pairs.join(sizes, "pivot").select(
+        "node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("first"))
+    pivots = sizes.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("first"))
+    sides = members.unionByName(pivots).join(windows, "node")
+    return staged(
+        sides.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "first")
+        .select("pivot", "first", "node", "items").mapInArrow(_compared, "pivot bigint, node bigint, similarity double"), "compared")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node and label after the texts of ``links`` (pivot, node) have come to one class."""
+    ends = links.join(labels, "node").select("pivot", F.col("label").alias("x")).join(
+        labels.withColumnRenamed("node", "pivot"), "pivot").select("x", F.col("label").alias("y"))
+    after = components(ends).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return staged(labels.join(after, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their labels, of buckets whose texts are not of one class."""
+    now = members.join(labels, "node")
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return now.join(mixed, "bucket")
+
+
+def _pivots(members: DataFrame, labels: DataFrame, before: DataFrame) -> DataFrame:
+    """pivot, node: every text of a mixed bucket with the most central pivot of its buckets that is of another class."""
+    now = staged(_split(members, labels), "mixed")
+    pivots = now.join(before, "node", "left_anti").groupBy("bucket").agg(
+        F.max(F.struct("central", "node", "label", "weight")).alias("p"))
+    near = F.least("weight", "p.weight") >= SIMILAR * F.greatest("weight", "p.weight")
+    return now.join(pivots, "bucket").where((F.col("label") != F.col("p.label")) & near).groupBy("node").agg(
+        F.max(F.struct("p.central", "p.node")).alias("p")).select(F.col("p.node").alias("pivot"), "node")
+
+
+def _strips(items: np.ndarray) -> np.ndarray:
+    """The strips of sorted windows: a window and the times that it came before."""
+    new = np.append(True, items[1:] != items[:-1])
+    heads = np.flatnonzero(new)
+    times = np.arange(len(items)) - np.repeat(heads, np.diff(np.append(heads, len(items))))
+    return mix(items.view(np.uint64) + mix(times.astype(np.uint64)))
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose multisets of windows are similar enough."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        keep = []
-        for x, y in zip(batch["x_items"], batch["y_items"], strict=True):
-            a, b = x.values.to_numpy(), y.values.to_numpy()
-            both = np.concatenate([a, b])
-            side = np.concatenate([np.ones(len(a), np.int64), -np.ones(len(b), np.int64)])
-            order = np.argsort(both, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
-            apart = int(np.abs(np.add.reduceat(side[order], heads)).sum())
-            # |a| + |b| = shared * 2 + apart, union = shared + apart
-            shared = (len(a) + len(b) - apart) // 2
-            keep.append(shared >= SIMILAR * (shared + apart))
-        yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """doc and label: the smallest label of each connected group. ``labels`` holds all docs of ``links`` (x, y)."""
-    both = staged(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
+        every = [_strips(items.values.to_numpy()) % np.uint64(COUNTERS) for items in batch["items"]]
+        if every:
+            total += np.bincount(np.concatenate(every).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.record_batch({"counter": pa.array(at, pa.int32()), "n": pa.array(total[at])})
+
+
+def _prefixes(counts: bytes):
+    often = np.frombuffer(counts, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rarest strips of each text and how many strips lie behind each."""
+        for batch in batches:
+            rows, strips, behind = [], [], []
+            for at, items in enumerate(batch["items"]):
+                own = _strips(items.values.to_numpy())
+                n = len(own)
+                own = own[np.lexsort((own, often[(own % np.uint64(COUNTERS)).astype(np.int64)]))]
+                first = n - int(np.ceil(SIMILAR * n - 1e-9)) + 1
+                rows.append(np.full(first, at))
+                strips.append(own[:first])
+                behind.append(n - 1 - np.arange(first))
+            if rows:
+                yield pa.record_batch([
+                    *[c.take(pa.array(np.concatenate(rows))) for c in batch.columns[:-1]],
+                    pa.array(np.concatenate(strips).view(np.int64)), pa.array(np.concatenate(behind))],
+                    names=[*batch.schema.names[:-1], "strip", "behind"])
+
+    return run
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """pivot, node: pairs of different classes that share a rare strip. rows: node, label, weight, pivot, similarity, items."""
+    counts = np.zeros(COUNTERS, np.int64)
+    # as many rows as there are counters, whatever the input
+    table = rows.select("items").mapInArrow(_counted, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts[table["counter"].to_numpy()] = table["n"].to_numpy()
+    kinds = dict(rows.dtypes)
+    names = ["node", "label", "weight", "pivot", "similarity"]
+    prefix = staged(rows.select(*names, "items").mapInArrow(
+        _prefixes(counts.tobytes()), ", ".join(f"{c} {kinds[c]}" for c in names) + ", strip bigint, behind bigint"), "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    both = F.col("a.weight") + F.col("b.weight")
+    enough = F.lit(1 + 1e-9) + F.least("a.behind", "b.behind") >= SIMILAR / (1 + SIMILAR) * both
+    # a difference of similarities to one pivot is at most the distance
+    far = F.coalesce((F.col("a.pivot") == F.col("b.pivot")) & (F.abs(F.col("a.similarity") - F.col("b.similarity")) > 1 - SIMILAR + 1e-9), F.lit(False))
+    met = a.join(b, (F.col("a.strip") == F.col("b.strip")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & enough & ~far)
+    return staged(met.select(F.col("a.node").alias("pivot"), F.col("b.node").alias("node")).distinct(), "candidates")
+
+
+def labelled(members: DataFrame, windows: DataFrame) -> DataFrame:
+    """node and label of all texts that share a bucket. members: bucket, node, weight, central; windows: node, items."""
+    labels = staged(members.select("node", F.col("node").alias("label")).distinct(), "labels")
+    before = labels.select("node").limit(0)
+    first = None
     while True:
-        near = both.join(labels.withColumnsRenamed({"doc": "y", "label": "other"}), "y").groupBy("x").agg(F.min("other").alias("other"))
-        # a smaller label found at a link is passed to the whole class, by its label, and to the one it was found from
-        found = labels.join(near.withColumnRenamed("x", "doc"), "doc", "left").select(
-            "doc", "label", F.least("label", "other").alias("least"))
-        roots = found.where("least < label").groupBy("label").agg(F.min("least").alias("root"))
-        after = staged(found.join(roots, "label", "left").select("doc", F.least("least", "root").alias("label"), (
-            F.least("least", "root") < F.col("label")).alias("moved")), "labels")
-        labels = after.select("doc", "label")
-        if after.where("moved").isEmpty():
-            return labels
-
-
-def candidates(members: DataFrame, labels: DataFrame, done: int, pivots: int) -> DataFrame:
-    """Pairs of a bucket's members of different classes with its next pivots: x, y.
-
-    Pivots are taken in the fixed order ``turn``; those up to ``done`` were compared with all members before.
-    """
-    now = members.join(labels, "doc")
-    split = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    left = now.join(split, "bucket")
-    chosen = left.where((F.col("turn") > done) & (F.col("turn") <= done + pivots)).select(
-        "bucket", F.col("doc").alias("p"), F.col("weight").alias("p_weight"), F.col("label").alias("p_label"))
-    light, heavy = F.least("weight", "p_weight"), F.greatest("weight", "p_weight")
-    return (
-        left.join(chosen, "bucket").where((F.col("label") != F.col("p_label")) & (light >= SIMILAR * heavy))
-        .select(F.least("doc", "p").alias("x"), F.greatest("doc", "p").alias("y")).distinct())
+        pairs = staged(_pivots(members, labels, before), "pairs")
+        before = staged(before.unionByName(pairs.select(F.col("pivot").alias("node"))).distinct(), "pivots")
+        found = compared(pairs, windows)
+        first = found if first is None else first
+        n, near = found.agg(F.count("*"), F.count_if(F.col("similarity") >= SIMILAR)).first()
+        if near:
+            labels = joined(labels, found.where(F.col("similarity") >= SIMILAR))
+        if near < max(1, PROGRESS * n):
+            break
+    left = _split(members, labels).select("node", "label", "weight").distinct()
+    known = first.groupBy("node").agg(F.max(F.struct("pivot", "similarity")).alias("k")).select("node", "k.*")
+    pairs = candidates(left.join(known, "node", "left").join(windows, "node"))
+    return joined(labels, compared(pairs, windows).where(F.col("similarity") >= SIMILAR))
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node and weight of every row; node and label of the texts that share a bucket."""
+    docs = pick(docs, "doc_id", "text")
+    signed = staged(docs.mapInArrow(_signed, "doc_id bigint, node bigint, weight bigint, bands array<bigint>"), "signatures")
+    texts = signed.where(F.size("bands") > 0).dropDuplicates(["node"])
+    rows = texts.select(F.explode("bands").alias("bucket"), "node", "weight")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = staged(rows.join(shared, "bucket"), "members")
+    central = members.groupBy("node").agg(F.sum("size").alias("central"))
+    members = staged(members.join(central, "node").select("bucket", "node", "weight", "central"), "members")
+    # windows take more room than the texts: only texts that share a bucket need them, from one row each
+    wanted = central.select("node")
+    heads = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    texts = docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    windows = staged(
+        texts.mapInArrow(_windows, "node bigint, items array<bigint>").join(wanted, "node", "left_semi")
+        .groupBy("node").agg(F.first("items").alias("items")), "windows")
+    return signed.drop("bands"), labelled(members, windows)
+
+
+def _classed(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """class, class_id, class_size for every text with words: node, class ..."""
+    sizes = signed.where("weight > 0").groupBy("node").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows"))
+    texts = staged(sizes.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label"), "texts")
+    whole = texts.groupBy("class").agg(F.min("head").alias("class_id"), F.sum("rows").alias("class_size"))
+    return staged(texts.select("node", "class").join(whole, "class"), "classes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) and class_size for every document."""
-    docs = pick(docs, "doc_id", "text")
-    ids = staged(docs.mapInArrow(_whole, "doc bigint, whole bigint, weight bigint"), "texts")
-    # texts without words are copies of nothing
-    heads = staged(
-        ids.where("weight > 0").groupBy("whole", "weight").agg(F.min("doc").alias("head")).where("head is not null"), "heads")
-    first = heads.select(F.col("head").alias("doc"), "whole", "weight").join(ids, ["doc", "whole", "weight"], "left_semi").select("doc").distinct()
+    """doc_id, class_id (the smallest doc_id of the class) and class_size (its rows) for every row."""
+    signed, labels = _named(docs)
+    found = signed.join(_classed(signed, labels), "node", "left")
+    return found.select(
+        "doc_id", F.when(F.isnull("class"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        return docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc").groupBy("doc").agg(F.max("text").alias("text"))
 
-    signed = staged(texts(first).mapInArrow(_signed, "doc bigint, weight bigint, bands array<bigint>"), "signatures")
-    rows = signed.select("doc", "weight", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = rows.join(shared, "bucket")
-    # documents that share most buckets with most others are the likeliest to link the rest: they are the first pivots
-    weight = members.groupBy("doc").agg(F.sum("size").alias("central"))
-    turn = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("central"), "doc"))
-    members = staged(members.join(weight, "doc").select("bucket", "doc", "weight", "size", turn.alias("turn")), "members")
-    most = members.agg(F.max("size")).first()[0] or 0
-    labels = staged(members.select("doc", F.col("doc").alias("label")).distinct(), "labels")
-    done, pivots = 0, PIVOTS
-    # windows take more room than the texts: only documents that share a bucket need them
-    items = staged(texts(labels.select("doc")).mapInArrow(_windows, "doc bigint, items array<bigint>"), "windows")
-    while done < most:
-        pairs = staged(candidates(members, labels, done, pivots), "candidates")
-        done, pivots = done + pivots, 4 * pivots
-        if pairs.isEmpty():
-            split = members.join(labels, "doc").where(F.col("size") > done).groupBy("bucket").agg(
-                F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-            if split.isEmpty():
-                break
-            continue
-        # one join brings the windows of both sides, so only those of candidates are moved
-        sides = pairs.select(F.col("x").alias("doc"), "x", "y").unionByName(pairs.select(F.col("y").alias("doc"), "x", "y"))
-        checked = (
-            sides.join(items, "doc").groupBy("x", "y")
-            .agg(*[F.first(F.when(F.col("doc") == F.col(k), F.col("items")), True).alias(f"{k}_items") for k in ("x", "y")])
-            .mapInArrow(_similar, "x bigint, y bigint"))
-        links = staged(checked, "checked")
-        if not links.isEmpty():
-            labels = merged(labels, links)
-    named = (
-        ids.join(heads, ["whole", "weight"], "left").join(labels.withColumnRenamed("doc", "head"), "head", "left")
-        .select(F.col("doc").alias("doc_id"), F.coalesce("label", "head", "doc").alias("class_id")))
-    named = staged(named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")), "classes")
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return named.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))).join(
-        sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the name and weight of their text."""
+    for batch in batches:
+        for at, part in cut(batch["text"], 2 << 20):
+            _, counts, whole = shingles(part)
+            rows = batch.slice(at, len(part))
+            yield pa.record_batch([*rows.columns, pa.array(whole.view(np.int64)), pa.array(counts.astype(np.int64))],
+                                  names=[*batch.schema.names, "__node", "__weight"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: those with the smallest id of their class, one for each id; rows with a null id stay."""
-    found = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text"))
-    return kept.withColumn("__n", one).where("__n = 1").drop("__n").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay: the smallest of each class by doc_id (null last), then by its values' hash."""
+    signed, labels = _named(docs)
+    found = _classed(signed, labels).select(F.col("node").alias("__node"), F.col("class").alias("__class"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__weight", T.LongType())])
+    rows = docs.mapInArrow(_keyed, schema).withColumn("__row", row_hash(docs, 0)).join(found, "__node", "left")
+    rows = staged(rows, "keyed")
+    least = rows.where("__weight > 0").groupBy("__class").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("__no_id"), "doc_id", "__row")).alias("__least"))
+    kept = rows.join(least.select("__class", F.col("__least.doc_id").alias("__id"), F.col("__least.__row").alias("__first")), "__class")
+    chosen = kept.where(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))).dropDuplicates(["__class"])
+    return chosen.select(*docs.columns).unionByName(rows.where("__weight = 0").select(*docs.columns))
