@@ -65,8 +65,23 @@ def json_scan(spark, sf_dir):
 @query
 def jsonl_scan(spark, sf_dir):
     path = scratch_path(spark, "events.jsonl")
-    write_table(table(spark, sf_dir, "events").drop("ts"), path)
-    return read_table(spark, path, "event_id long, user_id long, event_type string, value double, props string")
+    write_table(table(spark, sf_dir, "events"), path)
+    kinds = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    return read_table(spark, path, kinds).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
+@query
+def json_array_scan(spark, sf_dir):
+    """All documents from eight files, each one array of objects that take several lines."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.pmod("doc_id", F.lit(8)).alias("part"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("object"))
+    ends = F.broadcast(rows.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    text = F.concat(F.when(F.col("doc_id") == F.col("low"), "[").otherwise(","), F.col("object"),
+                    F.when(F.col("doc_id") == F.col("high"), "]").otherwise(""))
+    path = scratch_path(spark, "documents.json")
+    rows.join(ends, "part").repartition("part").sortWithinPartitions("part", "doc_id").select("part", text.alias("value")).write.partitionBy(
+        "part").text(path)
+    return read_table(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query

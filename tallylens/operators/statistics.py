@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallylens import schemas
 from tallylens.functions import names, text
-from tallylens.functions.numbers import guarded_corr, p_value, round_to, usable_number
+from tallylens.functions.numbers import guarded_corr, p_value, round_to
 from tallylens.operators.columnwise import (
-    BRANCHES_PER_JOB, aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, per_column, pinned, small_frame,
+    aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, per_column, pinned, small_frame,
     sql_number, sql_text, sql_usable, together, union_all,
 )
+from tallylens.operators.comoments import co_moments, correlations
 from tallylens.operators.facts import (
     LONG_TEXT, NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
 )
@@ -28,7 +29,6 @@ MIN_DISTRIBUTION_ROWS = 20
 MIN_PAIR_ROWS = 30
 MIN_ANOMALY_ROWS = 30
 MAX_CATEGORIES = 50
-PAIRS_PER_BRANCH = 2
 
 
 # ---------------------------------------------------------------- building blocks
@@ -345,85 +345,42 @@ def trend_finding(df: DataFrame, date_column: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation
 
-def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(place, x, y)``: the rows of every pair in which both are present.
-
-    One scan feeds all pairs, so a column that occurs in many pairs is read once.
-    """
-    used = list(dict.fromkeys(c for pair in pairs for c in pair))
-    numbers = df.select(*[usable_number(col(c), dtype_of(df, c)).alias(f"c{i}") for i, c in enumerate(used)])
-    cases = ", ".join(f"(c{used.index(a)}, c{used.index(b)}) AS `{i}`" for i, (a, b) in enumerate(pairs))
-    # unpivoting without INCLUDE NULLS drops rows only where both are missing
-    long = df.sparkSession.sql(
-        f"SELECT CAST(place AS INT) AS place, x, y FROM {{numbers}} UNPIVOT ((x, y) FOR place IN ({cases}))",
-        numbers=numbers)
-    return long.where("x IS NOT NULL AND y IS NOT NULL")
-
-
-def _pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Row]:
-    """Per pair: place, common rows, covariance and both deviations over them.
-
-    A union of aggregates over two pairs each: no row is multiplied, and every
-    branch reads only its columns. The result has one row per pair.
-    """
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_BRANCH):
-        group = list(enumerate(pairs))[start : start + PAIRS_PER_BRANCH]
-        used = list(dict.fromkeys(c for _, pair in group for c in pair))
-        structs = []
-        for place, (a, b) in group:
-            x, y = f"c{used.index(a)}", f"c{used.index(b)}"
-            structs.append(
-                f"named_struct('place', {place}, 'n', count_if({x} IS NOT NULL AND {y} IS NOT NULL), "
-                f"'together', covar_pop({x}, {y}), 'x', stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END), "
-                f"'y', stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)) AS row{place}")
-        numbers = df.select(*[usable_number(col(c), dtype_of(df, c)).alias(f"c{i}") for i, c in enumerate(used)])
-        parts.append(numbers.selectExpr(*structs).selectExpr(f"inline(array({', '.join(f'row{p}' for p, _ in group)}))"))
-    return [r for at in range(0, len(parts), BRANCHES_PER_JOB) for r in union_all(parts[at : at + BRANCHES_PER_JOB]).collect()]
-
-
 def eligible_pairs(
     df: DataFrame, columns: Sequence[str], facts: Mapping[str, NumberFacts], most: int | None = None
 ) -> list[tuple[str, str]]:
     """All (or the first ``most``) pairs in column order with at least 30 common rows.
 
-    The counts of the single columns settle nearly all pairs; only pairs they
-    leave open are counted.
+    The counts of the single columns settle nearly all pairs; if they leave any
+    open, one scan counts the common rows of all pairs.
     """
-    chosen: list[tuple[str, str]] = []
-    counted: dict[tuple[str, str], int] = {}
     pairs = list(combinations(columns, 2))
+    counted: dict[tuple[int, int], int] = {}
 
-    def verdict(pair: tuple[str, str]) -> bool | None:
+    def sure(pair: tuple[str, str]) -> bool | None:
         a, b = facts[pair[0]], facts[pair[1]]
-        if a.n + b.n - a.rows >= MIN_PAIR_ROWS:
-            return True
-        if min(a.n, b.n) < MIN_PAIR_ROWS:
-            return False
-        return counted[pair] >= MIN_PAIR_ROWS if pair in counted else None
-
-    while True:
-        chosen, unknown = [], []
-        for pair in pairs:
-            if len(chosen) == most:
-                break
-            ok = verdict(pair)
-            if ok is None and (most is None or len(unknown) < most):
-                unknown.append(pair)
-            elif ok:
-                chosen.append(pair)
-        if not unknown:
-            return chosen
-        counted.update(dict.fromkeys(unknown, 0))
-        counted.update({unknown[r["place"]]: r["n"] for r in _pair_moments(df, unknown)})
-
-
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(place, a, b, n, r, p)`` per pair; ``r`` is null where a side is constant."""
-    rows = [r.asDict() | dict(zip("ab", pairs[r["place"]], strict=True)) for r in _pair_moments(df, pairs)]
-    moments = small_frame(
-        df.sparkSession, rows, schemas.ddl("place int, a string, b string, n long, together double, x double, y double"))
-    return moments.withColumn("r", guarded_corr(F.col("together"), F.col("x"), F.col("y"))).where("n > 0").select(
+        return True if a.n + b.n - a.rows >= MIN_PAIR_ROWS else False if min(a.n, b.n) < MIN_PAIR_ROWS else None
+
+    known = {pair: sure(pair) for pair in pairs}
+    if None in known.values():
+        counted = {(r["i"], r["j"]): r["n"] for r in co_moments(df, columns, {}).collect()}
+    place = {c: i for i, c in enumerate(columns)}
+    return [p for p in pairs if (known[p] if known[p] is not None else counted.get((place[p[0]], place[p[1]]), 0) >= MIN_PAIR_ROWS)][:most]
+
+
+def pair_correlations(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], facts: Mapping[str, NumberFacts] | None = None
+) -> DataFrame:
+    """``(place, a, b, n, r, p)`` per pair; ``r`` is null where a side is constant. One scan for all pairs."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    known = facts or number_facts(df, columns)
+    found = {(r["i"], r["j"]): r for r in correlations(co_moments(df, columns, {c: known[c].mean for c in columns})).collect()}
+    at = {c: i for i, c in enumerate(columns)}
+    rows = []
+    for place, (a, b) in enumerate(pairs):
+        r = found.get((min(at[a], at[b]), max(at[a], at[b])))
+        if r is not None:
+            rows.append({"place": place, "a": a, "b": b, "n": r["n"], "r": r["r"]})
+    return small_frame(df.sparkSession, rows, schemas.ddl("place int, a string, b string, n long, r double")).select(
         "place", "a", "b", "n", "r", p_value("r", "n").alias("p"))
 
 
@@ -436,7 +393,7 @@ def correlation_findings(
     pairs = eligible_pairs(df, chosen, known)
     if not pairs:
         return small_frame(df.sparkSession, [], schemas.ddl(schemas.FINDING))
-    strong = pair_correlations(df, pairs).where((F.abs("r") > 0.5) & (F.col("p") < 0.05))
+    strong = pair_correlations(df, pairs, known).where((F.abs("r") > 0.5) & (F.col("p") < 0.05))
     return strong.select(*_finding(
         "correlation", F.col("place"), F.array("a", "b"), F.lit("info"), F.lit(False),
         {"pearson_r": round_to(F.col("r"), 4), "p_value": round_to(F.col("p"), 6), "n": F.col("n")},

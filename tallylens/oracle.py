@@ -538,7 +538,8 @@ def all_sql() -> dict[str, str]:
         "csv_scan": f"{dirty} SELECT {names} FROM dirty",
         "csv_text_scan": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "json_scan": "SELECT conv_id, turn, role, text FROM conversations",
-        "jsonl_scan": "SELECT event_id, user_id, event_type, value, props FROM events",
+        "json_array_scan": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "jsonl_scan": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, user_id, event_type, value, props FROM events",
         "parquet_scan": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 45",
         "sampled_scan": f"SELECT event_id, user_id, event_type, value FROM {SAMPLE.format(n=1000)}",
         "column_profile": f"{dirty} {PROFILE}",

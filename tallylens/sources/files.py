@@ -8,16 +8,16 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType, _parse_datatype_string
 
 from tallylens.operators.columnwise import col
 from tallylens.operators.facts import group_key
-from tallylens.session import scratch_path
+from tallylens.session import scratch_path, staged
+from tallylens.sources.records import LISTING, Cut, csv_steps, pieces, records
 
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet"}
 SEPARATORS = (",", ";", "\t", "|")
 REJECTED = "__rejected"  # the raw record of a row that does not fit its table, else null
-LISTING = ("recursiveFileLookup", "pathGlobFilter", "modifiedBefore", "modifiedAfter")
 DIALECT = ("quote", "escape", "comment", "lineSep", "encoding", "charset")
 
 
@@ -29,14 +29,18 @@ def format_of(path: str) -> str:
     return FORMATS[suffix]
 
 
-def _first_lines(spark: SparkSession, path: str, n: int = 2) -> list[str]:
+def _head(spark: SparkSession, path: str, end: str | None, n: int) -> list:
+    """The first stretches that are not empty, by default lines."""
     try:
-        lines = spark.read.text(path).where(F.trim("value") != "").head(n)
+        return (spark.read.options(lineSep=end) if end else spark.read).text(path).where(F.trim("value") != "").head(n)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"File not found: {path}") from None
         raise
-    return [r[0] for r in lines]
+
+
+def _first_lines(spark: SparkSession, path: str, n: int = 2) -> list[str]:
+    return [r[0] for r in _head(spark, path, None, n)]
 
 
 def _separator(lines: list[str]) -> str:
@@ -62,20 +66,10 @@ def _has_header(lines: list[str], separator: str) -> bool:
     return bool(tokens) and all(t and not _is_number(t) for t in tokens)
 
 
-def _multi_line_files(spark: SparkSession, path: str, separator: str, options: dict[str, str]) -> list[str]:
-    """The CSV files that can not be read line by line, found by one scan of all lines.
-
-    Quotes cut a line into parts that lie outside and inside of quotes by turns.
-    A line is whole if it ends outside and quotes stand only next to separators
-    or in pairs. If all lines of a file are whole, no row has a line break.
-    """
-    parts = F.split("value", '"')
-    last = F.size(parts) - 1
-    fits = F.transform(parts, lambda p, i: (i % 2 == 1) | (p == "") | (
-        ((i == 0) | p.startswith(separator)) & ((i == last) | p.endswith(separator))))
-    whole = (last % 2 == 0) & F.forall(fits, lambda ok: ok)
-    lines = spark.read.options(**{k: v for k, v in options.items() if k in LISTING}).text(path)
-    return [r[0] for r in lines.where(F.col("value").contains('"') & ~whole).select("_metadata.file_path").distinct().collect()]
+def _spans_lines(spark: SparkSession, path: str, separator: str, options: dict[str, str]) -> bool:
+    """Whether a CSV line ends inside of a quoted value, found by a scan of the lines that hold quotes."""
+    opened, _ = csv_steps(F.col("text"), separator)
+    return not pieces(spark, path, "\n", options).where(opened).select("block").limit(1).isEmpty()
 
 
 def with_rejected(schema: str | StructType) -> StructType:
@@ -84,44 +78,93 @@ def with_rejected(schema: str | StructType) -> StructType:
     return StructType([*(f for f in fields if f.name != REJECTED), StructField(REJECTED, StringType())])
 
 
+# the types that a column of CSV texts may have, tried in this order, and how their values look; other columns stay texts
+CSV_TYPES = {
+    "int": r"^[+-]?[0-9]+\z", "bigint": r"^[+-]?[0-9]+\z", "double": r"^\S+\z", "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}\S*\z", "boolean": r"^(?i)(true|false)\z",
+}
+
+
+def _guessed(rows: DataFrame, columns: list[str]) -> StructType:
+    """The first type that fits all values of each column, by one pass."""
+    def fits(c: str, kind: str) -> Column:
+        return F.count_if((col(c) != "") & ~(col(c).rlike(CSV_TYPES[kind]) & F.isnotnull(col(c).try_cast(kind)))) == 0
+
+    found = rows.agg(*[F.struct(*[fits(c, t).alias(t) for t in CSV_TYPES], (F.count_if(col(c) != "") > 0).alias("any")).alias(f"c{i}")
+                       for i, c in enumerate(columns)]).first()
+    pick = lambda r: next((t for t in CSV_TYPES if r["any"] and r[t]), "string")
+    return StructType([StructField(c, _parse_datatype_string(pick(found[f"c{i}"]))) for i, c in enumerate(columns)])
+
+
+def _csv_records(spark: SparkSession, path: str, schema: str | StructType | None, separator: str, options: dict[str, str]) -> DataFrame:
+    """CSV whose values may hold line breaks, cut to records by all tasks; each record is read by Spark's CSV parser."""
+    header = options["header"] == "true"
+    found = records(spark, path, Cut("\n"), options, separator)
+    # a record ends with its line, of which a carriage return is a part; empty lines are no records
+    texts = found.where(~F.col("first") if header else F.lit(True)).select(F.regexp_replace("record", "\r$", "").alias("record")).where(
+        F.trim("record") != "")
+    parser = {k: v for k, v in options.items() if k not in (*LISTING, "header", "inferSchema")}
+    names = spark.read.options(**{**options, "inferSchema": "false", "multiLine": "true"}).csv(path).columns
+
+    def parsed(fields: StructType) -> DataFrame:
+        # all fields are asked for, so that a row is judged alike whatever is selected
+        ddl = ", ".join(f"`{x.name.replace('`', '``')}` {x.dataType.simpleString()}" for x in with_rejected(fields))
+        return texts.select(F.from_csv("record", ddl, parser).alias("r")).select("r.*")
+
+    if schema is None:
+        plain = [c for c in names if c != REJECTED]
+        schema = _guessed(parsed(StructType([StructField(c, StringType()) for c in plain])), plain)
+    return parsed(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
 def _csv_rows(spark: SparkSession, path: str, schema: str | StructType | None, options: dict[str, str]) -> DataFrame:
     lines = _first_lines(spark, path)
     separator = options.pop("sep", None) or _separator(lines)
     header = options.pop("header", None)
     if header is None:
         header = str(_has_header(lines, separator)).lower()
-    forced = options.pop("multiLine", None)
-    options = {"sep": separator, "header": header, "escape": '"', "columnNameOfCorruptRecord": REJECTED, "columnPruning": "false", **options}
-    apart: list[str] = []
-    if forced is None and any(k in options for k in DIALECT if k != "escape") | (options["escape"] != '"'):
-        forced = "true"  # the scan knows the usual quotes only
-    elif forced is None:
-        apart = _multi_line_files(spark, path, separator, options)
+    multi_line = options.pop("multiLine", None)
+    options = {"sep": separator, "header": str(header).lower(), "escape": '"', "columnNameOfCorruptRecord": REJECTED, "columnPruning": "false", **options}
+    if multi_line is None and any(k in options for k in DIALECT if k != "escape") | (options["escape"] != '"') | (len(separator) > 1):
+        multi_line = "true"  # the cutting knows the usual quotes only
+    elif multi_line is None and _spans_lines(spark, path, separator, options):
+        return _csv_records(spark, path, schema, separator, options)
+    options["multiLine"] = multi_line or "false"
     if schema is None:
-        options |= {"inferSchema": "true"}
-        schema = spark.read.options(multiLine=forced or str(bool(apart)).lower(), **options).csv(path).schema
-    fields = with_rejected(schema)
+        options["inferSchema"] = "true"
+        schema = spark.read.options(**options).csv(path).schema
+    return spark.read.schema(with_rejected(schema)).options(**options).csv(path)
 
-    def part(multi_line: str) -> DataFrame:
-        return spark.read.schema(fields).options(multiLine=multi_line, **options).csv(path)
 
-    if not apart:
-        return part(forced or "false")
-    place = F.col("_metadata.file_path")
-    return part("false").where(~place.isin(apart)).unionAll(part("true").where(place.isin(apart)))
+def _json_records(spark: SparkSession, path: str, schema: str | StructType | None, base: int, options: dict[str, str]) -> DataFrame:
+    """Records of an array, or of objects over several lines, cut by all tasks and written as lines for Spark's JSON reader."""
+    found = records(spark, path, Cut("}", base, "}"), options)
+    # line breaks stand between the parts of a record only, as texts cannot hold them
+    bare = F.regexp_replace(F.regexp_replace("record", "[\\r\\n]", " "), r"^[\s\x{FEFF},]*(?:\[[\s,]*)?" if base else r"^[\s\x{FEFF},]+", "")
+    lines = found.select(bare.alias("value")).where(~F.col("value").rlike(r"^[\s\]]*$"))
+    target = scratch_path(spark, "records.jsonl")
+    lines.write.text(target)
+    rest = {k: v for k, v in options.items() if k not in (*LISTING, "multiLine")}
+    fields = with_rejected(spark.read.options(**rest).json(target).schema if schema is None else schema)
+    return spark.read.schema(fields).options(**rest).json(target)
 
 
 def _json_rows(
     spark: SparkSession, path: str, kind: str, schema: str | StructType | None, options: dict[str, str]
 ) -> DataFrame:
-    lines = _first_lines(spark, path)
-    first = lines[0].strip() if lines else ""
-    whole = kind == "json" and (first.startswith("[") or not first.endswith("}"))
-    options = {"multiLine": str(whole).lower(), "columnNameOfCorruptRecord": REJECTED, **options}
-    fields = with_rejected(spark.read.options(**options).json(path).schema if schema is None else schema)
-    if len(fields) == 1 and lines:
+    # up to the first closing bracket: no more than the first record, however long its line is
+    start = [r[0] for r in _head(spark, path, "}", 1)]
+    first = start[0].lstrip("\ufeff \t\r\n") if start else ""
+    options = {"columnNameOfCorruptRecord": REJECTED, **options}
+    forced = "multiLine" in options or any(k in options for k in ("encoding", "charset", "lineSep", "allowSingleQuotes"))
+    if kind == "json" and not forced and (first.startswith("[") or "\n" in first):
+        fields = _json_records(spark, path, schema, int(first.startswith("[")), options)
+    else:
+        known = with_rejected(spark.read.options(**options).json(path).schema if schema is None else schema)
+        fields = spark.read.schema(known).options(**options).json(path)
+    if fields.columns == [REJECTED] and start:
         raise ValueError(f"No record in {path}")
-    return spark.read.schema(fields).options(**options).json(path)
+    return fields
 
 
 def read_rows(
@@ -130,9 +173,8 @@ def read_rows(
     """All rows of a file or folder, with the raw text of those that do not fit in the column ``REJECTED``.
 
     These are CSV rows with more or fewer fields than the header, broken JSON,
-    and values that are not of the type in ``schema``. A CSV file in which a
-    quoted value holds a line break is read by one task, other files are split;
-    if there is such a file, types are inferred by one task per file.
+    and values that are not of the type in ``schema``. All files are split, also
+    CSV with line breaks in quoted values and JSON arrays, see :mod:`records`.
     """
     kind = format_of(path)
     if kind == "parquet":
@@ -207,14 +249,3 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
         df.write.mode(mode).parquet(path)
     else:
         df.write.mode(mode).json(path, ignoreNullFields=False)
-
-
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write a table once as Parquet and read it back.
-
-    Later passes then read single columns, and a lost executor costs a re-read
-    instead of the whole lineage. Without ``path`` the shared folder is used.
-    """
-    target = path or scratch_path(df.sparkSession, f"{name}.parquet")
-    df.write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)

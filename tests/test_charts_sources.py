@@ -149,19 +149,65 @@ def test_line_breaks_in_csv_values(spark, tmp_path, files_written):
     assert back.schema == df.schema and sorted(back.collect()) == sorted(df.collect()) and back.count() == len(ODD_TEXTS)
 
 
-def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+def test_files_with_and_without_line_breaks(spark, tmp_path):
     folder = tmp_path / "t.csv"
     folder.mkdir()
     (folder / "a.csv").write_text('id,t\n1,"a ""b"", c"\n2,""\n3,"""x"""\n')
+    assert not files._spans_lines(spark, str(folder), ",", {})
     (folder / "b c.csv").write_text('id,t\n4,"a\nb"\n')
     (folder / "d.csv").write_text('id,t\n5,7" x,\n6,y\n')
-    found = files._multi_line_files(spark, str(folder), ",", {})
-    assert sorted(f.rsplit("/", 1)[1].replace("%20", " ") for f in found) == ["b c.csv", "d.csv"]
+    assert files._spans_lines(spark, str(folder), ",", {})
     good, rejected = files.read_split(spark, str(folder))
     assert sorted(r["id"] for r in good.collect()) == [1, 2, 3, 4, 6]
     assert [r["record"] for r in rejected.collect()] == ['5,7" x,']
 
 
+@pytest.fixture
+def many_ranges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum")}
+    for k, v in zip(kept, ("150", "1", "2000"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_one_csv_file_is_cut_by_many_tasks(spark, tmp_path, many_ranges):
+    """Records that cross the borders of ranges, or cover several of them, in one file."""
+    texts = [*ODD_TEXTS, "long\n" * 200, 'quotes ""\n""' * 60, ",\n," * 50, *(f"row {i}\n{'x' * (i % 90)}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    files.write_table(df, str(tmp_path / "t.csv"))
+    assert files.pieces(spark, str(tmp_path / "t.csv"), "\n", {}).select("block").distinct().count() > 10
+    back = files.read_table(spark, str(tmp_path / "t.csv"))
+    assert back.schema == df.schema and sorted(back.collect()) == sorted(df.collect())
+    typed = files.read_table(spark, str(tmp_path / "t.csv"), "id long, text string")
+    assert sorted(r["id"] for r in typed.select("id").collect()) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("layout", [{}, {"indent": 2}, {"separators": (",", ":")}])
+def test_one_json_array_is_cut_by_many_tasks(spark, tmp_path, many_ranges, layout):
+    texts = ["plain", "}{", '"}', "\\", '\\"', "[1, 2}", "{" * 300, 'x"y' * 100, "line\nbreak", "日本 😀", "", None]
+    rows = [{"id": i, "text": t, "in": {"a": [1, {"b": t}], "c": {}}} for i, t in enumerate(texts * 3)]
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(rows, **layout))
+    assert files.pieces(spark, str(path), "}", {}).select("block").distinct().count() > 5
+    back = files.read_table(spark, str(path))
+    got = sorted((r["id"], r["text"], json.loads(r["in"]["a"][1])["b"]) for r in back.where("text IS NOT NULL").collect())
+    assert got == sorted((r["id"], r["text"], r["text"]) for r in rows if r["text"] is not None) and back.count() == len(rows)
+    path.write_text("\n".join(json.dumps(r, indent=1) for r in rows))
+    assert sorted(r["id"] for r in files.read_table(spark, str(path)).collect()) == list(range(len(rows)))
+
+
+def test_json_array_without_records(spark, tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text("[\n]\n")
+    with pytest.raises(ValueError):
+        files.read_table(spark, str(path))
+    path.write_text('[{"a": 1}, {"a": 2, "b": "x')
+    good, rejected = files.read_split(spark, str(path))
+    assert [r["a"] for r in good.collect()] == [1] and rejected.count() == 1
+
+
 @pytest.mark.parametrize("name, text, record", [
     ("t.csv", "a,b\n1,2\n3,4,5\n6,7\n", "3,4,5"), ("t.csv", 'a,b\n1,"2\n"\n3,4,5\n6,7\n', "3,4,5"),
     ("t.jsonl", '{"a": 1, "b": 2}\n{"a": 3,\n{"a": 6, "b": 7}\n', '{"a": 3,')])

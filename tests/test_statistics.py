@@ -159,6 +159,31 @@ def test_all_strong_pairs_are_reported_without_copies_of_rows(spark):
     assert st.correlation_findings(df).count() == 28
 
 
+def test_correlations_of_many_columns_need_one_scan(spark, monkeypatch):
+    """With missing values, constants and large offsets, 30 columns; the plan reads the table once."""
+    from tallylens.operators import comoments
+
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(400, 30)) @ rng.normal(size=(30, 30)) + 1e6
+    values[:, 3] = 0.1
+    hidden = rng.random(values.shape) < 0.2
+    rows = [tuple(None if h else float(v) for v, h in zip(vs, hs, strict=True)) for vs, hs in zip(values, hidden, strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(30))).repartition(5)
+    means = {c: f.mean for c, f in facts.number_facts(df).items()}
+    frame = comoments.co_moments(df, df.columns, means)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+    for r in comoments.correlations(frame).collect():
+        both = ~hidden[:, r.i] & ~hidden[:, r.j]
+        assert r.n == both.sum()
+        if 3 in (r.i, r.j):
+            assert r.r is None
+        else:
+            assert r.r == pytest.approx(np.corrcoef(values[both, r.i], values[both, r.j])[0, 1], abs=1e-9)
+    whole = comoments.co_moments(df, ["c0", "c1", "c2"], means, complete=True)
+    all_there = (~hidden[:, :3]).all(1)
+    assert {(r.i, r.j): r.n for r in whole.collect()} == {(i, j): all_there.sum() for i in range(3) for j in range(i, 3)}
+
+
 def test_pairs_left_open_are_counted(spark):
     rows = [(float(i) if i < 45 else None, float(i) if i >= n else None) for n in (15,) for i in range(80)]
     df = spark.createDataFrame(rows, "a double, b double")
