@@ -37,15 +37,11 @@ def unescaped(text: Column) -> Column:
 
 
 def starts(turns: Column) -> Column:
-    """Places (from 1) of the turns whose role differs from that of the turn in front, as one array aggregation."""
-    def add(state: Column, turn: Column) -> Column:
-        at = state["n"] + 1
-        return F.struct(
-            at.alias("n"), turn["role"].alias("role"),
-            F.when((at > 1) & (state["role"] == turn["role"]), state["found"]).otherwise(F.array_append(state["found"], at)).alias("found"))
+    """Places (from 1) of the turns whose role differs from that of the turn in front."""
+    def place(turn: Column, i: Column) -> Column:
+        return F.when(i == 0, 1).when(turn["role"] != F.get(turns, i - 1)["role"], i + 1)
 
-    first = F.struct(F.lit(0).alias("n"), F.lit("").alias("role"), F.array().cast("array<int>").alias("found"))
-    return F.aggregate(turns, first, add, lambda s: s["found"])
+    return F.filter(F.transform(turns, place), F.isnotnull)
 
 
 def pieces(block: Column, assistant: str) -> Column:
@@ -76,27 +72,31 @@ def chat(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:
         F.transform("parts", lambda p: F.struct(F.length(p["part"]).alias("chars"), p["loss"].alias("loss"))).alias("mask"))
 
 
-def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation: ``array<struct<role, text>>``."""
-    def turns(block: Column) -> Column:
-        items = F.split(F.substr(block, F.lit(len(OPEN) + 1)), SPLIT_TEXTS)
+def _blocks(formatted: Column, made) -> Column:
+    """``made(role, texts)`` of every block, one array after another. A block is split once."""
+    def block(text: Column) -> Column:
+        items = F.array(F.split(F.substr(text, F.lit(len(OPEN) + 1)), SPLIT_TEXTS))
         # role, text, nothing, text, nothing ...
-        return F.transform(F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["i"] % 2 == 1),
-                           lambda p: F.struct(unescaped(F.get(items, F.lit(0))).alias("role"), unescaped(p["x"]).alias("text")))
+        return F.flatten(F.transform(items, lambda x: made(F.get(x, F.lit(0)), F.filter(x, lambda _, i: i % 2 == 1))))
+
+    return F.flatten(F.transform(F.filter(F.split(formatted, CLOSE), lambda b: b != ""), block))
 
-    return F.flatten(F.transform(F.filter(F.split(formatted, CLOSE), lambda b: b != ""), turns))
+
+def read_turns(formatted: Column) -> Column:
+    """The turns of a formatted conversation: ``array<struct<role, text>>``."""
+    return _blocks(formatted, lambda role, texts: F.transform(
+        texts, lambda t: F.struct(unescaped(role).alias("role"), unescaped(t).alias("text"))))
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, in order."""
-    def add(state: Column, run: Column) -> Column:
-        return F.struct(
-            (state["at"] + run["chars"]).alias("at"),
-            F.when(run["loss"], F.array_append(state["texts"], unescaped(F.substr(formatted, state["at"], run["chars"]))))
-            .otherwise(state["texts"]).alias("texts"))
-
-    first = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
-    return F.aggregate(mask, first, add, lambda s: F.array_join(s["texts"], ""))
+    """All text under the mask, unescaped, in order; null if the mask is not that of the text. The text is cut at its marks,
+    and its parts are held against the runs of the mask."""
+    parts = _blocks(formatted, lambda role, texts: F.concat(
+        F.array(F.concat(F.lit(OPEN), role)), F.flatten(F.transform(texts, lambda t: F.array(F.lit(BEGIN), t, F.lit(END)))), F.array(F.lit(CLOSE))))
+    both = F.zip_with(parts, mask, lambda part, run: F.struct(
+        F.when(run["loss"], unescaped(part)).alias("text"), F.coalesce(F.length(part) == run["chars"], F.lit(False)).alias("fits")))
+    # one evaluation of the pairs serves both
+    return F.transform(F.array(both), lambda x: F.when(F.forall(x, lambda p: p["fits"]), F.array_join(F.transform(x, lambda p: p["text"]), "")))[0]
 
 
 def digests(written: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ from tallylens.llm.tables import pick
 SEGMENT, CHUNK = 1 << 16, 1 << 14
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
-SEPARATOR = END + VERSION
-BORDERS = (VERSION, b"\r\n" + VERSION)  # behind an empty line, both hold the separator
+ANY_VERSION = b"WARC/1."  # archives of 1.0 and 1.1 are read
+SEPARATOR = END + ANY_VERSION
+BORDERS = (ANY_VERSION, b"\r\n" + ANY_VERSION)  # behind an empty line, both hold the separator
 NO_ID = -(1 << 63)
 SALTS = 16
 
@@ -73,7 +74,10 @@ def unchunked(data: bytes) -> bytes:
         line = data.find(b"\r\n", at)
         if line < 0:
             raise ValueError("a chunk has no size")
-        size = int(data[at:line].split(b";")[0], 16)
+        stated = data[at:line].split(b";")[0].strip(b" \t")
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", stated):
+            raise ValueError("a chunk's size is no number")
+        size = int(stated, 16)
         at = line + 2
         if not size:
             return b"".join(out)
@@ -161,22 +165,26 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for value in batch["value"].to_pylist():
-            head, _, block = value.removeprefix(VERSION).partition(b"\r\n\r\n")
-            lines = dict(x.partition(":")[::2] for x in head.decode("utf-8", "replace").split("\r\n"))
+            # the first line is what the separator left of the version
+            head, _, block = value.removeprefix(ANY_VERSION).partition(b"\r\n\r\n")
+            lines = dict(x.partition(":")[::2] for x in head.decode("utf-8", "replace").split("\r\n")[1:])
             has = {k.strip().lower(): v.strip() for k, v in lines.items()}
-            kind, own, uri, sha, refers, origin, number, total, length, size = (has.get(n.lower()) for n in names)
-            whole = len(block) if size is None else int(size)
+            kind, own, uri, sha, refers, origin, *stated = (has.get(n.lower()) for n in names)
+            malformed = any(x and not re.fullmatch(f"[0-9]{{1,{digits}}}", x, re.ASCII) for x, digits in zip(stated, (9, 18, 18, 18), strict=True))
+            number, total, length, size = (None if malformed or not x else int(x) for x in stated)
+            whole = len(block) if size is None else size
+            wrong = "a stated number is malformed" if malformed else (
+                "a record is not as long as stated" if len(block) < whole or block[whole:].strip() != b"" else None)
             # the last record of a file still has the empty lines behind it
             rows.append({
                 "id": origin or own, "kind": kind, "uri": uri, "digest": (sha or "").removeprefix("sha1:"), "refers": refers,
-                "number": int(number) if number else None, "total": int(total) if total else None,
-                "length": int(length) if length else None, "block": block[:whole], "short": len(block) < whole or block[whole:].strip() != b""})
+                "number": number, "total": total, "length": length, "block": block[:whole], "wrong": wrong})
         yield pa.RecordBatch.from_pylist(rows, PARSED)
 
 
 PARSED = pa.schema([
     ("id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers", pa.string()),
-    ("number", pa.int32()), ("total", pa.int64()), ("length", pa.int64()), ("block", pa.binary()), ("short", pa.bool_())])
+    ("number", pa.int32()), ("total", pa.int64()), ("length", pa.int64()), ("block", pa.binary()), ("wrong", pa.string())])
 PAGE = re.compile(r"urn:page:(-?\d+)$")
 
 
@@ -193,8 +201,8 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for row in batch.to_pylist():
             parts, problem, payload = row["parts"], None, None
-            if any(p["short"] for p in parts):
-                problem = "a record is not as long as stated"
+            if wrong := [p["wrong"] for p in parts if p["wrong"]]:
+                problem = wrong[0]
             elif len(parts) > 1 or parts[0]["number"] is not None:
                 if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] is None:
                     problem = "segments are missing"
@@ -221,8 +229,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, lineSep=SEPARATOR.decode()).select(F.col("value").cast("binary").alias("value"))
     found = lines.mapInArrow(
         _parsed, "id string, kind string, uri string, digest string, refers string, number int, total bigint, length bigint, "
-        "block binary, short boolean")
-    part = F.struct("number", "total", "block", "short")
+        "block binary, wrong string")
+    part = F.struct("number", "total", "block", "wrong")
     same = ("kind", "uri", "digest", "refers", "length")
     whole = found.where("number is null").select(*same, F.array(part).alias("parts"))
     first = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in same]

@@ -120,6 +120,22 @@ def test_texts_that_share_a_passage_meet_few_others(spark, monkeypatch):
     assert sum(made) < 10 * len(rows)
 
 
+def test_chat_of_one_long_conversation(spark):
+    """Time in proportion to the turns: a quadratic formatter needs minutes here."""
+    import time
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} </s> [INST]") for i in range(16_000)]
+    rows += [(2, i, "assistant", f"part {i}.") for i in range(16_000)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    begun = time.monotonic()
+    got = {r.conv_id: r for r in chat.digests(chat.chat(frame)).collect()}
+    assert time.monotonic() - begun < 30
+    for conv in (1, 2):
+        own = [(role, text) for c, _, role, text in rows if c == conv]
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256("".join(t for r, t in own if r == "assistant").encode()).hexdigest()
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     random = np.random.default_rng(5)
     base = random.integers(1, 2**63, 400, dtype=np.uint64)
@@ -197,6 +213,16 @@ def test_damaged_segments_are_reported(spark, tmp_path):
     assert problem(parts[:2] + parts[3:]) == ["segments are missing"]
     assert problem(parts[:3]) == ["segments are missing"]
     assert problem([*parts[:3], re.sub(rb"Total-Length: \d+", b"Total-Length: 9", parts[3])]) == ["the total length differs"]
+    chunk = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    for framing in (b"1\r\nx\r\n-6\r\n0\r\n\r\n", b"+1\r\nx\r\n0\r\n\r\n", b"z\r\n", b"\r\n\r\n", b"ffffffffffff\r\nx"):
+        assert "chunk" in problem([warc.record({"WARC-Type": "response", "WARC-Record-ID": "<urn:a>"}, chunk + framing)])[0]
+    good = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<urn:b>"}, b"HTTP/1.1 200 OK\r\n\r\nbody")
+    for name, value in (("Content-Length", "abc"), ("WARC-Segment-Number", "one"), ("WARC-Segment-Number", "9" * 30), ("Content-Length", "-1")):
+        odd_record = f"WARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\n{name}: {value}\r\n\r\nbody".encode()
+        assert sorted(map(str, problem([odd_record, good, good]))) == ["None", "None", "a stated number is malformed"]
+    old = str(tmp_path / "old.warc")
+    (tmp_path / "old.warc").write_bytes(b"".join(b"WARC/1.0\r\n" + good + b"\r\n\r\n" for _ in range(3)))
+    assert [r.problem for r in warc.read(spark, old).collect()] == [None] * 3
     assert problem([warc.record({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:1:a>", "WARC-Target-URI": "urn:page:1"},
                                 b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc\r\n")]) == ["a chunk is not as long as stated"]
 
