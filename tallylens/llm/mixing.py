@@ -14,7 +14,7 @@ Only ids, sources and sizes are shuffled, never texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +26,13 @@ MOST = 3  # rounds of one source
 RANGES = 4096  # three hexadecimal digits of the key
 
 
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, source, size in words (null text: 0) and the key; ``place`` is the source as text that is never null."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return pick(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size")).select(
+    return pick(docs, "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size")).select(
         "*", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
         .alias("key"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("place"))
 
