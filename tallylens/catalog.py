@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,17 +71,23 @@ def jsonl_scan(spark, sf_dir):
     return read_table(spark, path, kinds).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"))
 
 
+def _as_arrays(batches):
+    """The objects of each task as one JSON array."""
+    begun = False
+    for batch in batches:
+        texts = batch["object"].to_pylist()
+        if texts:
+            yield pa.record_batch({"value": pa.array([("," if begun or i else "[") + t for i, t in enumerate(texts)])})
+            begun = True
+    yield pa.record_batch({"value": pa.array(["]" if begun else "[]"])})
+
+
 @query
 def json_array_scan(spark, sf_dir):
-    """All documents from eight files, each one array of objects that take several lines."""
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", F.pmod("doc_id", F.lit(8)).alias("part"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("object"))
-    ends = F.broadcast(rows.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
-    text = F.concat(F.when(F.col("doc_id") == F.col("low"), "[").otherwise(","), F.col("object"),
-                    F.when(F.col("doc_id") == F.col("high"), "]").otherwise(""))
+    """All documents from files that hold one array each, of objects that take several lines."""
     path = scratch_path(spark, "documents.json")
-    rows.join(ends, "part").repartition("part").sortWithinPartitions("part", "doc_id").select("part", text.alias("value")).write.partitionBy(
-        "part").text(path)
+    table(spark, sf_dir, "documents").select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("object")).mapInArrow(
+        _as_arrays, "value string").write.text(path)
     return read_table(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
 
 
