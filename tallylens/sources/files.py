@@ -143,7 +143,7 @@ def _json_records(spark: SparkSession, path: str, schema: str | StructType | Non
     bare = F.regexp_replace(F.regexp_replace("record", "[\\r\\n]", " "), r"^[\s\x{FEFF},]*(?:\[[\s,]*)?" if base else r"^[\s\x{FEFF},]+", "")
     lines = found.select(bare.alias("value")).where(~F.col("value").rlike(r"^[\s\]]*$"))
     target = scratch_path(spark, "records.jsonl")
-    lines.write.text(target)
+    lines.write.text(target, compression="gzip")  # a file holds what one task has cut, so files need no splitting
     rest = {k: v for k, v in options.items() if k not in (*LISTING, "multiLine")}
     fields = with_rejected(spark.read.options(**rest).json(target).schema if schema is None else schema)
     return spark.read.schema(fields).options(**rest).json(target)
