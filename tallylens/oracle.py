@@ -716,11 +716,11 @@ def all_sql() -> dict[str, str]:
             FROM anomaly, (SELECT unnest(range(1, 4)) AS i) WHERE n_anomalies >= i""",
         "spec_captions": f"""{EVENT_INSIGHTS}
             SELECT stat_type, CASE stat_type WHEN 'anomaly' THEN 'histogram' WHEN 'distribution' THEN 'box' ELSE 'bar' END AS chart_type,
-              CASE stat_type WHEN 'anomaly' THEN 'Value — anomaly in context' WHEN 'distribution' THEN 'Value — spread and outliers'
-                ELSE 'Event Type breakdown' END AS title,
+              CASE stat_type WHEN 'anomaly' THEN 'Value: values far from the mean' WHEN 'distribution' THEN 'Value: quartiles and far values'
+                ELSE 'Event Type by share of rows' END AS title,
               CASE stat_type WHEN 'anomaly' THEN format('Mean {{:.2f}} · {{:,}} outliers', mm['column_mean'], mm['n_anomalies']::BIGINT)
-                WHEN 'distribution' THEN 'Box = IQR · Diamond = mean · Dots = outliers'
-                ELSE format('Top value accounts for {{:.1f}}% of records', mm['top_pct'] * 100) END AS subtitle
+                WHEN 'distribution' THEN 'The box spans the middle half; the dots lie outside the fences'
+                ELSE format('The most frequent value covers {{:.1f}}% of the rows', mm['top_pct'] * 100) END AS subtitle
             FROM titled WHERE stat_type <> 'summary'""",
         "stream_batches": f"""SELECT event_type, count(*) AS n, {rounded("sum(value)", 2)} AS total, count(DISTINCT event_id) AS ids
             FROM events GROUP BY event_type""",
