@@ -10,17 +10,12 @@ from pyspark.sql import types as T
 
 from tallylens.functions import names, text
 from tallylens.operators.columnwise import col, dtype_of
-from tallylens.operators.facts import group_key
+from tallylens.operators.multiset import counted_rows
 
 
 def drop_repeated_rows(df: DataFrame) -> DataFrame:
     """Keep one of several equal rows."""
-    maps = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, T.MapType)}
-    if not maps:
-        return df.distinct()
-    keyed = df.select("*", *[group_key(col(c), t).alias(f"__entries_{i}") for i, (c, t) in enumerate(maps.items())])
-    helper = [f"__entries_{i}" for i in range(len(maps))]
-    return keyed.dropDuplicates([c for c in df.columns if c not in maps] + helper).drop(*helper)
+    return counted_rows(df).table()
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -62,17 +57,21 @@ def fill_totals(df: DataFrame) -> DataFrame:
     return df.withColumn("total_amount", F.coalesce(F.col("total_amount"), number("quantity") * number("unit_price")))
 
 
-def clean(df: DataFrame) -> DataFrame:
-    """All steps in order.
-
-    Repeats are dropped before texts are normalised, so rows that become equal
-    only by cleaning are kept.
-    """
+def tidy(df: DataFrame) -> DataFrame:
+    """All steps but dropping repeats, which have to be gone already."""
     return (
-        df.transform(drop_repeated_rows)
-        .transform(normalise_names)
+        df.transform(normalise_names)
         .transform(fix_dates)
         .transform(fix_currency)
         .transform(normalise_status)
         .transform(fill_totals)
     )
+
+
+def clean(df: DataFrame) -> DataFrame:
+    """All steps in order.
+
+    Repeats are dropped before texts are normalised, so rows that become equal
+    only by cleaning are kept.
+    """
+    return df.transform(drop_repeated_rows).transform(tidy)

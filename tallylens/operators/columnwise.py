@@ -11,7 +11,7 @@ Branches are written as SQL expressions: building many of them from single
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
@@ -56,13 +56,16 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def per_column(df: DataFrame, columns: Sequence[str], build: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Union of ``build(one-column frame named value, column name)``."""
-    return union_all([build(df.select(col(c).alias("value")), c) for c in columns])
+def per_column(
+    df: DataFrame, columns: Sequence[str], build: Callable[[DataFrame, str], DataFrame], also: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Union of ``build(one-column frame named value, column name)``; ``also`` adds columns, by their new names."""
+    more = [col(c).alias(k) for k, c in (also or {}).items()]
+    return union_all([build(df.select(col(c).alias("value"), *more), c) for c in columns])
 
 
 def collect_per_column(
-    df: DataFrame, columns: Sequence[str], build: Callable[[DataFrame, str], DataFrame]
+    df: DataFrame, columns: Sequence[str], build: Callable[[DataFrame, str], DataFrame], also: Mapping[str, str] | None = None
 ) -> list[Row]:
     """Collect :func:`per_column`; the result has few rows per column.
 
@@ -70,17 +73,19 @@ def collect_per_column(
     """
     rows: list[Row] = []
     for start in range(0, len(columns), BRANCHES_PER_JOB):
-        rows += per_column(df, columns[start : start + BRANCHES_PER_JOB], build).collect()
+        rows += per_column(df, columns[start : start + BRANCHES_PER_JOB], build, also).collect()
     return rows
 
 
 def aggregate_columns(
-    df: DataFrame, columns: Sequence[str], measures: Callable[[str, str, str], dict[str, str]]
+    df: DataFrame, columns: Sequence[str], measures: Callable[[str, str, str], dict[str, str]],
+    also: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per column: ``column`` and the given aggregates.
 
     ``measures(column, raw, number)`` returns SQL aggregates by result name;
     ``raw`` and ``number`` name the column as it is and as usable number.
+    ``also`` names further columns that the aggregates need, by the name they use.
     """
     parts = []
     for start in range(0, len(columns), COLUMNS_PER_BRANCH):
@@ -94,19 +99,21 @@ def aggregate_columns(
             + ", ".join(f"'{k}', {e}" for k, e in measures(c, f"raw{i}", f"num{i}").items()) + f") AS row{i}"
             for i, c in group
         ]
-        rows = df.select(*[col(c).alias(f"raw{i}") for i, c in group]).selectExpr("*", *numbers).selectExpr(*structs)
+        shown = [col(c).alias(f"raw{i}") for i, c in group] + [col(c).alias(k) for k, c in (also or {}).items()]
+        rows = df.select(*shown).selectExpr("*", *numbers).selectExpr(*structs)
         parts.append(rows.selectExpr(f"inline(array({', '.join(f'row{i}' for i, _ in group)}))"))
     return union_all(parts)
 
 
 def collect_aggregates(
-    df: DataFrame, columns: Sequence[str], measures: Callable[[str, str, str], dict[str, str]]
+    df: DataFrame, columns: Sequence[str], measures: Callable[[str, str, str], dict[str, str]],
+    also: Mapping[str, str] | None = None,
 ) -> list[Row]:
     """Collect :func:`aggregate_columns`, in several jobs for very wide tables."""
     step = BRANCHES_PER_JOB * COLUMNS_PER_BRANCH
     rows: list[Row] = []
     for start in range(0, len(columns), step):
-        rows += aggregate_columns(df, columns[start : start + step], measures).collect()
+        rows += aggregate_columns(df, columns[start : start + step], measures, also).collect()
     return rows
 
 

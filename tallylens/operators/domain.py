@@ -43,3 +43,9 @@ def detect_domain(df: DataFrame, signatures: Mapping[str, Sequence[str]] = DOMAI
     return df.agg(F.count("*").alias("row_count")).select(
         "row_count", F.lit(len(df.columns)).alias("column_count"),
         best["domain"].alias("domain"), best["score"].alias("score"))
+
+
+def domain_of(df: DataFrame, signatures: Mapping[str, Sequence[str]] = DOMAIN_SIGNATURES) -> str:
+    """The domain alone (A11), from the column names; no row is read."""
+    names = F.array(*[F.lit(c) for c in sorted({c.lower() for c in df.columns})])
+    return df.sparkSession.range(1).select(best_domain(names, signatures)["domain"].alias("domain")).head()["domain"]

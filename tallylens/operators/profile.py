@@ -15,17 +15,21 @@ from tallylens.operators.columnwise import (
     aggregate_columns, col, collect_aggregates, collect_per_column, dtype_of, small_frame, sql_text,
 )
 from tallylens.operators.facts import group_key, number_facts
+from tallylens.operators.multiset import Multiset
 from tallylens.operators.statistics import top_values, value_counts
 
 SAMPLE_ROWS = 100
 
 
-def value_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> list[dict]:
+def value_facts(df: DataFrame, columns: Sequence[str], exact: bool = True, copies: str | None = None) -> list[dict]:
     """Per column: rows, nulls, distinct values and text marks, one row each.
 
     Rows are first merged per value, so marks are looked at once per value
-    after map-side merging and frequent values cost nothing extra.
+    after map-side merging and frequent values cost nothing extra. ``copies``
+    names a column that tells how many equal rows a row stands for.
     """
+    also = {"copies": copies} if copies else None
+    count, weight = ("sum(copies)", ["copies"]) if copies else ("count(*)", [])
 
     def marks_of(name: str, value: str) -> dict[str, str]:
         is_text = isinstance(dtype_of(df, name), T.StringType)
@@ -39,10 +43,10 @@ def value_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> li
 
     def build(one: DataFrame, name: str) -> DataFrame:
         dtype, marks = dtype_of(df, name), marks_of(name, "value")
-        marked = one.selectExpr("value", *[f"{m} AS {k}" for k, m in marks.items()])
+        marked = one.selectExpr("value", *weight, *[f"{m} AS {k}" for k, m in marks.items()])
         values = (
             marked.withColumn("value", group_key(F.col("value"), dtype)).groupBy("value")
-            .agg(F.count("*").alias("n"), *[F.bool_or(k).alias(k) for k in marks]))
+            .agg(F.expr(count).alias("n"), *[F.bool_or(k).alias(k) for k in marks]))
         return values.selectExpr(
             f"{sql_text(name)} AS column", "coalesce(sum(n), 0) AS rows",
             "coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS nulls", "count(*) AS uniques",
@@ -50,11 +54,11 @@ def value_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> li
 
     def sketched(name: str, raw: str, number: str) -> dict[str, str]:
         return {
-            "rows": "count(*)", "nulls": f"count_if({raw} IS NULL)",
+            "rows": f"coalesce({count}, 0)", "nulls": f"coalesce({count} FILTER (WHERE {raw} IS NULL), 0)",
             "uniques": f"approx_count_distinct({raw}, 0.02D) + max(CAST({raw} IS NULL AS BIGINT))",
             **{k: f"bool_or({m})" for k, m in marks_of(name, raw).items()}}
 
-    found = collect_per_column(df, columns, build) if exact else collect_aggregates(df, columns, sketched)
+    found = collect_per_column(df, columns, build, also) if exact else collect_aggregates(df, columns, sketched, also)
     rows = {r["column"]: r.asDict() for r in found}
     return [rows[c] for c in columns]
 
@@ -109,20 +113,22 @@ def issues_of(facts: dict, is_text: bool, mixed_case: bool) -> list[str]:
     return [label for hit, label in checks if hit]
 
 
-def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, exact: bool = True, counted: Multiset | None = None) -> DataFrame:
     """One row per column: type, null share, distinct count, samples, tag, issues (A5).
 
-    A table without rows has null as null share and no issues.
+    A table without rows has null as null share and no issues. With the table as
+    multiset in ``counted``, only the sample values are read from ``df``.
     """
-    facts = value_facts(df, df.columns, exact)
+    rows = df if counted is None else counted.rows
+    facts = value_facts(rows, df.columns, exact, counted.copies if counted else None)
     texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     suspects = [f["column"] for f in facts if f["column"] in texts and 2 <= f["uniques"] - (f["nulls"] > 0) <= 20]
-    mixed = case_variants(df, suspects)
+    mixed = case_variants(rows, suspects)
     samples = sample_values(df, df.columns)
-    rows = []
+    found = []
     for f in facts:
         name = f["column"]
-        rows.append({
+        found.append({
             "column": name,
             "dtype": df.schema[name].dataType.simpleString(),
             "null_pct": round(f["nulls"] / f["rows"], 4) if f["rows"] else None,
@@ -131,7 +137,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
             "semantic_tag": names.semantic_tag(name, name in texts, f["rows"] > f["nulls"], bool(f["dollar"])),
             "issues": issues_of(f, name in texts, name in mixed),
         })
-    return small_frame(df.sparkSession, rows, schemas.ddl(schemas.PROFILE))
+    return small_frame(df.sparkSession, found, schemas.ddl(schemas.PROFILE))
 
 
 def null_fractions(df: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallylens import schemas
-from tallylens.operators.clean import clean
+from tallylens.operators.clean import tidy
 from tallylens.operators.columnwise import pinned, small_frame, together
-from tallylens.operators.domain import detect_domain
+from tallylens.operators.domain import domain_of
+from tallylens.operators.multiset import staged_rows
 from tallylens.operators.profile import profile, warnings
-from tallylens.operators.quality import quality_report
+from tallylens.operators.quality import quality_of
 from tallylens.sources.files import exact_sample, read_split, staged
 
 
@@ -36,14 +37,17 @@ def describe_and_clean(
 ) -> Ingested:
     """Profile, domain and quality of the raw rows, then cleaning.
 
-    The cleaned table is written once, to ``table_path`` or the shared folder,
-    because every later pass reads it.
+    The raw rows are merged to distinct ones with counts by one exchange of whole
+    rows; profile, quality and the cleaned table are made from these. The cleaned
+    table is written once, to ``table_path`` or the shared folder, because every
+    later pass reads it.
     Counts in the context are those of the cleaned table; ``rejected`` records
     are counted in its warnings.
     """
-    profiled, quality, domain, table = together(
-        raw.sparkSession, lambda: profile(raw, exact), lambda: pinned(quality_report(raw)),
-        lambda: detect_domain(raw).head()["domain"], lambda: staged(clean(raw), "clean", table_path))
+    counted, domain = staged_rows(raw), domain_of(raw)
+    profiled, quality, table = together(
+        raw.sparkSession, lambda: profile(raw, exact, counted), lambda: pinned(quality_of(counted)),
+        lambda: staged(tidy(counted.table()), "clean", table_path))
     row_count = table.count()
     notes = [r["warning"] for r in warnings(profiled, quality).collect()] if with_warnings else []
     n_rejected = rejected.count() if rejected is not None else 0
