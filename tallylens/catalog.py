@@ -21,7 +21,7 @@ from tallylens.operators import charts, critic, decisions, domain, facts, insigh
 from tallylens.operators.clean import clean
 from tallylens.operators.columnwise import small_frame, union_all
 from tallylens.plans.analyze import analyze, document
-from tallylens.plans.ingest import describe_and_clean
+from tallylens.plans.ingest import Ingested, describe_and_clean, ingest
 from tallylens.schemas import ddl
 from tallylens.session import scratch_path
 from tallylens.sources.files import exact_sample, read_table, staged, write_table
@@ -40,6 +40,12 @@ def joined(name: str, separator: str = ",") -> Column:
     return F.array_join(name, separator).alias(name)
 
 
+def _context(done: Ingested) -> DataFrame:
+    return done.context.select(
+        "source_type", "domain", "row_count", F.col("column_count").cast("long").alias("column_count"),
+        F.size("warnings").cast("long").alias("n_warnings"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 @query
@@ -105,7 +111,8 @@ def sampled_scan(spark, sf_dir):
 
 @query
 def sampled_scan_row_hash(spark, sf_dir):
-    return exact_sample(table(spark, sf_dir, "lineitem"), 1000)
+    picked = exact_sample(table(spark, sf_dir, "lineitem"), 1000)
+    return picked.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -121,6 +128,14 @@ def result_document(spark, sf_dir):
         F.col("quality.overall_score").alias("overall_score"))
 
 
+@query
+def ingest_file(spark, sf_dir):
+    """From a CSV file to what is known about its table."""
+    path = scratch_path(spark, "orders.csv")
+    write_table(dirty_orders(spark, sf_dir), path)
+    return _context(ingest(spark, path))
+
+
 # ---------------------------------------------------------------- profile, quality, domain
 
 @query
@@ -200,10 +215,7 @@ def clean_orders(spark, sf_dir):
 
 @query
 def ingest_context(spark, sf_dir):
-    done = describe_and_clean(dirty_orders(spark, sf_dir), "static_csv")
-    return done.context.select(
-        "source_type", "domain", "row_count", F.col("column_count").cast("long").alias("column_count"),
-        F.size("warnings").cast("long").alias("n_warnings"))
+    return _context(describe_and_clean(dirty_orders(spark, sf_dir), "static_csv"))
 
 
 @query
@@ -486,6 +498,13 @@ def chart_column_stats(spark, sf_dir):
         "top_vals", lambda v: F.concat(v["value"], F.lit("="), v["n"].cast("string"))), ","))
 
 
+@query
+def text_top_values(spark, sf_dir):
+    """The most frequent whole texts of the documents; most places are ties."""
+    found = statistics.top_values(table(spark, sf_dir, "documents"), ["text", "lang", "source"], 25)
+    return found.select("column", F.posexplode("top_vals").alias("place", "top")).select("column", "place", "top.*")
+
+
 @query
 def chart_slim_stats(spark, sf_dir):
     stats = profile.column_chart_stats(table(spark, sf_dir, "customer"))

@@ -17,6 +17,7 @@ from tallylens.operators.columnwise import (
 from tallylens.operators.facts import group_key, number_facts
 from tallylens.operators.multiset import Multiset
 from tallylens.operators.statistics import top_values, value_counts
+from tallylens.session import staged
 
 SAMPLE_ROWS = 100
 
@@ -161,7 +162,7 @@ def warnings(profile_rows: DataFrame, quality: DataFrame) -> DataFrame:
 def column_chart_stats(df: DataFrame, first: int | None = None, top: int = 5) -> DataFrame:
     """Number ranges and top texts of all (or the ``first``) columns, for charts.
 
-    Long texts are counted by their digests; one text goes with each digest of a task, as ties are ordered by the texts.
+    Long texts are counted by their digests, see ``statistics.top_values``.
     """
     shown = [c for c in df.columns[:first] if not names.skip_in_chart(c)]
     part = df.select(*[col(c) for c in shown])
@@ -173,9 +174,9 @@ def column_chart_stats(df: DataFrame, first: int | None = None, top: int = 5) ->
         for c, f in (number_facts(part, numbers) if numbers else {}).items()
     ]
     if texts:
-        counted = value_counts(part, texts, keep_nulls=True)
+        counted = staged(value_counts(part, texts, keep_nulls=True), "value_counts")
         uniques = counted.groupBy("column").agg(F.count("*").alias("uniques"), F.sum("n").alias("rows"))
-        found = {r["column"]: r["top_vals"] for r in top_values(counted.where("value IS NOT NULL"), top).collect()}
+        found = {r["column"]: r["top_vals"] for r in top_values(part, texts, top, counted).collect()}
         for r in uniques.orderBy("column").collect():
             c = r["column"]
             rows.append({"column": c, "kind": "categorical", "n_unique": r["uniques"],

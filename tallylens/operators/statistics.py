@@ -21,6 +21,7 @@ from tallylens.operators.facts import (
     LONG_TEXT, NumberFacts, ValueSketch, choose_columns, group_key, number_facts, numeric_columns, string_columns, value_sketches,
 )
 from tallylens.operators.quantiles import quantiles
+from tallylens.session import staged
 
 # Order of the checks, severities and thresholds.
 CHECKS = ("summary", "high_nulls", "distribution", "categorical_distribution", "time_trend", "correlation", "anomaly")
@@ -29,6 +30,8 @@ MIN_DISTRIBUTION_ROWS = 20
 MIN_PAIR_ROWS = 30
 MIN_ANOMALY_ROWS = 30
 MAX_CATEGORIES = 50
+HEAD = 32
+LOOKUP_DIGESTS = 100_000
 
 
 # ---------------------------------------------------------------- building blocks
@@ -211,29 +214,62 @@ def anomaly_findings(numbers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- categories
 
 def value_counts(df: DataFrame, columns: Sequence[str], keep_nulls: bool = False) -> DataFrame:
-    """``(column, value, n, whole)`` for text columns, merged per value before the shuffle.
+    """``(column, value, head, n)`` for text columns, merged per value before the shuffle.
 
-    Long texts are named by their digest, see :func:`group_key`; ``whole`` is
-    the text behind a digest and null for the others.
+    Long texts are named by their digest, see :func:`group_key`; ``head`` holds the first characters of every text, which
+    settles most ties of the ranking. No full text takes part in the exchange.
     """
     def build(one: DataFrame, name: str) -> DataFrame:
         rows = one if keep_nulls else one.where("value IS NOT NULL")
-        whole = F.when(F.octet_length("value") >= LONG_TEXT, F.col("value"))
-        keyed = rows.select(group_key(F.col("value"), T.StringType()).alias("value"), whole.alias("whole"))
-        return keyed.groupBy("value").agg(F.count("*").alias("n"), F.min("whole").alias("whole")).selectExpr(
-            f"{sql_text(name)} AS column", "value", "n", "whole")
+        keyed = rows.select(group_key(F.col("value"), T.StringType()).alias("value"), F.substring("value", 1, HEAD).alias("head"))
+        return keyed.groupBy("value", "head").agg(F.count("*").alias("n")).selectExpr(
+            f"{sql_text(name)} AS column", "value", "head", "n")
 
     return per_column(df, columns, build)
 
 
-def top_values(counted: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent values per column, in full, as ``top_vals`` (L4); ties by value.
+def _full_texts(df: DataFrame, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, whole)``: the texts behind the digests in ``wanted``.
 
-    The rank limit is applied within each task before the shuffle.
+    Up to ``LOOKUP_DIGESTS`` digests, about 8 MB, are sent to the tasks that scan the texts, so that only wanted texts
+    move; more of them are joined by an exchange.
     """
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    known = wanted.select("column", "value")
+    if known.count() <= LOOKUP_DIGESTS:
+        known = F.broadcast(known)
+    texts = per_column(df, columns, lambda one, name: one.where(F.octet_length("value") >= LONG_TEXT).select(
+        F.lit(name).alias("column"), group_key(F.col("value"), T.StringType()).alias("digest"), F.col("value").alias("whole")))
+    match = (texts["column"] == known["column"]) & (texts["digest"] == known["value"])
+    # copies merge on the map side: a text of a third of all rows is one row per task
+    return texts.join(known, match, "left_semi").groupBy("column", "digest", "whole").agg(F.lit(1)).select(
+        "column", F.col("digest").alias("value"), "whole")
+
+
+def top_values(df: DataFrame, columns: Sequence[str], k: int, counted: DataFrame | None = None) -> DataFrame:
+    """The ``k`` most frequent values per text column, in full, as ``top_vals`` (L4); ties by value, nulls left out.
+
+    The k-th place by count and first characters bounds what can be among the first k. Texts are looked up only for
+    values at or above that bound. ``counted`` is a written :func:`value_counts` of the columns.
+    """
+    counted = staged(value_counts(df, columns), "value_counts") if counted is None else counted
+    values = counted.where("value IS NOT NULL")
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "head", "value")
+    bounds = (
+        values.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        .groupBy("column").agg(F.max_by(F.struct("n", "head"), "place").alias("last")).collect())
+    near = F.lit(False)
+    for b in bounds:
+        at = (F.col("n") > b["last"]["n"]) | ((F.col("n") == b["last"]["n"]) & (F.col("head") <= b["last"]["head"]))
+        near = near | ((F.col("column") == b["column"]) & at)
+    reach = values.where(near)
+    # digests have LONG_TEXT characters, shorter texts stand for themselves
+    is_digest = F.octet_length("value") >= LONG_TEXT
+    whole = _full_texts(df, reach.where(is_digest), columns)
+    full = reach.where(~is_digest).select("column", "value", "n").unionByName(
+        reach.where(is_digest).join(whole, ["column", "value"]).select("column", F.col("whole").alias("value"), "n"))
+    final = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     return (
-        counted.withColumn("value", F.coalesce("whole", "value")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        full.withColumn("place", F.row_number().over(final)).where(F.col("place") <= k)
         .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("ranked"))
         .select("column", F.transform("ranked", lambda r: F.struct(r["value"].alias("value"), r["n"].alias("n")))
                 .alias("top_vals")))

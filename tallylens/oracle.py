@@ -7,6 +7,8 @@ refined cells, joins instead of projections.
 
 from __future__ import annotations
 
+from tallylens.functions.names import DOMAIN_SIGNATURES
+
 
 def rounded(x: str, digits: int) -> str:
     return f"(round_even(({x}) * 1e{digits}, 0) / 1e{digits})"
@@ -422,6 +424,11 @@ GROUP BY series, bin
 
 SAMPLE = "(SELECT * FROM events ORDER BY md5('42:' || event_id::VARCHAR) LIMIT {n})"
 
+LINEITEM_TEXT = " || ".join(
+    f"coalesce(length(lineitem.{c}::VARCHAR) || ':' || lineitem.{c}::VARCHAR, '~')" for c in (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate"))
+
 SKIP = ("regexp_matches(lower({c}), 'id$|_id|_key|_uuid|_index|lat|lng|lon|zip|postal|timestamp|datetime|created_at|updated_at')")
 
 PLANS = f"""
@@ -521,15 +528,35 @@ SELECT printf('DEC-%03d', row_number() OVER (ORDER BY place)) AS id, id AS insig
 """
 
 
+DOMAIN_TABLES = {"dirty_orders": "dirty", "lineitem": "lineitem", "events": "events", "customer": "customer"}
+DOMAINS = f"""
+signatures AS (SELECT * FROM (VALUES {", ".join(
+    f"('{d}', {i}, {len(names)}, '{n}')" for i, (d, names) in enumerate(DOMAIN_SIGNATURES.items()) for n in names)}
+  ) s(domain, place, size, name)),
+held AS (
+  SELECT 'dirty_orders' AS source, lower(unnest({list(DIRTY_COLUMNS)})) AS name
+  {" ".join(f"UNION ALL SELECT '{s}', lower(column_name) FROM (DESCRIBE {t})" for s, t in DOMAIN_TABLES.items() if t != "dirty")}),
+scores AS (
+  SELECT h.source, s.domain, any_value(place) AS place, count(*) FILTER (WHERE h.name = s.name) / any_value(size) AS score
+  FROM held h, signatures s GROUP BY h.source, s.domain),
+detected AS (
+  SELECT source, (SELECT count(*) FROM held WHERE held.source = scores.source)::INT AS column_count,
+    CASE WHEN max(score) > 0.3 THEN arg_max(domain, (score, -place)) ELSE 'unknown' END AS domain, max(score) AS score
+  FROM scores GROUP BY source)
+"""
+
+
 def all_sql() -> dict[str, str]:
     """The SQL text per query name."""
     dirty = f"WITH {DIRTY}"
     names = ", ".join(quoted(c) for c in DIRTY_COLUMNS)
-    domains = {
-        "dirty_orders": ("dirty", len(DIRTY_COLUMNS), "ecommerce", "5 / 6"),
-        "lineitem": ("lineitem", 11, "unknown", "0 / 6"), "events": ("events", 6, "unknown", "1 / 6"),
-        "customer": ("customer", 5, "unknown", "0 / 6"),
-    }
+    context = f"""WITH {CLEAN}, {QUALITY}, {DOMAINS}, profile AS ({PROFILE})
+            SELECT 'static_csv' AS source_type, (SELECT domain FROM detected WHERE source = 'dirty_orders') AS domain,
+              count(*) AS row_count, {len(DIRTY_COLUMNS)}::BIGINT AS column_count,
+              (SELECT sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) FROM profile)::BIGINT
+                + (SELECT (NOT (overall_score >= 0.6 AND few_duplicates))::INT FROM quality) AS n_warnings FROM clean"""
+    counts = " UNION ALL ".join(
+        f"SELECT '{s}' AS source, count(*) AS row_count FROM {t}" for s, t in DOMAIN_TABLES.items())
     useful_summary = [
         f"SELECT '{c}' AS \"column\", {rounded(f'avg({c})', 2)} AS mean, {rounded(f'quantile_cont({c}::DOUBLE, 0.5)', 2)} AS median, "
         f"{rounded(f'stddev_samp({c})', 2)} AS std, {rounded(f'min({c})', 2)} AS min, {rounded(f'max({c})', 2)} AS max, "
@@ -542,6 +569,7 @@ def all_sql() -> dict[str, str]:
         "jsonl_scan": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, user_id, event_type, value, props FROM events",
         "parquet_scan": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 45",
         "sampled_scan": f"SELECT event_id, user_id, event_type, value FROM {SAMPLE.format(n=1000)}",
+        "sampled_scan_row_hash": f"SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem ORDER BY md5('42|' || {LINEITEM_TEXT}) LIMIT 1000",
         "column_profile": f"{dirty} {PROFILE}",
         "profile_warnings": f"""{dirty}, {QUALITY}, profile AS ({PROFILE})
             SELECT format('Quality score {{:.2f}} — review columns: {{}}', overall_score, columns_failing) AS warning FROM quality
@@ -557,19 +585,16 @@ def all_sql() -> dict[str, str]:
               count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicate_rows FROM dirty
             UNION ALL SELECT 'documents', count(*), (SELECT count(*) FROM (SELECT DISTINCT * FROM docs)),
               count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM docs)) FROM docs""",
-        "domain_detect": dirty + " " + " UNION ALL ".join(
-            f"SELECT '{n}' AS source, count(*) AS row_count, {w} AS column_count, '{d}' AS domain, {rounded(s, 6)} AS score FROM {t}"
-            for n, (t, w, d, s) in domains.items()),
+        "domain_detect": f"""{dirty}, {DOMAINS}, counts AS ({counts})
+            SELECT source, row_count, column_count, domain, {rounded("score", 6)} AS score FROM counts JOIN detected USING (source)""",
         "analytic_columns": choice_sql(CHOICE_TABLES, False),
         "useful_columns": choice_sql(CHOICE_TABLES, True),
         "distinct_values": dirty + " " + " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", count(DISTINCT {quoted(c)}) + (count(*) > count({quoted(c)}))::INT AS n FROM dirty"
             for c in DIRTY_COLUMNS),
         "clean_orders": f"WITH {CLEAN} SELECT * REPLACE ({rounded('total_amount', 4)} AS total_amount) FROM clean",
-        "ingest_context": f"""WITH {CLEAN}, {QUALITY}, profile AS ({PROFILE})
-            SELECT 'static_csv' AS source_type, 'ecommerce' AS domain, count(*) AS row_count, 10::BIGINT AS column_count,
-              (SELECT sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) FROM profile)::BIGINT
-                + (SELECT (NOT (overall_score >= 0.6 AND few_duplicates))::INT FROM quality) AS n_warnings FROM clean""",
+        "ingest_context": context,
+        "ingest_file": context,
         "json_replies": FENCE,
         "text_titles": f"""WITH {LINES}, worded AS (SELECT doc_id, {word_list("title")} AS ws, {word_list("rest")} AS rs FROM split)
             SELECT doc_id, array_to_string(ws[1:7], ' ') || CASE WHEN len(ws) > 7 THEN '…' ELSE '' END AS short_title,
@@ -703,6 +728,10 @@ def all_sql() -> dict[str, str]:
             for a in CORRELATED for b in CORRELATED),
         "chart_column_stats": column_stats_sql(
             "orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]),
+        "text_top_values": " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", place, value, n FROM (SELECT {c} AS value, count(*) AS n, "
+            f"row_number() OVER (ORDER BY count(*) DESC, {c})::INT - 1 AS place FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) "
+            "WHERE place < 25" for c in ("text", "lang", "source")),
         "chart_slim_stats": "SELECT \"column\", kind, mean, low, high FROM (" + column_stats_sql(
             "customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"])
             + ") WHERE \"column\" = 'c_acctbal' OR (kind = 'categorical' AND n_unique <= 15)",

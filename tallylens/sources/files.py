@@ -8,14 +8,16 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, DataType, MapType, StringType, StructField, StructType, _parse_datatype_string
 
 from tallylens.operators.columnwise import col
 from tallylens.operators.facts import group_key
+from tallylens.operators.multiset import fresh_name
 from tallylens.session import scratch_path, staged
 from tallylens.sources.records import LISTING, Cut, csv_steps, pieces, records
 
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet"}
+CELL_DIGITS = 4  # 65,536 cells per division of a sample's histogram
 SEPARATORS = (",", ";", "\t", "|")
 REJECTED = "__rejected"  # the raw record of a row that does not fit its table, else null
 DIALECT = ("quote", "escape", "comment", "lineSep", "encoding", "charset")
@@ -225,13 +227,60 @@ def row_hash(df: DataFrame, seed: int) -> Column:
         group_key(col(f.name), f.dataType) if isinstance(f.dataType, MapType) else col(f.name) for f in df.schema])
 
 
+def row_digest(df: DataFrame, seed: int) -> Column:
+    """A repeatable pseudo-random hex text per row: MD5 of the seed and of all values as text.
+
+    Every value is led by its length, and a null has none, so that rows differ in this text as soon as they differ in the
+    text of a value.
+    """
+    def written(name: str, dtype: DataType) -> Column:
+        value = group_key(col(name), dtype) if isinstance(dtype, (MapType, BinaryType)) else col(name)
+        value = value.cast("string")
+        return F.coalesce(F.concat(F.char_length(value).cast("string"), F.lit(":"), value), F.lit("~"))
+
+    return F.md5(F.concat(F.lit(f"{seed}|"), *[written(f.name, f.dataType) for f in df.schema]))
+
+
 def exact_sample(df: DataFrame, n: int = 10_000, seed: int = 42, order: Column | None = None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the same ones for the same seed.
 
-    A top-n by row hash: every task keeps its n best rows and nothing else is
-    moved. ``order`` replaces the hash by another expression.
+    The rows of the smallest digests, for any ``n``: nothing is sorted and no task gathers the sample. A histogram of the
+    digests' first four digits tells in which of its cells the n-th row lies; the rows up to that cell are written once,
+    and the cell is divided by further digits until the cut is exact. Rows of equal digests are equal, so any of them
+    serves. ``order`` is a hex text of even spread, such as an MD5, that goes before the digest of the row. Takes two scans.
     """
-    return df.orderBy(row_hash(df, seed) if order is None else order).limit(n)
+    if n <= 0:
+        return df.limit(0)
+    at = fresh_name(df, "digest")
+    digest = row_digest(df, seed)
+    hashed = df.withColumn(at, digest if order is None else F.concat(F.coalesce(order, F.lit("")), digest))
+    # n rows lie up to ``cell``; ``left`` of them in it, where its digests begin with these digits
+    cell, left, kept = "", n, hashed
+    while True:
+        width = len(cell) + CELL_DIGITS
+        counts = sorted(
+            kept.where(col(at).startswith(cell)).groupBy(F.substring(col(at), 1, width).alias("cell")).count().collect(),
+            key=lambda r: r["cell"])
+        step, found = None, left
+        for r in counts:
+            if r["count"] >= left:
+                step, found = r["cell"], r["count"]
+                break
+            left -= r["count"]
+        if step is None:
+            return df
+        equal = step == cell
+        if kept is hashed:
+            kept = staged(hashed.where(F.substring(col(at), 1, width) <= step), "sample")
+        cell = step
+        if found == left:
+            return kept.where(F.substring(col(at), 1, len(cell)) <= cell).drop(at)
+        if equal:
+            break
+    # more equal rows than there is room for: one of them, as often as needed, made by many tasks
+    one = F.broadcast(kept.where(col(at) == cell).limit(1))
+    same = df.sparkSession.range(left).select(F.lit(cell).alias(at)).join(one, at).select(*[col(c) for c in kept.columns])
+    return kept.where(col(at) < cell).unionByName(same).drop(at)
 
 
 def rough_sample(df: DataFrame, share: float, seed: int = 42) -> DataFrame:
