@@ -180,6 +180,17 @@ def domain_detect(spark, sf_dir):
     ])
 
 
+@query
+def domain_match_table(spark, sf_dir):
+    """The words of all documents, by source, against the built-in signatures and one of languages' words."""
+    words = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "[^A-Za-z_]+")).alias("name"))
+    own = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("first_"), "lang").alias("domain"), F.lit(9).alias("place"),
+        F.split("text", "[^A-Za-z_]+")[0].alias("name")).where("name <> ''").distinct()
+    found = domain.match_domains(words, domain.signatures_table(spark).unionByName(own))
+    return found.withColumn("score", round_to(F.col("score"), 6))
+
+
 def _choices(spark, sf_dir, **options) -> DataFrame:
     rows = [
         {"source": name, "column": c.column, "kept": c.kept, "reason": c.reason}
@@ -404,6 +415,18 @@ def rule_match(spark, sf_dir):
     return matched.select("id", "type", "severity", "act.*")
 
 
+@query
+def rule_match_table(spark, sf_dir):
+    """Every document against a table of rules: one per region in front of the built-in ones."""
+    own = table(spark, sf_dir, "region").selectExpr(
+        "CAST(r_regionkey - 100 AS INT) AS place", "CAST(NULL AS STRING) AS type",
+        "CASE WHEN r_regionkey % 2 = 0 THEN 'info' END AS severity", "lower(left(r_name, 2)) AS keyword", "'route' AS action_type",
+        "'low' AS impact_level", "'low' AS effort_level", "r_name AS owner", "'share_of_region' AS kpi", "0.05D AS boost")
+    matched = decisions.match_rules(
+        document_insights(spark, sf_dir).select("id", "type", "severity", "title"), own.unionByName(decisions.rules_table(spark)))
+    return matched.select("id", "type", "severity", "act.*")
+
+
 @query
 def ranked_decisions(spark, sf_dir):
     return decisions.decisions_for(_validated(spark, sf_dir)).select(

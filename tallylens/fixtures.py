@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylens.functions.text import title_and_rest
-from tallylens.operators.columnwise import computed_once
 from tallylens.schemas import EVIDENCE
 
 
@@ -62,7 +61,7 @@ def document_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     docs = title_and_rest(docs, "text", "first_line", "rest")
-    return computed_once(docs.select(
+    return docs.select(
         F.col("doc_id").alias("place"), F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("id"),
         F.expr("CASE doc_id % 5 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'summary' WHEN 2 THEN 'trend' "
                "WHEN 3 THEN 'distribution' ELSE 'correlation' END").alias("type"),
@@ -76,7 +75,7 @@ def document_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
                "CAST(n_chars AS DOUBLE), 'txt', CAST(NULL AS STRING), 'column', 'n_chars')) END").cast(EVIDENCE)
         .alias("evidence"),
         F.expr("CASE WHEN doc_id % 3 = 0 THEN array('n_chars', source) ELSE array('n_chars') END").alias("affected_columns"),
-        F.lit(0.0).alias("confidence"), F.expr("doc_id % 7 = 0").alias("actionable")))
+        F.lit(0.0).alias("confidence"), F.expr("doc_id % 7 = 0").alias("actionable"))
 
 
 def wrapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:

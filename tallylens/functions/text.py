@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylens.functions.numbers import to_double
-from tallylens.operators.columnwise import computed_once
+from tallylens.operators.columnwise import col
 
 # Phrases that mark wording as vague.
 VAGUE_PHRASES = (
@@ -14,8 +14,8 @@ VAGUE_PHRASES = (
     "it appears", "seems like", "unclear", "unknown",
 )
 
-# Fixed value: everything that ends a line, the Unicode separators included.
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+# Fixed value: everything that ends a line, the Unicode separators included. A pair of \\r\\n leaves an empty line between.
+LINE_END = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
 # Fixed value: all characters that count as white space.
 WHITE_SPACE = (
@@ -88,16 +88,24 @@ def filled_lines(col: Column) -> Column:
     return F.filter(F.transform(F.split(col, LINE_END), strip), lambda s: s != "")
 
 
-def title_and_rest(df: DataFrame, column: str, title: str, rest: str) -> DataFrame:
-    """Split a text into its first line and all others, without markdown stars.
+def title_and_rest_of(text: Column) -> Column:
+    """``struct<title, rest>`` of a text: its first line and all others, without markdown stars.
 
-    The only line serves as both; blank text gives nulls. Lines are split once.
+    The only line serves as both; blank text gives nulls. The lines are bound by a transform of one element, so they
+    are split once per use of the struct.
     """
-    lines = F.col("__lines")
-    split = computed_once(df.withColumn("__lines", filled_lines(F.col(column))))
-    first = F.try_element_at(lines, F.lit(1))
-    others = F.when(F.size(lines) > 1, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), " ")).otherwise(first)
-    return split.withColumns({title: without_stars(first), rest: without_stars(others)}).drop("__lines")
+    def parts(lines: Column) -> Column:
+        first = F.try_element_at(lines, F.lit(1))
+        others = F.when(F.size(lines) > 1, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), " ")).otherwise(first)
+        return F.struct(without_stars(first).alias("title"), without_stars(others).alias("rest"))
+
+    return F.transform(F.array(filled_lines(text)), parts)[0]
+
+
+def title_and_rest(df: DataFrame, column: str, title: str, rest: str) -> DataFrame:
+    """Add :func:`title_and_rest_of` a column as two columns; columns that are not used later are not read."""
+    parts = title_and_rest_of(col(column))
+    return df.withColumn("__parts", parts).withColumns({title: F.col("__parts.title"), rest: F.col("__parts.rest")}).drop("__parts")
 
 
 def short_title(col: Column, limit: int = 7) -> Column:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylens.functions.numbers import round_to
+from tallylens.operators.columnwise import col, small_frame
+from tallylens.operators.multiset import fresh_name
 from tallylens.operators.numbering import number_rows
+from tallylens.schemas import RULE_TABLE, ddl
+
+RULES_AT_ONCE = 10_000
 
 
 @dataclass(frozen=True)
@@ -93,6 +98,43 @@ def matching_action(
     return out
 
 
+def rules_table(
+    spark: SparkSession, rules: Sequence[Rule] = RULES, fallbacks: Mapping[str, Action] = FALLBACKS
+) -> DataFrame:
+    """The rules as a table for :func:`match_rules`: a null type or severity fits all, ``place`` gives the order."""
+    rows = [{"type": r.type, "severity": r.severity, "keyword": r.keyword, **asdict(r.action)} for r in rules]
+    rows += [{"severity": s, **asdict(a)} for s, a in fallbacks.items()] + [asdict(fallbacks["info"])]
+    return small_frame(spark, [{"place": i, **r} for i, r in enumerate(rows)], ddl(RULE_TABLE))
+
+
+def match_rules(
+    insights: DataFrame, rules: DataFrame, kind: str = "type", severity: str = "severity", title: str = "title",
+    at_once: int = RULES_AT_ONCE,
+) -> DataFrame:
+    """The insights with the action ``act`` of the first rule of a table that fits (J4, J5), null if none does.
+
+    ``rules`` has the columns of :func:`rules_table` and a ``place`` of its own in each row. It reaches the tasks as one
+    sorted array from a scalar subquery, so insights are neither exchanged nor multiplied. A table of more than
+    ``at_once`` rules goes in several arrays. A null severity or type of an insight fits only rules that leave it
+    open; a null title holds no keyword.
+    """
+    columns = ddl(RULE_TABLE).fieldNames()
+    size, low = rules.count(), F.lower(col(title))
+    given = rules.select(*columns) if size <= at_once else number_rows(rules.select(*columns), "place", "rank")
+    found, held = [], {}
+    for start in range(0, max(size, 1), at_once):
+        part = given if size <= at_once else given.where(F.col("rank").between(start + 1, start + at_once))
+        table = part.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
+        name = fresh_name(insights, f"rules_{start}")
+        held[name] = table
+        first = F.try_element_at(F.filter(col(name), lambda r: (
+            F.coalesce(r["type"] == col(kind), r["type"].isNull())
+            & F.coalesce(r["severity"] == col(severity), r["severity"].isNull())
+            & F.coalesce(low.contains(r["keyword"]), r["keyword"].isNull()))), F.lit(1))
+        found.append(F.when(F.isnotnull(first), F.struct(*[first[k].alias(k) for k in Action.__dataclass_fields__])))
+    return insights.withColumns(held).withColumn("act", F.coalesce(*found)).drop(*held)
+
+
 def needs_decision() -> Column:
     """Actionable, or of critical or warning severity (P10)."""
     return F.col("actionable") | F.col("severity").isin("critical", "warning")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylens.functions.names import DOMAIN_SIGNATURES
+from tallylens.operators.columnwise import small_frame
+from tallylens.schemas import SIGNATURE_TABLE, ddl
 
 THRESHOLD = 0.3
 
@@ -49,3 +51,28 @@ def domain_of(df: DataFrame, signatures: Mapping[str, Sequence[str]] = DOMAIN_SI
     """The domain alone (A11), from the column names; no row is read."""
     names = F.array(*[F.lit(c) for c in sorted({c.lower() for c in df.columns})])
     return df.sparkSession.range(1).select(best_domain(names, signatures)["domain"].alias("domain")).head()["domain"]
+
+
+def signatures_table(spark: SparkSession, signatures: Mapping[str, Sequence[str]] = DOMAIN_SIGNATURES) -> DataFrame:
+    """The signatures as a table for :func:`match_domains`: one row per domain and name, ``place`` gives the order."""
+    rows = [{"domain": d, "place": i, "name": n} for i, (d, names) in enumerate(signatures.items()) for n in names]
+    return small_frame(spark, rows, ddl(SIGNATURE_TABLE))
+
+
+def match_domains(held: DataFrame, signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Domain and score of every ``source``, from the names it holds (J6, A11, U4) and a table of signatures.
+
+    ``held`` has ``source`` and ``name``, repeats allowed; names meet in lower case and null names count for nothing. The
+    score is the share of a signature's names that are held; the best one wins, then the smallest ``place``, then the
+    domain's name. A source below the threshold is ``unknown``. Names merge on the map side, once per source and task.
+    """
+    wanted = signatures.select("domain", "place", F.lower("name").alias("name")).groupBy("domain", "name").agg(F.min("place").alias("place"))
+    sizes = wanted.groupBy("domain").agg(F.count("name").alias("size"), F.min("place").alias("place"))
+    names = held.select("source", F.lower("name").alias("name")).distinct()
+    hits = names.join(wanted.select("domain", "name"), "name", "left").groupBy("source", "domain").agg(F.count("domain").alias("hits"))
+    scored = hits.join(sizes, "domain", "left").select(
+        "source", "domain", "place", F.coalesce(F.col("hits") / F.col("size"), F.lit(0.0)).alias("score"))
+    best = scored.groupBy("source").agg(F.min(F.struct((-F.col("score")).alias("minus"), "place", "domain")).alias("best"))
+    score = F.abs(F.col("best.minus"))
+    return best.select(
+        "source", F.when(score > threshold, F.col("best.domain")).otherwise("unknown").alias("domain"), score.alias("score"))

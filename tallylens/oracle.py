@@ -587,6 +587,18 @@ def all_sql() -> dict[str, str]:
               count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM docs)) FROM docs""",
         "domain_detect": f"""{dirty}, {DOMAINS}, counts AS ({counts})
             SELECT source, row_count, column_count, domain, {rounded("score", 6)} AS score FROM counts JOIN detected USING (source)""",
+        "domain_match_table": f"""WITH {DIRTY.strip()}, {DOMAINS},
+            words AS (SELECT DISTINCT source, lower(unnest(string_split_regex(text, '[^A-Za-z_]+'))) AS name FROM documents),
+            wanted AS (SELECT DISTINCT domain, name, place FROM signatures
+              UNION SELECT 'first_' || lang, lower(string_split_regex(text, '[^A-Za-z_]+')[1]), 9 FROM documents
+                WHERE string_split_regex(text, '[^A-Za-z_]+')[1] <> ''),
+            sized AS (SELECT domain, place, name, count(*) OVER (PARTITION BY domain) AS size FROM wanted),
+            score AS (SELECT source, domain, place, count(*) / any_value(size) AS score FROM words JOIN sized USING (name)
+              GROUP BY source, domain, place)
+            SELECT source, CASE WHEN coalesce(score, 0) > 0.3 THEN domain ELSE 'unknown' END AS domain,
+              {rounded("coalesce(score, 0)", 6)} AS score
+            FROM (SELECT DISTINCT source FROM documents) LEFT JOIN score USING (source)
+            QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, place, domain) = 1""",
         "analytic_columns": choice_sql(CHOICE_TABLES, False),
         "useful_columns": choice_sql(CHOICE_TABLES, True),
         "distinct_values": dirty + " " + " UNION ALL ".join(
@@ -689,6 +701,16 @@ def all_sql() -> dict[str, str]:
         "validated_insights": f"WITH {VERDICTS} SELECT id, type, severity, score AS confidence, actionable FROM verdict WHERE passed",
         "rule_match": f"""WITH {INSIGHTS}, {matched_sql("insight")}
             SELECT id, type, severity, action_type, impact_level, effort_level, owner, kpi, boost FROM matched""",
+        "rule_match_table": f"""WITH {INSIGHTS}, {RULES},
+            all_rules AS (
+              SELECT r_regionkey - 100 AS o, NULL AS r_type, CASE WHEN r_regionkey % 2 = 0 THEN 'info' END AS r_severity,
+                lower(r_name[:2]) AS keyword, 'route' AS action_type, 'low' AS impact_level, 'low' AS effort_level,
+                r_name AS owner, 'share_of_region' AS kpi, 0.05::DOUBLE AS boost FROM region
+              UNION ALL SELECT * FROM rules)
+            SELECT id, type, severity, action_type, impact_level, effort_level, owner, kpi, boost FROM insight JOIN all_rules
+              ON coalesce(r_severity, severity) = severity AND coalesce(r_type, type) = type
+                AND (keyword IS NULL OR contains(lower(title), keyword))
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) = 1""",
         "ranked_decisions": f"""WITH {DECISIONS}
             SELECT id, insight_id, action_type, impact_level, effort_level, owner, kpi, priority_score FROM decision""",
         "quick_wins": f"""WITH {DECISIONS} SELECT id, insight_id, impact_level, priority_score FROM decision

@@ -27,6 +27,11 @@ FINDING = (
     "seq int, stat_type string, columns array<string>, severity string, actionable boolean, "
     "metrics map<string,double>, labels map<string,string>, series array<double>"
 )
+RULE_TABLE = (
+    "place int, type string, severity string, keyword string, action_type string, impact_level string, "
+    "effort_level string, owner string, kpi string, boost double"
+)
+SIGNATURE_TABLE = "domain string, place int, name string"
 EVIDENCE = "array<struct<metric:string,num:double,txt:string,column:string>>"
 ORDER_EVENT = (
     "order_id string, customer_id string, product_id string, order_date string, quantity long, "
