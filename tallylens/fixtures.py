@@ -59,8 +59,8 @@ def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an insight: first line as title, the rest as explanation."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    docs = title_and_rest(docs, "text", "first_line", "rest")
+    # split before the join, so that an unused rest does not go through its exchange
+    docs = title_and_rest(table(spark, sf_dir, "documents"), "text", "first_line", "rest").join(labels, "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("place"), F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("id"),
         F.expr("CASE doc_id % 5 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'summary' WHEN 2 THEN 'trend' "
