@@ -26,6 +26,7 @@ from tallylens.schemas import ddl
 from tallylens.session import scratch_path
 from tallylens.sources.files import exact_sample, read_table, staged, write_table
 from tallylens.streaming.live import file_events, start_live, stored
+from tallylens.streaming.message_queue import drained, enqueue, queue_length, queued_events, read_up_to
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,6 +588,37 @@ def stream_findings(spark, sf_dir):
     return statistics.finding_metrics(stored(spark, sink, "findings")).drop("seq")
 
 
+def _drain_queue(spark, sf_dir, kinds: str, sink: str):
+    """The events through a queue of two appends, in batches of a quarter of them; also the queue and the batches' progress."""
+    events = table(spark, sf_dir, "events")
+    queue, checkpoint = scratch_path(spark, "queue"), scratch_path(spark, "checkpoint")
+    enqueue(events.where("event_id % 2 = 0"), queue)
+    enqueue(events.where("event_id % 2 <> 0 OR event_id IS NULL"), queue)
+    bound = max(-(-queue_length(spark, queue) // 4), 1)
+    live = queued_events(spark, queue, f"{checkpoint}/queue", kinds, bound)
+    return queue, drained(start_live(live, sink, checkpoint, analyse=False, every="0 seconds"))
+
+
+@query
+def stream_rows(spark, sf_dir):
+    sink = scratch_path(spark, "live")
+    _drain_queue(spark, sf_dir, f"{EVENT_COLUMNS}, ts timestamp", sink)
+    read = stored(spark, sink, "table")
+    largest = read.groupBy("batch_id").count().agg(F.max("count")).scalar()
+    return read.groupBy("event_type").agg(
+        F.count("*").alias("n"), round_to(F.sum("value"), 2).alias("total"), F.count_distinct("event_id").alias("ids"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSS").alias("last_ts")).withColumn("largest_batch", largest)
+
+
+@query
+def stream_backlog(spark, sf_dir):
+    queue, batches = _drain_queue(spark, sf_dir, EVENT_COLUMNS, scratch_path(spark, "live"))
+    total = queue_length(spark, queue)
+    return small_frame(spark, [
+        {"batch": at, "rows": p["numInputRows"], "behind": total - read_up_to(p)} for at, p in enumerate(batches)],
+        ddl("batch long, rows long, behind long"))
+
+
 # ---------------------------------------------------------------- everything
 
 @query

@@ -773,6 +773,12 @@ def all_sql() -> dict[str, str]:
                 WHEN 'distribution' THEN 'The box spans the middle half; the dots lie outside the fences'
                 ELSE format('The most frequent value covers {{:.1f}}% of the rows', mm['top_pct'] * 100) END AS subtitle
             FROM titled WHERE stat_type <> 'summary'""",
+        "stream_rows": f"""SELECT event_type, count(*) AS n, {rounded("sum(value)", 2)} AS total, count(DISTINCT event_id) AS ids,
+            strftime(max(ts), '%Y-%m-%d %H:%M:%S.%g') AS last_ts, (SELECT ceil(count(*) / 4)::BIGINT FROM events) AS largest_batch
+            FROM events GROUP BY event_type""",
+        "stream_backlog": """WITH sized AS (SELECT count(*) AS total, greatest(ceil(count(*) / 4)::BIGINT, 1) AS bound FROM events)
+            SELECT batch, least(bound, total - batch * bound) AS rows, greatest(total - (batch + 1) * bound, 0) AS behind
+            FROM sized, range(4) AS r(batch) WHERE batch * bound < total""",
         "stream_batches": f"""SELECT event_type, count(*) AS n, {rounded("sum(value)", 2)} AS total, count(DISTINCT event_id) AS ids
             FROM events GROUP BY event_type""",
     }
