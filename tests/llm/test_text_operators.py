@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -443,3 +444,30 @@ def test_pipeline_stages_keep_the_right_rows(spark, sf_dir):
     times = {i: math.ceil(n / size) if size else 1 for i, size, _, _, n in taken}
     fourth = p.mixed(spark, third, sf_dir)
     assert Counter(r.doc_id for r in fourth.collect()) == Counter({i: n for i, n in times.items() if n})
+
+
+def test_backoff_of_many_runs_and_hash_partitions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(backoff, "PART_GRAMS", 256)
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    rows = docs.collect()
+    want = brute_levels([(r.doc_id, r.text) for r in rows], 2, 3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r for r in backoff.score(docs, order=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(got) == {r.doc_id for r in rows}
+    for i, r in got.items():
+        assert (r.n_words, r.n_backed_off) == tuple(want[i][:2]) and r.log_score == pytest.approx(want[i][2])
+
+
+def test_backoff_notices_runs_that_changed():
+    sink = pa.BufferOutputStream()
+    rows = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array(["a b c"])})
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_batch(rows)
+    texts = pa.table({"run": [0], "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    none = pa.table({c: pa.array([], pa.binary() if c in ("times", "ends") else pa.int64()) for c in ("run", "part", "n", "mark", "times", "ends")})
+    with pytest.raises(RuntimeError, match="changed"):
+        backoff._scored(2, 0, 2)(texts, none)
