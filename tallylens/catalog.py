@@ -463,6 +463,12 @@ def chart_bar(spark, sf_dir):
                             "l_shipmonth").drop("place")
 
 
+@query
+def chart_bar_rest(spark, sf_dir):
+    months = table(spark, sf_dir, "lineitem").withColumn("l_shipmonth", F.date_format("l_shipdate", "yyyy-MM"))
+    return charts.bar_with_rest(months, "l_shipmonth").withColumn("place", F.col("place").cast("long"))
+
+
 @query
 def chart_bar_default(spark, sf_dir):
     return charts.bar_chart(table(spark, sf_dir, "orders")).withColumn("place", F.col("place").cast("long"))
@@ -621,6 +627,21 @@ def stream_backlog(spark, sf_dir):
 
 # ---------------------------------------------------------------- everything
 
+@query
+def result_fields(spark, sf_dir):
+    done = describe_and_clean(dirty_orders(spark, sf_dir), "static_csv")
+    path = scratch_path(spark, "result.json")
+    write_table(document(done, analyze(done.table, done.domain, done.row_count)), path)
+    result = spark.read.json(path)
+    cleaned = spark.read.parquet(result.select("df_path").first()[0])
+    order_ids = F.filter("columns", lambda c: c["column"] == "order_id")[0]["unique_count"]
+    return result.select(
+        F.col("total_insights").cast("long").alias("total_insights"), F.col("top_priority.insight_id").alias("top_insight"),
+        F.col("top_priority.priority_score").alias("top_score"), F.col("critic.retry_was_used").alias("retry_was_used"),
+        (F.col("processing_ms") > 0).alias("timed"), order_ids.alias("order_ids"),
+        cleaned.agg(F.count("*")).scalar().alias("clean_rows"))
+
+
 @query
 def analyze_orders(spark, sf_dir):
     done = describe_and_clean(dirty_orders(spark, sf_dir), "static_csv")

@@ -18,6 +18,7 @@ CHART_SKIP_PARTS = (
     "_id", "_key", "_uuid", "_index", "lat", "lng", "lon", "zip", "postal",
     "timestamp", "datetime", "created_at", "updated_at",
 )
+STRICT_ID_PARTS = ("_index", "uuid", "_key", "hash")
 CATEGORY_PARTS = ("category", "type", "kind", "group", "segment")
 GEO_TAG_PARTS = ("city", "country", "region", "state", "zip")
 CHART_DATE_PARTS = ("date", "time", "month", "year")
@@ -45,6 +46,11 @@ def not_analytic(name: str) -> bool:
     )
 
 
+def not_useful(name: str) -> bool:
+    """The stricter rule: also names that hold a mark of an id anywhere."""
+    return not_analytic(name) or has_part(name.lower(), STRICT_ID_PARTS)
+
+
 def skip_in_chart(name: str) -> bool:
     """True for columns that no chart should show; a bare ``id`` counts as suffix only."""
     low = name.lower()

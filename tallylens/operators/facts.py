@@ -163,9 +163,9 @@ def choose_columns(
     Integer columns that are nearly unique and float columns that look like
     coordinates are dropped. The value range settles most columns without a
     distinct count: an integer column has at most ``max - min + 1`` values.
-    ``max_string_uniques`` adds the stricter limit on text columns (P9).
+    ``max_string_uniques`` adds the stricter limit on text columns and the stricter rule on names (P9).
     """
-    by_name = {c: names.not_analytic(c) for c in df.columns}
+    by_name = {c: (names.not_analytic if max_string_uniques is None else names.not_useful)(c) for c in df.columns}
     open_columns = [c for c in df.columns if not by_name[c]]
     numbers = [c for c in open_columns if isinstance(dtype_of(df, c), INTEGER_TYPES + FLOAT_TYPES)]
     known = dict(facts or {})

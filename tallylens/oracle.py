@@ -648,6 +648,13 @@ def all_sql() -> dict[str, str]:
             FROM (SELECT *, unnest(ms) AS e FROM found)""",
         "full_analysis_orders": f"{ORDER_FINDINGS} SELECT seq, stat_type, columns, severity, actionable FROM found",
         "analyze_orders": ORDER_DECISIONS,
+        # a trend of row counts names a column that the table does not have, and is rejected
+        "result_fields": ORDER_DECISIONS.replace("\nSELECT printf('DEC-%03d'", ", decided AS (SELECT printf('DEC-%03d'") + """)
+            SELECT (SELECT count(*) FROM insight WHERE NOT (type = 'anomaly' AND columns IN (SELECT odd_column FROM odd))
+                AND NOT (type = 'trend' AND contains(columns, 'order_count'))) AS total_insights,
+              insight_id AS top_insight, priority_score AS top_score, false AS retry_was_used, true AS timed,
+              (SELECT count(DISTINCT order_id) FROM dirty) AS order_ids, (SELECT count(*) FROM clean) AS clean_rows
+            FROM decided ORDER BY priority_score DESC, id LIMIT 1""",
         "result_document": f"""{EVENT_INSIGHTS}, {ranges_sql("events", "value")},
             odd AS (SELECT count(*) > 0 AS hit FROM (
               SELECT unnest([n_anomalies, {rounded("max_z", 2)}, list_avg(list_transform(tops, lambda v: {rounded("v", 2)}))]) AS v FROM anomaly), ranges
@@ -730,6 +737,12 @@ def all_sql() -> dict[str, str]:
             WHERE (SELECT count(*) FROM decision) >= 2""",
         "chart_bar": "SELECT label, value, share FROM (" + bar_sql(
             "lineitem", "strftime(l_shipdate, '%Y-%m')", "count(*)::DOUBLE", 12) + ")",
+        "chart_bar_rest": f"""WITH g AS (SELECT strftime(l_shipdate, '%Y-%m') AS label, count(*)::DOUBLE AS value FROM lineitem
+              WHERE l_shipdate IS NOT NULL GROUP BY 1),
+            r AS (SELECT row_number() OVER (ORDER BY value DESC, label) AS place, label, value FROM g),
+            x AS (SELECT least(place, 13) AS place, min(CASE WHEN place > 12 THEN 'other' ELSE label END) AS label, sum(value) AS value,
+              count(*) AS n_labels FROM r GROUP BY 1)
+            SELECT *, {rounded("value / sum(value) OVER () * 100", 1)} AS share FROM x""",
         "chart_bar_default": bar_sql("orders", "o_orderstatus", "count(*)::DOUBLE", 12),
         "chart_bar_mean": "SELECT label, value, share FROM (" + bar_sql(
             "orders", "o_orderpriority", rounded("avg(o_totalprice)", 2), 12, True) + ")",

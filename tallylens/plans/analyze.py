@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,7 @@ class Analysis:
     plans: DataFrame
     summary: DataFrame
     action_summary: DataFrame
+    processing_ms: int = 0
 
 
 def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None, exact: bool = True) -> Analysis:
@@ -39,6 +41,7 @@ def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None
     are kept as local relations and cost no further scan. Validation
     reads the columns that have single values as evidence.
     """
+    begun = time.monotonic()
     rows = df.count() if row_count is None else row_count
     findings = full_analysis(df, exact)
     insights = pinned(insights_from(findings))
@@ -52,11 +55,16 @@ def analyze(df: DataFrame, domain: str = "unknown", row_count: int | None = None
     decisions = pinned(decisions_for(validated, at_most=insights.count()))
     return Analysis(
         findings, insights, checked, critic_report(checked), validated, decisions, chart_plans(validated),
-        executive_summary(insights, domain, rows), action_summary(decisions, domain))
+        executive_summary(insights, domain, rows), action_summary(decisions, domain), int((time.monotonic() - begun) * 1000))
 
 
 def document(ingested: Ingested, analysis: Analysis) -> DataFrame:
-    """One nested row with the whole result, ready for ``write.json``."""
+    """One nested row with the whole result, ready for ``write.json``.
+
+    ``total_insights`` counts the listed insights, ``top_priority`` is the first decision (null without one), ``df_path``
+    is where the cleaned table lies, and ``processing_ms`` the time of both steps as far as they ran at once. No step is
+    ever tried again with other wording, so ``retry_was_used`` is false.
+    """
     def listed(frame: DataFrame, *order: Column) -> Column:
         """All rows of a small result as an array, in the given order."""
         keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
@@ -68,17 +76,22 @@ def document(ingested: Ingested, analysis: Analysis) -> DataFrame:
 
     insights = analysis.validated.drop("stat_type", "metrics", "labels", "series")
     ranked = (-F.col("priority_score"), F.col("id"))
-    return ingested.context.select(
+    report = analysis.report.withColumn("retry_was_used", F.lit(False))
+    made = ingested.context.select(
         F.lit(True).alias("success"), "domain", "source_type", F.col("row_count").alias("total_rows"), "warnings",
         analysis.summary.select("summary").scalar().alias("executive_summary"),
         listed(insights, F.col("place")).alias("insights"),
         single(ingested.quality).alias("quality"),
-        single(analysis.report).alias("critic"),
+        single(report).alias("critic"),
+        listed(ingested.profile).alias("columns"),
         listed(analysis.decisions, *ranked).alias("decisions"),
         listed(analysis.decisions.where(is_quick_win()), *ranked).alias("quick_wins"),
         analysis.action_summary.select("summary").scalar().alias("action_summary"),
         listed(analysis.plans, F.col("insight_id")).alias("chart_plans"),
-        F.current_timestamp().alias("analysed_at"))
+        F.lit(ingested.processing_ms + analysis.processing_ms).alias("processing_ms"),
+        F.lit(ingested.table_path).alias("df_path"), F.current_timestamp().alias("analysed_at"))
+    return made.select(
+        "*", F.size("insights").alias("total_insights"), F.try_element_at("decisions", F.lit(1)).alias("top_priority"))
 
 
 def run(spark: SparkSession, path: str, **options) -> tuple[Ingested, Analysis]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tallylens.operators.domain import domain_of
 from tallylens.operators.multiset import staged_rows
 from tallylens.operators.profile import profile, warnings
 from tallylens.operators.quality import quality_of
+from tallylens.session import scratch_path
 from tallylens.sources.files import exact_sample, read_split, staged
 
 
@@ -29,6 +31,8 @@ class Ingested:
     domain: str
     row_count: int
     rejected: DataFrame | None = None
+    table_path: str | None = None
+    processing_ms: int = 0
 
 
 def describe_and_clean(
@@ -44,6 +48,8 @@ def describe_and_clean(
     Counts in the context are those of the cleaned table; ``rejected`` records
     are counted in its warnings.
     """
+    begun = time.monotonic()
+    table_path = table_path or scratch_path(raw.sparkSession, "clean.parquet")
     counted, domain = staged_rows(raw), domain_of(raw)
     profiled, quality, table = together(
         raw.sparkSession, lambda: profile(raw, exact, counted), lambda: pinned(quality_of(counted)),
@@ -57,7 +63,8 @@ def describe_and_clean(
         "source_type": source_type, "domain": domain, "row_count": row_count, "column_count": len(table.columns),
         "warnings": notes,
     }], schemas.ddl(schemas.CONTEXT))
-    return Ingested(table, profiled, quality, context, domain, row_count, rejected)
+    return Ingested(
+        table, profiled, quality, context, domain, row_count, rejected, table_path, int((time.monotonic() - begun) * 1000))
 
 
 def ingest(

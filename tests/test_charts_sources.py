@@ -222,3 +222,11 @@ def test_rows_that_do_not_fit_are_kept_apart(spark, tmp_path, name, text, record
     done = ingest(spark, str(tmp_path / name))
     assert done.row_count == 2 and done.rejected.count() == 1
     assert "Rejected records: 1" in done.context.head()["warnings"]
+
+
+def test_bar_with_rest(spark):
+    rows = spark.createDataFrame([(x,) for x in [*"aaabbc", "other", None]], "x string")
+    found = {(r.label, r.n_labels): (r.place, r.value, r.share) for r in charts.bar_with_rest(rows, "x", top=2).collect()}
+    assert found == {("a", 1): (1, 3.0, 42.9), ("b", 1): (2, 2.0, 28.6), ("other", 2): (3, 2.0, 28.6)}
+    assert charts.bar_with_rest(rows, "x", top=4).count() == 4
+    assert charts.bar_with_rest(rows.limit(0), "x").count() == 0

@@ -115,3 +115,8 @@ def test_name_rules():
     ("kind", True, False, "category"), ("email", True, False, "email"), ("city", True, False, "geo"), ("size", False, False, None)])
 def test_semantic_tag(name, is_text, dollar, tag):
     assert names.semantic_tag(name, is_text, True, dollar) == tag
+
+
+def test_stricter_names_hold_an_id_mark_anywhere():
+    assert [n for n in ("row_hash", "HASH", "sort_key_2", "uuid_of", "price") if names.not_useful(n)] == ["row_hash", "HASH", "sort_key_2", "uuid_of"]
+    assert not names.not_analytic("row_hash")
