@@ -16,7 +16,7 @@ from tallylens.fixtures import (
     dirty_orders, document_insights, event_claims, priced_lineitem, table, wrapped_json,
 )
 from tallylens.functions.numbers import round_to
-from tallylens.functions.text import record_from_json, short_title, title_and_rest, word_count
+from tallylens.functions.text import ascii_words, leading_word, record_from_json, short_title, title_and_rest, word_count
 from tallylens.operators import charts, critic, decisions, domain, facts, insights, profile, quality, statistics
 from tallylens.operators.clean import clean
 from tallylens.operators.columnwise import small_frame, union_all
@@ -184,10 +184,10 @@ def domain_detect(spark, sf_dir):
 @query
 def domain_match_table(spark, sf_dir):
     """The words of all documents, by source, against the built-in signatures and one of languages' words."""
-    words = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "[^A-Za-z_]+")).alias("name"))
+    words = table(spark, sf_dir, "documents").select("source", F.explode(ascii_words(F.col("text"))).alias("name"))
     own = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("first_"), "lang").alias("domain"), F.lit(9).alias("place"),
-        F.split("text", "[^A-Za-z_]+")[0].alias("name")).where("name <> ''").distinct()
+        leading_word(F.col("text")).alias("name")).where("name <> ''").distinct()
     found = domain.match_domains(words, domain.signatures_table(spark).unionByName(own))
     return found.withColumn("score", round_to(F.col("score"), 6))
 

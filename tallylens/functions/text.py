@@ -74,6 +74,19 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit("(?U)\\S+"))
 
 
+def ascii_words(col: Column) -> Column:
+    """All runs of ``[A-Za-z_]``, and an empty text at the end, so that a text without any still has an entry.
+
+    A split at all other characters takes about twenty times as long.
+    """
+    return F.concat(F.regexp_extract_all(col, F.lit("[A-Za-z_]+"), F.lit(0)), F.array(F.lit("")))
+
+
+def leading_word(col: Column) -> Column:
+    """The run of ``[A-Za-z_]`` that a text begins with, or an empty text; what follows is not looked at."""
+    return F.regexp_extract(col, "^[A-Za-z_]*", 0)
+
+
 def vague_phrase_count(low: Column) -> Column:
     """How many of the vague phrases occur in a lower-case text."""
     return sum((low.contains(p).cast("int") for p in VAGUE_PHRASES), F.lit(0))

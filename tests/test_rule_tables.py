@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from test_multiset import plan_of
 
+from tallylens.catalog import QUERIES
 from tallylens.fixtures import document_insights, table
-from tallylens.functions.text import short_title, title_and_rest
+from tallylens.functions.text import ascii_words, leading_word, short_title, title_and_rest
 from tallylens.operators import decisions, domain
 from tallylens.schemas import RULE_TABLE, ddl
 
@@ -61,6 +63,24 @@ def test_domains_from_tables(spark):
     assert {r["domain"] for r in domain.match_domains(held, signatures.limit(0)).collect()} == {"unknown"}
 
 
+def test_words_of_documents_without_a_split(spark, sf_dir):
+    texts = ["Order_id, the  end.", " x", "", "...", "é", "été à la", "_a1b\nC", "日本 one", "a😀b", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    cut = F.split("text", "[^A-Za-z_]+")
+    found = rows.select(ascii_words(F.col("text")).alias("all"), leading_word(F.col("text")).alias("one"), cut.alias("cut")).collect()
+    for r in found:
+        assert r["one"] == (r["cut"] and r["cut"][0])
+        assert (r["all"] and [w for w in r["all"] if w]) == (r["cut"] and [w for w in r["cut"] if w]) and (r["all"] is None or "" in r["all"])
+    assert "split(text" not in plan_of(QUERIES["domain_match_table"](spark, sf_dir))
+
+
+def test_sources_without_words_are_kept(spark, tmp_path):
+    rows = [(1, "the price", "en", "a"), (2, "... 12", "en", "b"), (3, "", "fr", "c"), (4, None, "fr", "d"), (5, "THE end", None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["source"]: (r["domain"], r["score"]) for r in QUERIES["domain_match_table"](spark, str(tmp_path)).collect()}
+    assert found["a"] == found[None] == ("first_en", 1.0) and found["b"] == found["c"] == ("unknown", 0.0) and "d" not in found
+
+
 def test_unused_columns_of_documents_are_not_read(spark, sf_dir):
     def read(df):
         return [p.split("ReadSchema: ")[1].split("\n")[0] for p in plan_of(df).split("\n\n") if "documents.parquet" in p and "ReadSchema" in p]
