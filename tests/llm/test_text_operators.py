@@ -378,6 +378,46 @@ def test_rule_counts_equal_brute_force(spark, sf_dir):
         assert r.base_failed == (len(words) < 50 or 100 * len(marked) > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
+def test_forest_learns_from_all_labelled_rows(spark):
+    # a bounded sample by the hash of doc_id would leave out the only bad document
+    last = spark.range(4100).orderBy(F.xxhash64("id").desc()).first().id
+    texts = [(i, " ".join(f"w{(i * 7 + k * k) % 5000}" for k in range(60))) for i in range(4100) if i != last]
+    docs = spark.createDataFrame([*texts, (last, " ".join(f"#{k}!%A" for k in range(60)))], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", f"CAST(doc_id <> {last} AS INT) AS quality")
+    judged = rules.judge(docs, rules.train(docs, labels))
+    assert [r.doc_id for r in judged.where("not kept").collect()] == [last]
+
+
+def test_forest_paths_equal_brute_force():
+    random = np.random.default_rng(5)
+    shares = random.random((900, len(rules.SHARES))) ** 3
+    shares[:, 2] = 0.25
+    cuts = rules.draw_cuts(np.stack([shares.min(0), shares.max(0)]))
+    ends = [cuts.leaves(t, shares) for t in range(rules.TREES)]
+    forest = rules.forest_of(cuts, np.stack([np.bincount(e, minlength=1 << rules.DEPTH) for e in ends]))
+    total = np.zeros(len(shares))
+    for end in ends:
+        todo = np.ones(len(shares), bool)
+        for depth in range(rules.DEPTH + 1):
+            half = end >> (rules.DEPTH - depth)
+            weight = np.bincount(half)[half] * rules.PER_TREE / len(shares)
+            stop = todo & ((weight <= 1) | (depth == rules.DEPTH))
+            total[stop] += (depth + rules.usual_path(weight))[stop]
+            todo &= ~stop
+    assert forest.score(shares) == pytest.approx(2 ** (-total / rules.TREES / rules.usual_path(rules.PER_TREE)))
+
+
+@pytest.mark.parametrize("dear, bad", [(10, 0.3), (1, 0.5), (0.1, 0.5), (10, 0), (10, 1)])
+def test_threshold_equals_brute_force(spark, dear, bad):
+    random = np.random.default_rng(3)
+    rows = [(bool(random.random() >= bad), round(float(random.random()), 3) * 0.2 + 0.3) for _ in range(600)]
+    found = rules.calibrated(spark.createDataFrame(rows, "good boolean, score double").repartition(4), dear)
+    ranked = sorted({v for _, v in rows})
+    edges = [(ranked[max(i - 1, 0)] + v) / 2 for i, v in enumerate(ranked)] + [2.0]
+    cost = [sum(v < at if not good else dear * (v >= at) for good, v in rows) for at in [*ranked, 2.0]]
+    assert found == edges[int(np.argmin(np.round(cost, 6)))]
+
+
 def test_lines_of_odd_rows(odd, empty):
     left = {r.doc_id: r for r in lines.drop_lines(odd).collect() if r.doc_id is not None}
     assert left[8].text == "日本 語 😀\nA long shared line\n a LONG shared line " and left[9].text == "other"
