@@ -288,7 +288,9 @@ def labelled(members: DataFrame, windows: DataFrame) -> DataFrame:
             break
     left = _split(members, labels).select("node", "label", "weight").distinct()
     known = first.groupBy("node").agg(F.max(F.struct("pivot", "similarity")).alias("k")).select("node", "k.*")
-    pairs = candidates(left.join(known, "node", "left").join(windows, "node"))
+    # read twice by ``candidates``, so written once
+    left = staged(left.join(known, "node", "left"), "left")
+    pairs = candidates(left.join(windows, "node"))
     return joined(labels, compared(pairs, windows).where(F.col("similarity") >= SIMILAR))
 
 

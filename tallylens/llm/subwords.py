@@ -132,14 +132,20 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows
     label 1 among the labels, and 1 if there are none: nothing speaks against it.
     """
     chosen = F.broadcast(bounded_sample(agreed(labels, column), most_rows))
-    # at most most_rows rows; they are fetched file by file, so that the driver holds them once, as bytes
+    # at most most_rows rows, fetched file by file. The driver holds them once, as two long arrays: freed as a whole, these
+    # go back to the system, which thousands of small ones do not
     found = staged(
         pick(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text")
         .mapInArrow(_tally, "doc_id bigint, label int, ids binary, counts binary")
         .groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("f"))  # repeated ids: one row
         .select("doc_id", "label", "f.*"), "training")
-    fetched = sorted(((r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["counts"])) for r in found.toLocalIterator()), key=lambda r: r[0])
-    rows = [(np.frombuffer(ids, "<u4"), np.frombuffer(counts, "<u4"), label) for _, label, ids, counts in fetched]
+    ids, counts, fetched = bytearray(), bytearray(), []
+    for r in found.toLocalIterator():
+        fetched.append((r["doc_id"], r["label"], slice(len(ids) // 4, (len(ids) + len(r["ids"])) // 4)))
+        ids += r["ids"]
+        counts += r["counts"]
+    every, times = np.frombuffer(ids, "<u4"), np.frombuffer(counts, "<u4")
+    rows = [(every[own], times[own], label) for _, label, own in sorted(fetched, key=lambda r: r[0])]
     kinds = {r[2] for r in rows}
     if len(kinds) < 2:
         return Scorer(np.zeros(1 << BITS, np.float32), 0.0, float(kinds.pop()) if kinds else 1.0)

@@ -50,6 +50,15 @@ def test_groups_of_chain_star_and_pairs(spark):
     assert graph.components(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
 
 
+def test_stars_take_two_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, name, real=graph.staged: written.append(name) or real(df, name))
+    links = [(100 * s, 100 * s + i) for s in range(20) for i in range(1, 60)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "x bigint, y bigint")).collect()}
+    assert len(got) == 1200 and all(got[n] == got[n // 100 * 100] for n in got) and len(set(got.values())) == 20
+    assert written.count("joined") <= 2
+
+
 # ---------------------------------------------------------------- hard negatives
 
 def brute_negatives(rows, every=100, positives=5, top=10):

@@ -431,6 +431,19 @@ def test_perfect_hash_numbers_all_keys():
     assert sorted(table.number(keys).tolist()) == list(range(len(keys)))
 
 
+def test_training_rows_are_held_in_two_arrays(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(subwords, "descend", lambda found, **_: rows.extend(found))
+    docs = [(i, f"word{i} and {'more ' * i}") for i in (9, 3, 7, 1)]
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i, _ in docs], "doc_id bigint, quality int")
+    subwords.train(spark.createDataFrame(docs, "doc_id bigint, text string"), labels)
+    assert [label for _, _, label in rows] == [0, 1, 1, 0]  # by doc_id
+    for (ids, counts, _), (_, text) in zip(rows, sorted(docs), strict=True):
+        found = np.concatenate([b for b, _ in subwords.features(pa.array([text]))])
+        assert [ids.tolist(), counts.tolist()] == [x.tolist() for x in np.unique(found, return_counts=True)]
+    assert len({id(ids.base) for ids, _, _ in rows}) == len({id(counts.base) for _, counts, _ in rows}) == 1
+
+
 def test_pipeline_stages(spark, odd, empty, sf_dir):
     import corpus_pipeline as p
 
