@@ -57,6 +57,7 @@ DARTS = 1200  # expected number per document; a coordinate stays empty once in a
 CELL = 64  # texts compared with one copy of a partner's windows
 PROGRESS = 0.25  # rounds of pivots go on as long as this share of their pairs is similar
 COUNTERS = 1 << 20  # of the table that tells frequent strips
+MARKS, CELL_MARKS = 1 << 24, 1 << 15  # bits of the map that tells whose windows are needed, and of one row of it
 PAIRS_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -134,14 +135,36 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "bands": pa.ListArray.from_arrays(edges, pa.array(bands.reshape(-1).view(np.int64)))})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The name of a text and its windows."""
-    for batch in batches:
-        for _, part in cut(batch["text"], 1 << 20):
-            items, counts, whole = shingles(part)
-            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            yield pa.record_batch({
-                "node": pa.array(whole.view(np.int64)), "items": pa.ListArray.from_arrays(edges, pa.array(items.view(np.int64)))})
+def _mark(column: str) -> F.Column:
+    """The bit of a value; any value, and null, has one."""
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+
+def marks(ids: DataFrame, column: str) -> bytes:
+    """A map with the bits of all values of a column set. Its size is fixed: the more values, the more others share their bits."""
+    held = np.zeros(MARKS // 8, np.uint8)
+    table = ids.select(_mark(column).alias("mark")).groupBy(F.floor(F.col("mark") / CELL_MARKS).alias("cell")).agg(
+        F.bitmap_construct_agg(F.col("mark") % CELL_MARKS).alias("bits")).toArrow()
+    for cell, bits in zip(table["cell"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        held[cell * CELL_MARKS // 8 : (cell + 1) * CELL_MARKS // 8] = np.frombuffer(bits, np.uint8)
+    return held.tobytes()
+
+
+def _windows(held: bytes):
+    bits = np.frombuffer(held, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The name of a text and its windows, of rows whose mark is set."""
+        for batch in batches:
+            mark = batch["mark"].to_numpy()
+            batch = batch.filter(pa.array((bits[mark >> 3] >> (mark & 7) & 1).astype(bool)))
+            for _, part in cut(batch["text"], 1 << 20):
+                items, counts, whole = shingles(part)
+                edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                yield pa.record_batch({
+                    "node": pa.array(whole.view(np.int64)), "items": pa.ListArray.from_arrays(edges, pa.array(items.view(np.int64)))})
+
+    return run
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -304,13 +327,13 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = staged(rows.join(shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("central"))
     members = staged(members.join(central, "node").select("bucket", "node", "weight", "central"), "members")
-    # windows take more room than the texts: only texts that share a bucket need them, from one row each
+    # windows take more room than the texts: only texts that share a bucket need them, from one row each. Whole texts stay
+    # where they are read: a map of the ids sorts most others out, the join by node the rest
     wanted = central.select("node")
-    heads = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    heads = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     windows = staged(
-        texts.mapInArrow(_windows, "node bigint, items array<bigint>").join(wanted, "node", "left_semi")
-        .groupBy("node").agg(F.first("items").alias("items")), "windows")
+        docs.select("text", _mark("doc_id").alias("mark")).mapInArrow(_windows(marks(heads, "doc_id")), "node bigint, items array<bigint>")
+        .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "windows")
     return signed.drop("bands"), labelled(members, windows)
 
 

@@ -121,6 +121,35 @@ def test_texts_that_share_a_passage_meet_few_others(spark, monkeypatch):
     assert sum(made) < 10 * len(rows)
 
 
+def moved_texts(spark, monkeypatch, run) -> list[str]:
+    """The exchanges that whole texts go through, with joins by broadcast off, in all that ``run`` writes and returns."""
+    plans = []
+
+    def planned(df):
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        plans.extend(part for part in text.split("\n\n") if re.match(r"\(\d+\) Exchange", part) and re.search(r"\btext#", part))
+
+    real = darts.staged
+    monkeypatch.setattr(darts, "staged", lambda df, name: (planned(df), real(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        planned(run())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plans
+
+
+def test_classes_move_no_texts(spark, sf_dir, monkeypatch):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    assert moved_texts(spark, monkeypatch, lambda: darts.classes(docs)) == []
+
+
+def test_classes_when_all_ids_share_a_mark(spark, sf_dir, monkeypatch):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    monkeypatch.setattr(darts, "_mark", lambda column: F.lit(5).cast("long"))
+    assert {r.doc_id: r.class_id for r in darts.classes(docs).collect()} == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_chat_of_one_long_conversation(spark):
     """Time in proportion to the turns: a quadratic formatter needs minutes here."""
     import time
