@@ -44,7 +44,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallylens.llm.graph import components
 from tallylens.llm.tables import pick
@@ -116,7 +115,7 @@ def signatures(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, the name of its text, its weight, and its bands where the text is the first of its kind in a run."""
+    """The row without its text, the name of the text, its weight, and its bands where it is the first of its kind in a run."""
     for batch in batches:
         for at, part in cut(batch["text"], 1 << 20):
             items, counts, whole = shingles(part)
@@ -129,8 +128,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + darts[:, :, i])
             edges = pa.array(np.concatenate([[0], np.cumsum(new * BANDS)]), pa.int32())
-            yield pa.record_batch({
-                "doc_id": batch["doc_id"].slice(at, len(part)), "node": pa.array(whole.view(np.int64)),
+            rows = {c: batch[c].slice(at, len(part)) for c in batch.schema.names if c != "text"}
+            yield pa.record_batch(rows | {
+                "node": pa.array(whole.view(np.int64)),
                 "weight": pa.array(counts.astype(np.int64)),
                 "bands": pa.ListArray.from_arrays(edges, pa.array(bands.reshape(-1).view(np.int64)))})
 
@@ -317,10 +317,11 @@ def labelled(members: DataFrame, windows: DataFrame) -> DataFrame:
     return joined(labels, compared(pairs, windows).where(F.col("similarity") >= SIMILAR))
 
 
-def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node and weight of every row; node and label of the texts that share a bucket."""
-    docs = pick(docs, "doc_id", "text")
-    signed = staged(docs.mapInArrow(_signed, "doc_id bigint, node bigint, weight bigint, bands array<bigint>"), "signatures")
+def _named(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, weight and ``more`` (long columns) of every row; node and label of the texts that share a bucket."""
+    docs = pick(docs, "doc_id", "text", *more)
+    kept = "".join(f"{c} bigint, " for c in ("doc_id", *more))
+    signed = staged(docs.mapInArrow(_signed, f"{kept}node bigint, weight bigint, bands array<bigint>"), "signatures")
     texts = signed.where(F.size("bands") > 0).dropDuplicates(["node"])
     rows = texts.select(F.explode("bands").alias("bucket"), "node", "weight")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -354,25 +355,18 @@ def classes(docs: DataFrame) -> DataFrame:
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the name and weight of their text."""
-    for batch in batches:
-        for at, part in cut(batch["text"], 2 << 20):
-            _, counts, whole = shingles(part)
-            rows = batch.slice(at, len(part))
-            yield pa.record_batch([*rows.columns, pa.array(whole.view(np.int64)), pa.array(counts.astype(np.int64))],
-                                  names=[*batch.schema.names, "__node", "__weight"])
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest of each class by doc_id (null last), then by its values' hash."""
-    signed, labels = _named(docs)
-    found = _classed(signed, labels).select(F.col("node").alias("__node"), F.col("class").alias("__class"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__weight", T.LongType())])
-    rows = docs.mapInArrow(_keyed, schema).withColumn("__row", row_hash(docs, 0)).join(found, "__node", "left")
-    rows = staged(rows, "keyed")
-    least = rows.where("__weight > 0").groupBy("__class").agg(
-        F.min(F.struct(F.isnull("doc_id").alias("__no_id"), "doc_id", "__row")).alias("__least"))
-    kept = rows.join(least.select("__class", F.col("__least.doc_id").alias("__id"), F.col("__least.__row").alias("__first")), "__class")
-    chosen = kept.where(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))).dropDuplicates(["__class"])
-    return chosen.select(*docs.columns).unionByName(rows.where("__weight = 0").select(*docs.columns))
+    """The rows of ``docs`` that stay: the smallest of each class by doc_id (null last), then by its values' hash.
+
+    Rows are chosen by two hashes, of all values and of id and text; whole rows move once, to be met with the chosen ones.
+    """
+    own = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")  # without nulls' places, rows of unlike texts may share ``__row``
+    keyed = docs.withColumn("__row", row_hash(docs, 0)).withColumn("__own", own)
+    signed, labels = _named(keyed, "__row", "__own")
+    found = _classed(signed, labels).select("node", "class")
+    least = signed.where("weight > 0").join(found, "node").groupBy("class").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__row", "__own")).alias("least"))
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    # equal rows share both hashes; one of them stays
+    once = keyed.where(words).join(least.select("least.__row", "least.__own"), ["__row", "__own"], "left_semi").dropDuplicates(["__row", "__own"])
+    return once.select(*docs.columns).unionByName(docs.where(~words))

@@ -121,13 +121,13 @@ def test_texts_that_share_a_passage_meet_few_others(spark, monkeypatch):
     assert sum(made) < 10 * len(rows)
 
 
-def moved_texts(spark, monkeypatch, run) -> list[str]:
-    """The exchanges that whole texts go through, with joins by broadcast off, in all that ``run`` writes and returns."""
+def moved(spark, monkeypatch, run, column="text") -> list[str]:
+    """The exchanges that a column goes through, with joins by broadcast off, in all that ``run`` writes and returns."""
     plans = []
 
     def planned(df):
         text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-        plans.extend(part for part in text.split("\n\n") if re.match(r"\(\d+\) Exchange", part) and re.search(r"\btext#", part))
+        plans.extend(part for part in text.split("\n\n") if re.match(r"\(\d+\) Exchange", part) and re.search(rf"\b{column}#", part))
 
     real = darts.staged
     monkeypatch.setattr(darts, "staged", lambda df, name: (planned(df), real(df, name))[1])
@@ -141,7 +141,25 @@ def moved_texts(spark, monkeypatch, run) -> list[str]:
 
 def test_classes_move_no_texts(spark, sf_dir, monkeypatch):
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
-    assert moved_texts(spark, monkeypatch, lambda: darts.classes(docs)) == []
+    assert moved(spark, monkeypatch, lambda: darts.classes(docs)) == []
+
+
+def test_deduplicated_moves_rows_once(spark, sf_dir, monkeypatch):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    written = []
+    real = darts.staged
+    monkeypatch.setattr(darts, "staged", lambda df, name: (written.append("text" in df.columns), real(df, name))[1])
+    assert len(moved(spark, monkeypatch, lambda: darts.deduplicated(docs))) == 1
+    assert not any(written)  # a second copy of the texts
+
+
+def test_deduplicated_tells_rows_with_shifted_nulls_apart(spark):
+    """Hashes of all values skip nulls: these rows share theirs, but not their texts."""
+    a, b = SENTENCE, " ".join(SENTENCE.split()[::-1])
+    rows = [(a, 1, b, None), (None, 1, a, b), (a, 1, None, b), (a, 2, b, None)]
+    frame = spark.createDataFrame(rows, "lang string, doc_id bigint, text string, source string")
+    kept = sorted(((r.doc_id, r.text) for r in darts.deduplicated(frame).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (1, None)], key=str)
 
 
 def test_classes_when_all_ids_share_a_mark(spark, sf_dir, monkeypatch):
