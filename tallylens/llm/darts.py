@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 from tallylens.llm.graph import components
 from tallylens.llm.tables import pick
 from tallylens.llm.tokens import cut, find_words, mix, raw, unit
+from tallylens.session import bucketed
 from tallylens.sources.files import row_hash, staged
 
 WORDS, SIMILAR = 5, 0.8
@@ -332,9 +333,9 @@ def _named(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     # where they are read: a map of the ids sorts most others out, the join by node the rest
     wanted = central.select("node")
     heads = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    windows = staged(
+    windows = bucketed(
         docs.select("text", _mark("doc_id").alias("mark")).mapInArrow(_windows(marks(heads, "doc_id")), "node bigint, items array<bigint>")
-        .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "windows")
+        .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "node", "windows")
     return signed.drop("bands"), labelled(members, windows)
 
 

@@ -144,6 +144,14 @@ def test_classes_move_no_texts(spark, sf_dir, monkeypatch):
     assert moved(spark, monkeypatch, lambda: darts.classes(docs)) == []
 
 
+def test_classes_move_windows_only_to_their_cells(spark, sf_dir, monkeypatch):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    made, real = [], darts.compared
+    monkeypatch.setattr(darts, "compared", lambda pairs, windows: (made.append(1), real(pairs, windows))[1])
+    plans = moved(spark, monkeypatch, lambda: darts.classes(docs), "items")
+    assert made and len(plans) == len(made)
+
+
 def test_deduplicated_moves_rows_once(spark, sf_dir, monkeypatch):
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
     written = []
