@@ -365,8 +365,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__row", row_hash(docs, 0)).withColumn("__own", own)
     signed, labels = _named(keyed, "__row", "__own")
     found = _classed(signed, labels).select("node", "class")
-    least = signed.where("weight > 0").join(found, "node").groupBy("class").agg(
-        F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__row", "__own")).alias("least"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__row", "__own")).alias("first")
+    firsts = signed.where("weight > 0").groupBy("node").agg(first)  # one row for all copies of a text
+    least = firsts.join(found, "node").groupBy("class").agg(F.min("first").alias("least"))
     words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     # equal rows share both hashes; one of them stays
     once = keyed.where(words).join(least.select("least.__row", "least.__own"), ["__row", "__own"], "left_semi").dropDuplicates(["__row", "__own"])
